@@ -78,12 +78,13 @@ def _index(docs: DataFrame, items: DataFrame, window: int, block_rows: int) -> t
     return index, max(1, -(-index.count() // block_rows))
 
 
-def _agree(a: Column, b: Column) -> Column:
-    """Length of the common start of two arrays."""
-    n = F.least(F.size(a), F.size(b))
-    same = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y)
-    first_bad = F.array_position(same, False)
-    return F.when(first_bad > 0, first_bad.cast("int") - 1).otherwise(n)
+def _agree(same: list[Column]) -> Column:
+    """How many of the comparisons hold before the first that fails. No higher-order function: the join's
+    own generated code evaluates it, so that a candidate never leaves it with the whole document."""
+    out = F.when(~same[0], 0)
+    for n, x in enumerate(same[1:], 1):
+        out = out.when(~x, n)
+    return out.otherwise(len(same))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, block_rows: int = 200_000) -> DataFrame:
@@ -99,7 +100,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, block_row
     end = "\u0000"  # cannot be a word: one entry of it in the first block brings each document's word count along
     empty = F.array().cast(T.ArrayType(T.StringType()))
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    reach = window - 1
+    at = lambda array, i: F.get(array, i)  # noqa: E731  null outside the array
+    equal = lambda x, y: F.coalesce(x == y, F.lit(False))
+    steps = range(1, max(2, window))
+    left = _agree([equal(at("w", F.col("pos") - k), at("before", F.lit(k - 1))) for k in steps])
+    right = _agree([equal(at("w", F.col("pos") + k), at("after", F.lit(k - 1))) for k in steps])
     found = []
     for k in range(blocks):
         part = index.where(F.col("part") % blocks == k).drop("part")
@@ -109,7 +114,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, block_row
             )
             part = part.unionByName(sentinel)
         placed = base.select("doc_id", "text_hash", "w", F.posexplode(F.concat("w", F.array(F.lit(end)))).alias("pos", "word"))
-        hits = placed.join(F.broadcast(part), "word").where((F.size("w") >= F.col("need")) & ((F.col("need") == 0) | (F.col("pos") < F.size("w"))))
+        fits = (F.size("w") >= F.col("need")) & (F.col("pos") < F.size("w"))
+        hits = placed.join(F.broadcast(part), "word").where(F.col("item_id").isNull() | (fits & (left + 1 + right >= F.col("need"))))
         found.append(
             hits.select(
                 "doc_id",
@@ -118,11 +124,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, block_row
                 "item_id",
                 "pos",
                 "need",
-                _agree(F.reverse(F.slice("w", F.greatest(F.lit(1), F.col("pos") - reach + 1), F.least(F.col("pos"), F.lit(reach)))), F.col("before")).alias("l"),
-                _agree(F.slice("w", F.col("pos") + 2, F.lit(reach)), F.col("after")).alias("r"),
+                left.alias("l"),
+                right.alias("r"),
             )
         )
-    runs = reduce(DataFrame.unionByName, found).where(F.col("item_id").isNull() | (F.col("l") + 1 + F.col("r") >= F.col("need")))
+    runs = reduce(DataFrame.unionByName, found)
     span = F.struct((F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r") + 1).alias("e"))
     per_doc = runs.groupBy("doc_id", "text_hash").agg(
         F.count(F.when(F.col("item_id").isNull(), 1)).alias("rows"),

@@ -1 +1 @@
-
+"""Adapters, queries and their SQL."""

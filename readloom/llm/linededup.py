@@ -15,9 +15,11 @@ doc_id and place, is kept. Line ids are 64-bit hashes of the text.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,16 +72,22 @@ def within(a: str, b: str, k: int) -> bool:
     return dist <= k
 
 
-@F.pandas_udf(T.LongType())
-def _sketch(lines: pd.Series) -> pd.Series:
-    """Counts of 16 groups of characters, four bits each."""
-    shifts = np.arange(0, 64, 4, dtype=np.uint64)
-    out = np.zeros(len(lines), dtype=np.uint64)
-    for i, t in enumerate(lines):
-        points = np.frombuffer(t.encode("utf-32-le"), dtype="<u4")
-        counts = np.bincount((points * np.uint32(2654435761)) >> np.uint32(28), minlength=16).astype(np.uint64) & np.uint64(15)
-        out[i] = (counts << shifts).sum(dtype=np.uint64)
-    return pd.Series(out.view(np.int64))
+def line_id(line: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(line.encode(), 42))
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def sketch(line: str) -> int:
+    """Counts of 16 groups of characters, modulo 16, four bits each."""
+    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    counts = np.bincount((points * np.uint32(2654435761)) >> np.uint32(28), minlength=16).astype(np.uint64) & np.uint64(15)
+    return _signed(int((counts << _SHIFTS).sum(dtype=np.uint64)))
+
+
+_SHIFTS = np.arange(0, 64, 4, dtype=np.uint64)
 
 
 def _far(x: Column, y: Column) -> Column:
@@ -91,56 +99,101 @@ def _far(x: Column, y: Column) -> Column:
     return total
 
 
-def _segments(length: Column, k: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each segment of a line of that length; the last ones take the rest."""
-    q, r = F.floor(length / F.lit(k + 1)).cast("int"), F.pmod(length, F.lit(k + 1))
-    out, at = [], F.lit(1)
-    for i in range(1, k + 2):
-        size = q + F.when(F.lit(i) > F.lit(k + 1) - r, 1).otherwise(0)
-        out.append((at, size))
-        at = at + size
-    return out
+def segments(length: int, k: int) -> list[tuple[int, int]]:
+    """Start and length of each of the k + 1 segments of a line of that length; the last ones take the rest."""
+    q, r = divmod(length, k + 1)
+    sizes = [q] * (k + 1 - r) + [q + 1] * r
+    return [(sum(sizes[:i]), n) for i, n in enumerate(sizes)]
+
 
+OWN, LEVEL, SHORTER = 0, 1, 2
 
-def _keys(k: int) -> tuple[list[Column], list[Column]]:
-    """Hashed index keys of a line, and hashed probe keys (null where a place lies outside it); columns line, len."""
-    key = lambda i, length, at, size: F.xxhash64(F.lit(i), length, F.substring(F.col("line"), at, size))
-    own = [key(i, F.col("len"), at, size) for i, (at, size) in enumerate(_segments(F.col("len"), k), 1)]
-    probes = []
+
+def probes(length: int, k: int) -> list[tuple[int, int, int, int, int]]:
+    """What a line looks up: (role, segment, indexed length, place, size). Its own segments are OWN and stand in the
+    index; shifted places of lines of the same length are LEVEL, those of smaller lengths SHORTER."""
+    out = []
     for delta in range(k + 1):
-        length = F.col("len") - delta
-        for i, (at, size) in enumerate(_segments(length, k), 1):
-            lo, hi = max(-(i - 1), delta - (k + 1 - i)), min(i - 1, delta + (k + 1 - i))
-            for shift in range(lo, hi + 1):
-                place = at + shift
-                probes.append(F.when((place >= 1) & (place + size - 1 <= F.col("len")), key(i, length, place, size)))
-    return own, probes
-
-
-def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, text_hash, line_no, line) of the lines that are long enough, without outer blanks."""
-    parts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return parts.select("doc_id", "text_hash", "line_no", F.trim(F.col("raw"), F.lit(" \t\r")).alias("line")).where(F.length("line") >= least)
-
-
-def line_links(docs: DataFrame, least: int = 40, k: int = EDITS) -> DataFrame:
-    """Pairs (a, b), a < b, of ids of different lines within ``k`` edits; each pair once."""
-    unique = lines_of(docs, least).select("line").distinct().select(F.xxhash64("line").alias("id"), F.length("line").alias("len"), "line")
-    keyed = unique.withColumn("sketch", _sketch(F.col("line")))
-    own, probes = _keys(k)
-    arrays = keyed.select("id", "len", "sketch", F.array(*own).alias("own"), F.array(*probes).alias("probe"))
-    index = arrays.select("id", "len", "sketch", F.explode("own").alias("key"))
-    probe = arrays.select("id", "len", "sketch", F.explode("probe").alias("key")).where(F.col("key").isNotNull())
-    i, p = index.alias("i"), probe.alias("p")
-    close = (F.col("i.key") == F.col("p.key")) & (_far(F.col("i.sketch"), F.col("p.sketch")) <= 2 * k)
-    order = (F.col("i.len") < F.col("p.len")) | ((F.col("i.len") == F.col("p.len")) & (F.col("i.id") < F.col("p.id")))
-    pairs = p.join(i, close & order).select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct()
-
-    @F.pandas_udf("boolean")
+        for i, (at, size) in enumerate(segments(length - delta, k), 1):
+            for shift in range(max(-(i - 1), delta - (k + 1 - i)), min(i - 1, delta + (k + 1 - i)) + 1):
+                if at + shift >= 0 and at + shift + size <= length:
+                    out.append((SHORTER if delta else LEVEL if shift else OWN, i, length - delta, at + shift, size))
+    return out
+
+
+def _width(k: int) -> int:
+    return len(probes(10 * (k + 1), k))
+
+
+def key_of(line: str, i: int, length: int, at: int, size: int) -> int:
+    return _signed(xxhash.xxh64_intdigest(line[at : at + size].encode(), i * 1_000_003 + length))
+
+
+def _lines(text: str | None, least: int) -> Iterator[tuple[int, str]]:
+    """(place, line) of the lines that are long enough, without outer blanks."""
+    for n, raw in enumerate(text.split("\n") if isinstance(text, str) else ()):
+        line = raw.strip(" \t\r")
+        if len(line) >= least:
+            yield n, line
+
+
+def occurrences(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, text_hash, line_no, id) of every line that is long enough."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [(at, n, line_id(line)) for at, t in enumerate(pdf["text"]) for n, line in _lines(t, least)]
+            at, n, ids = zip(*rows) if rows else ((), (), ())
+            own = pdf.iloc[list(at)]
+            yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "text_hash": own["text_hash"].to_numpy(np.int64), "line_no": n, "id": ids})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, f"doc_id {kind}, text_hash bigint, line_no int, id bigint")
+
+
+def _each(docs: DataFrame, least: int, row, schema: str) -> DataFrame:
+    """One row, made by ``row`` of id and line, for every line that is new in its batch."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            new = {line for t in pdf["text"] for _, line in _lines(t, least)}
+            yield pd.DataFrame([row(line_id(line), line) for line in new], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return docs.where(F.col("text").isNotNull()).select("text").mapInPandas(run, schema)
+
+
+def line_links(docs: DataFrame, least: int = 40, k: int = EDITS, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """Pairs (a, b), a < b, of ids of different lines within ``k`` edits; each pair once.
+
+    The texts to verify are those of candidate lines only: the scan is joined with their ids, which are broadcast while
+    they number at most ``broadcast_ids`` (16 MB), and by a shuffle beyond that."""
+    width = _width(k)
+    names = [f"k{j}" for j in range(width)]
+
+    def features(ident: int, line: str) -> tuple:
+        keys = [key_of(line, *p) for _, *p in probes(len(line), k)]
+        return (ident, sketch(line), *keys, *[None] * (width - len(keys)))
+
+    found = _each(docs, least, features, "id bigint, sketch bigint, " + ", ".join(f"{n} bigint" for n in names))
+    unique = found.groupBy("id").agg(F.max("sketch").alias("sketch"), *[F.max(n).alias(n) for n in names])
+    roles = [p[0] for p in probes(10 * (k + 1), k)]
+    entries = F.explode(F.array(*[F.struct(F.col(n).alias("key"), F.lit(r).cast("tinyint").alias("role")) for n, r in zip(names, roles)])).alias("e")
+    keyed = unique.select("id", "sketch", entries).select("id", "sketch", "e.key", "e.role").where("key is not null")
+    i, p = keyed.alias("i"), keyed.alias("p")
+    # of both roles together, so that both sides of the join are one and the same shuffle
+    order = (F.least(F.col("i.role").cast("int"), F.col("p.role") + 10) == OWN) & ((F.col("p.role") + F.col("i.role") == SHORTER) | (F.col("i.id") < F.col("p.id")))
+    close = (F.col("i.id") != F.col("p.id")) & (_far(F.col("i.sketch"), F.col("p.sketch")) <= 2 * k)
+    pairs = p.join(i, (F.col("i.key") == F.col("p.key")) & order & close).select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b"))
+    pairs = durable(pairs.distinct())
+
+    @F.pandas_udf(T.BooleanType())
     def verify(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([within(s, t, k) for s, t in zip(x, y)], dtype=bool)
 
-    texts = unique.select("id", "line")
+    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    few = ids.count() <= broadcast_ids
+    texts = _each(docs, least, lambda ident, line: (ident, line), "id bigint, line string").join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = durable(texts)
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     return both.where(verify(F.col("x"), F.col("y"))).select("a", "b")
 
@@ -158,7 +211,7 @@ def line_classes(docs: DataFrame, least: int = 40, k: int = EDITS) -> DataFrame:
     comp = connected_components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = durable(ends.join(comp, ends["id"] == comp["node"]).select("id", "n_links", F.col("component").alias("class")))
-    occ = durable(lines_of(docs, least).select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("id")))
+    occ = durable(occurrences(docs, least))
     per_line = occ.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first"))
     shared = per_line.join(classes, "id", "left").where("n > 1 or class is not null").withColumn("class", F.coalesce("class", "id"))
     firsts = shared.groupBy("class").agg(F.min("first").alias("lead"))

@@ -56,8 +56,8 @@ def resolve(codon: Column) -> Column:
 
 def amino_ambiguous(codon: Column) -> Column:
     """Letter of an IUPAC codon; several possible ones in sorted order between brackets."""
-    got = F.array_sort(F.array_distinct(F.transform(resolve(codon), amino)))
-    return F.when(F.size(got) == 1, F.element_at(got, 1)).otherwise(F.concat(F.lit("["), F.array_join(got, ""), F.lit("]")))
+    every = F.array_sort(F.array_distinct(F.transform(resolve(codon), amino)))
+    return let(every, lambda got: F.when(F.size(got) == 1, F.element_at(got, 1)).otherwise(F.concat(F.lit("["), F.array_join(got, ""), F.lit("]"))))
 
 
 def iupac_of(letters: Column) -> Column:
@@ -144,8 +144,13 @@ def mutations(ref: Column, read: Column, offset: int = 0) -> Column:
 def backfill(ref: Column, read: Column) -> Column:
     """The read inside its span with deletions filled by the reference; insertions are dropped."""
     first, last = inner(read)
-    zipped = F.zip_with(chars(ref), chars(read), lambda r, q: F.struct(r.alias("r"), q.alias("q")))
-    kept = F.transform(zipped, lambda x, i: F.when((i + 1 >= first) & (i + 1 <= last) & (x["r"] != "-"), F.when(x["q"] == "-", x["r"]).otherwise(x["q"])))
+
+    def fill(bound: Column) -> Column:  # the span is computed once, not for every letter
+        zipped = F.zip_with(chars(ref), chars(read), lambda r, q: F.struct(r.alias("r"), q.alias("q")))
+        inside = lambda i: (i + 1 >= bound["first"]) & (i + 1 <= bound["last"])
+        return F.transform(zipped, lambda x, i: F.when(inside(i) & (x["r"] != "-"), F.when(x["q"] == "-", x["r"]).otherwise(x["q"])))
+
+    kept = let(F.struct(first.alias("first"), last.alias("last")), fill)
     return F.array_join(F.filter(kept, lambda m: m.isNotNull()), "")
 
 

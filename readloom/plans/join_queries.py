@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import seq as S
 from readloom.operators import em, graph, joins
+from readloom.operators.state import durable
 from readloom.plans import adapters as A
 from readloom.plans.adapters import with_
 from readloom.plans.registry import query
@@ -196,18 +197,22 @@ def u12(spark, sf):
     return graph.path_counts(e.unionByName(roots)).where("node between 1000000000 and 1999999999")
 
 
+def _chains(spark, sf):
+    f = durable(fragments(spark, sf))
+    e = durable(joins.overlaps(f, LEAST))
+    return f, graph.chain_cover(graph.closure(e), f, e)
+
+
 @query("u13_u14_chain_cover")
 def u14(spark, sf):
-    f = fragments(spark, sf)
-    e = joins.overlaps(f, LEAST)
-    return graph.chain_cover(graph.closure(e), f, e)
+    f, chains = _chains(spark, sf)
+    return chains
 
 
 @query("u16_path_sequences")
 def u16(spark, sf):
-    f = fragments(spark, sf)
-    e = joins.overlaps(f, LEAST)
-    return graph.path_sequences(graph.chain_cover(graph.closure(e), f, e), f)
+    f, chains = _chains(spark, sf)
+    return graph.path_sequences(chains, f)
 
 
 EM = "cp AS (SELECT l_orderkey AS read_id, l_suppkey AS hap_id, 1 AS n FROM lineitem GROUP BY ALL), p0 AS (SELECT hap_id, 1.0 / count(*) OVER () AS p FROM (SELECT DISTINCT hap_id FROM cp))"

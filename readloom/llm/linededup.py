@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -80,9 +81,9 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def sketch(line: str) -> int:
-    """Counts of 16 groups of characters, modulo 16, four bits each."""
-    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+def sketch(wide: bytes) -> int:
+    """Counts of 16 groups of characters, modulo 16, four bits each; of a line as 32-bit code points."""
+    points = np.frombuffer(wide, dtype="<u4")
     counts = np.bincount((points * np.uint32(2654435761)) >> np.uint32(28), minlength=16).astype(np.uint64) & np.uint64(15)
     return _signed(int((counts << _SHIFTS).sum(dtype=np.uint64)))
 
@@ -109,6 +110,7 @@ def segments(length: int, k: int) -> list[tuple[int, int]]:
 OWN, LEVEL, SHORTER = 0, 1, 2
 
 
+@lru_cache(maxsize=1 << 14)
 def probes(length: int, k: int) -> list[tuple[int, int, int, int, int]]:
     """What a line looks up: (role, segment, indexed length, place, size). Its own segments are OWN and stand in the
     index; shifted places of lines of the same length are LEVEL, those of smaller lengths SHORTER."""
@@ -125,8 +127,10 @@ def _width(k: int) -> int:
     return len(probes(10 * (k + 1), k))
 
 
-def key_of(line: str, i: int, length: int, at: int, size: int) -> int:
-    return _signed(xxhash.xxh64_intdigest(line[at : at + size].encode(), i * 1_000_003 + length))
+def keys_of(wide: bytes, places: list[tuple[int, int, int, int, int]]) -> list[int]:
+    """Hashed keys of the places of a line, given as 32-bit code points; number and length of the segment are the seed."""
+    digest = xxhash.xxh64_intdigest
+    return [_signed(digest(wide[4 * at : 4 * (at + size)], i * 1_000_003 + length)) for _, i, length, at, size in places]
 
 
 def _lines(text: str | None, least: int) -> Iterator[tuple[int, str]]:
@@ -171,8 +175,9 @@ def line_links(docs: DataFrame, least: int = 40, k: int = EDITS, broadcast_ids:
     names = [f"k{j}" for j in range(width)]
 
     def features(ident: int, line: str) -> tuple:
-        keys = [key_of(line, *p) for _, *p in probes(len(line), k)]
-        return (ident, sketch(line), *keys, *[None] * (width - len(keys)))
+        wide = line.encode("utf-32-le", "surrogatepass")
+        keys = keys_of(wide, probes(len(line), k))
+        return (ident, sketch(wide), *keys, *[None] * (width - len(keys)))
 
     found = _each(docs, least, features, "id bigint, sketch bigint, " + ", ".join(f"{n} bigint" for n in names))
     unique = found.groupBy("id").agg(F.max("sketch").alias("sketch"), *[F.max(n).alias(n) for n in names])

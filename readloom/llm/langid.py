@@ -219,7 +219,8 @@ def identify(docs: DataFrame, learn_from: DataFrame, vocabulary_path: str, docs_
         def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
                 rows = [(lang, w) for lang, t in zip(pdf["lang"], pdf["text"]) for w in LETTERS.findall(t.lower())]
-                yield pd.DataFrame(rows, columns=["lang", "word"]).groupby(["lang", "word"]).size().reset_index(name="n") if rows else pd.DataFrame({"lang": [], "word": [], "n": []})
+                if rows:
+                    yield pd.DataFrame(rows, columns=["lang", "word"]).groupby(["lang", "word"]).size().reset_index(name="n")
 
         counts = chosen.select("lang", "text").mapInPandas(split, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
         model = train(counts, prior, vocabulary(vocabulary_path))

@@ -111,11 +111,11 @@ def a16(spark, sf):
     return G.divergence(en, fr, LETTERS).select("pos", F.round(F.abs("kl"), 6).alias("kl"))
 
 
-@query("p22_divergence_hot_spots", _kl_sql("SELECT pos, round(kl, 6) AS kl FROM kl WHERE kl >= 0.5"))
+@query("p22_divergence_hot_spots", _kl_sql("SELECT pos, round(kl, 6) AS kl FROM kl WHERE round(kl, 6) >= 0.5"))
 def p22(spark, sf):
     b = A.bases(spark, sf)
     en, fr = (G.base_counts(b.where(F.col("lang") == x)) for x in ("en", "fr"))
-    return G.divergence(en, fr, LETTERS).where("kl >= 0.5").select("pos", F.round("kl", 6).alias("kl"))
+    return G.divergence(en, fr, LETTERS).select("pos", F.round("kl", 6).alias("kl")).where("kl >= 0.5")
 
 
 @query("a17_normalise", "SELECT l_orderkey, l_linenumber, round(CASE WHEN t = 0 THEN 0 ELSE l_quantity / t END, 6) AS share FROM (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS t FROM lineitem)")

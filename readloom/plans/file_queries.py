@@ -154,11 +154,11 @@ def k08(spark, sf):
     return writers.cross_table(A.table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"]).select("l_returnflag", F.col("F").alias("f"), F.col("O").alias("o"))
 
 
-@query("k09_entropy_outliers", with_("bases", then="c AS (SELECT pos, base, count(*) AS n FROM bases WHERE base IN ('A','C','G','T') GROUP BY ALL)") + "SELECT pos, " + ", ".join(f"round(coalesce(sum(CASE WHEN base = '{b}' THEN n END), 0) / sum(n), 2) AS {b.lower()}" for b in "ACGT") + " FROM c GROUP BY pos")
+@query("k09_entropy_outliers", with_("bases", then="c AS (SELECT pos, base, count(*) AS n FROM bases WHERE base IN ('A','C','G','T') GROUP BY ALL)") + "SELECT pos, " + ", ".join(f"floor(100.0 * coalesce(sum(CASE WHEN base = '{b}' THEN n END), 0) / sum(n) + 0.5) / 100 AS {b.lower()}" for b in "ACGT") + " FROM c GROUP BY pos")
 def k09(spark, sf):
     c = A.bases(spark, sf).where(F.col("base").isin(*"ACGT")).groupBy("pos").pivot("base", list("ACGT")).count().fillna(0)
     total = sum((F.col(b) for b in "ACGT"), F.lit(0))
-    return c.select("pos", *[F.round(F.col(b) / total, 2).alias(b.lower()) for b in "ACGT"])
+    return c.select("pos", *[(F.floor(F.lit(100.0) * F.col(b) / total + 0.5) / 100).alias(b.lower()) for b in "ACGT"])
 
 
 @query("k10_s09_by_class", with_("rows") + "SELECT lang, count(*) AS n FROM rws WHERE length(seq) > 0 GROUP BY lang")

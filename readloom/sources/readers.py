@@ -19,8 +19,8 @@ from readloom.functions import seq as S
 
 def _records(spark: SparkSession, path, mark: str = ">") -> DataFrame:
     """One row (header, body) for each record; body lines are joined by line feeds. Text before the first mark is no record."""
-    raw = spark.read.option("lineSep", f"\n{mark}").text(path).select(F.regexp_replace("value", "\r", "").alias("v"))
-    text = F.regexp_replace(F.col("v"), f"^(\\s*#[^\n]*\n)*{mark}", "")
+    raw = spark.read.option("lineSep", f"\n{mark}").text(path).select(F.regexp_replace("value", "\r", "").alias("v")).where(~F.ltrim("v").startswith("#"))
+    text = F.regexp_replace(F.col("v"), f"^{mark}", "")
     head = F.split_part(text, F.lit("\n"), F.lit(1))
     return raw.select(head.alias("header"), text.alias("t")).where("length(trim(t)) > 0").select("header", F.when(F.instr(F.col("t"), "\n") > 0, F.substring(F.col("t"), F.instr(F.col("t"), F.lit("\n")) + 1, F.length("t"))).otherwise("").alias("body"))
 
@@ -67,7 +67,7 @@ def sequence_lists(spark: SparkSession, paths) -> DataFrame:
     """(source, read_id, seq): fifth column of tabular read lists, with the file's stem and the line's own columns as id."""
     p = F.split("value", r"\s+")
     stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)(_seq)?\.txt$", 1)
-    return spark.read.text(paths).select(stem.alias("source"), p.alias("p")).where("size(p) >= 5").select("source", F.array_join(F.slice("p", 1, 4), ":").alias("read_id"), F.col("p")[4].alias("seq"))
+    return spark.read.text(paths).select(stem.alias("source"), p.alias("p")).where("size(p) >= 5").select("source", F.array_join(F.slice("p", 1, 4), ":").alias("read_id"), F.get("p", F.lit(4)).alias("seq"))
 
 
 SAM = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
@@ -77,7 +77,7 @@ def sam(spark: SparkSession, path) -> DataFrame:
     """Alignment lines with typed fields, optional tags, strand and mapping flags and parsed CIGAR; pos from 0."""
     p = F.split("value", "\t")
     f = spark.read.text(path).where(~F.col("value").startswith("@")).select(p.alias("p")).where("size(p) >= 11")
-    f = f.select(*[(F.col("p")[i].try_cast("int") if n in ("flag", "pos", "mapq", "pnext", "tlen") else F.col("p")[i]).alias(n) for i, n in enumerate(SAM)], F.slice("p", 12, F.greatest(F.size("p") - 11, F.lit(0))).alias("tags"))
+    f = f.select(*[(F.get("p", F.lit(i)).try_cast("int") if n in ("flag", "pos", "mapq", "pnext", "tlen") else F.get("p", F.lit(i))).alias(n) for i, n in enumerate(SAM)], F.slice("p", 12, F.greatest(F.size("p") - 11, F.lit(0))).alias("tags"))
     f = f.withColumn("pos", F.col("pos") - 1)
     return f.withColumn("is_reverse", F.col("flag").bitwiseAND(F.lit(16)) > 0).withColumn("is_unmapped", F.col("flag").bitwiseAND(F.lit(4)) > 0).withColumn("ops", S.cigar(F.col("cigar")))
 
@@ -108,7 +108,7 @@ def trace(spark: SparkSession, path) -> DataFrame:
 def frequency_table(spark: SparkSession, path) -> DataFrame:
     """(hap, support, reads): tab-separated, one column of reads for each recorded iteration."""
     p = F.split("value", "\t")
-    return spark.read.text(path).select(p.alias("p")).where(F.col("p")[1].rlike("^[0-9.]+$")).select(F.col("p")[0].alias("hap"), F.col("p")[1].try_cast("double").alias("support"), F.transform(F.slice("p", 3, 1 << 20), lambda x: x.try_cast("int")).alias("reads"))
+    return spark.read.text(path).select(p.alias("p")).where(F.get("p", F.lit(1)).rlike("^[0-9.]+$")).select(F.get("p", F.lit(0)).alias("hap"), F.get("p", F.lit(1)).try_cast("double").alias("support"), F.transform(F.slice("p", 3, 1 << 20), lambda x: x.try_cast("int")).alias("reads"))
 
 
 def property_line(spark: SparkSession, path, name: str = "made") -> DataFrame:
@@ -120,9 +120,9 @@ def native_alignments(spark: SparkSession, path) -> DataFrame:
     """Tab-separated native aligner lines: (read_id, kind, seq, status, score, is_unique); footers and headers (#) are dropped."""
     p = F.split("value", "\t")
     f = spark.read.text(path).where(~F.col("value").startswith("#")).select(p.alias("p")).where("size(p) >= 5")
-    status = F.col("p")[4]
+    status = F.get("p", F.lit(4))
     known = F.when(status == "U", "unique").when(status.startswith("R"), "repeat").when(status == "NM", "no match").when(status == "QC", "low quality").otherwise("other")
-    return f.select(F.ltrim(F.col("p")[0], F.lit(">@")).alias("read_id"), F.col("p")[1].alias("kind"), F.col("p")[2].alias("seq"), known.alias("status"), F.get("p", F.lit(5)).try_cast("double").alias("score"), (status == "U").alias("is_unique"))
+    return f.select(F.ltrim(F.get("p", F.lit(0)), F.lit(">@")).alias("read_id"), F.get("p", F.lit(1)).alias("kind"), F.get("p", F.lit(2)).alias("seq"), known.alias("status"), F.get("p", F.lit(5)).try_cast("double").alias("score"), (status == "U").alias("is_unique"))
 
 
 def footer_counts(spark: SparkSession, path) -> DataFrame:
@@ -134,7 +134,7 @@ def footer_counts(spark: SparkSession, path) -> DataFrame:
 def short_alignments(spark: SparkSession, path, shift: int = 0) -> DataFrame:
     """(read_id, start, ref, read) of white-space separated lines ``id start reference read``."""
     p = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where(~F.col("value").startswith("#")).select(p.alias("p")).where("size(p) >= 4").select(F.col("p")[0].alias("read_id"), (F.col("p")[1].try_cast("int") - shift).alias("start"), F.col("p")[2].alias("ref"), F.col("p")[3].alias("read"))
+    return spark.read.text(path).where(~F.col("value").startswith("#")).select(p.alias("p")).where("size(p) >= 4").select(F.get("p", F.lit(0)).alias("read_id"), (F.get("p", F.lit(1)).try_cast("int") - shift).alias("start"), F.get("p", F.lit(2)).alias("ref"), F.get("p", F.lit(3)).alias("read"))
 
 
 def savings(spark: SparkSession, path) -> DataFrame:
@@ -283,7 +283,7 @@ def alignments(spark: SparkSession, path, kind: str) -> DataFrame:
             for name, text in zip(pdf["path"], pdf["value"]):
                 yield pd.DataFrame([(name, *r) for r in parse(text)], columns=["path", "block", "name", "row", "score"])
 
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return files.mapInPandas(run, "path string, block int, name string, row string, score double")
 
 

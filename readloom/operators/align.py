@@ -114,6 +114,12 @@ def profile_scores(profile: list[dict[str, float]], b: str, match: float = 4.0,
     return np.array([[sum(p * (match if c == d else mismatch) for c, p in place.items()) for d in b] for place in profile], dtype=np.float64).reshape(len(profile), len(b))
 
 
+def _spread(reads: DataFrame) -> DataFrame:
+    """Reads dealt evenly: an alignment costs far more than moving its read, and files split by bytes, not by work."""
+    n = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return reads.select("read_id", "seq").repartition(n, "read_id")
+
+
 def best_strand(reads: DataFrame, reference: str, opening: float = 6.0, extension: float = 3.0) -> DataFrame:
     """(read_id, is_reverse, score, ref_row, read_row): the better strand of each read; ties go to the reverse one."""
 
@@ -127,7 +133,7 @@ def best_strand(reads: DataFrame, reference: str, opening: float = 6.0, extensio
             yield pd.DataFrame(out, columns=["read_id", "is_reverse", "score", "ref_row", "read_row"])
 
     kind = reads.schema["read_id"].dataType.simpleString()
-    return reads.select("read_id", "seq").mapInPandas(run, f"read_id {kind}, is_reverse boolean, score double, ref_row string, read_row string")
+    return _spread(reads).mapInPandas(run, f"read_id {kind}, is_reverse boolean, score double, ref_row string, read_row string")
 
 
 def cross_scores(reads: DataFrame, clones: dict[str, str], opening: float = 6.0, extension: float = 3.0) -> DataFrame:
@@ -139,7 +145,7 @@ def cross_scores(reads: DataFrame, clones: dict[str, str], opening: float = 6.0,
             yield pd.DataFrame(rows, columns=["read_id", "clone", "score"])
 
     kind = reads.schema["read_id"].dataType.simpleString()
-    return reads.select("read_id", "seq").mapInPandas(run, f"read_id {kind}, clone string, score double")
+    return _spread(reads).mapInPandas(run, f"read_id {kind}, clone string, score double")
 
 
 def columns_of(pairs: DataFrame) -> DataFrame:

@@ -221,13 +221,13 @@ def a25(spark, sf):
 @query(
     "a26_mutation_signature",
     with_("pairs", then=LONG_PAIRS)
-    + """, m AS (SELECT read_id, string_agg(x || CAST(pos AS VARCHAR) || y, ',' ORDER BY x || CAST(pos AS VARCHAR) || y) AS sig, count(*) AS k FROM lp WHERE x <> y AND pos BETWEEN 1 AND 12 GROUP BY read_id)
- SELECT sig, count(*) AS degeneracy, CAST(sum(k) AS BIGINT) AS weight FROM m GROUP BY sig""",
+    + """, m AS (SELECT read_id, string_agg(x || CAST(pos AS VARCHAR) || y, ',' ORDER BY x || CAST(pos AS VARCHAR) || y) AS sig, count(*) AS k FROM lp WHERE x <> y GROUP BY read_id)
+ SELECT md5(sig) AS sig, count(*) AS degeneracy, CAST(sum(k) AS BIGINT) AS weight FROM m GROUP BY sig""",
 )
 def a26(spark, sf):
     name = F.concat("x", F.col("pos").cast("string"), "y")
-    m = long_pairs(spark, sf).where("x <> y and pos between 1 and 12").groupBy("read_id").agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("sig"), F.count(F.lit(1)).alias("k"))
-    return m.groupBy("sig").agg(F.count(F.lit(1)).alias("degeneracy"), F.sum("k").alias("weight"))
+    m = long_pairs(spark, sf).where("x <> y").groupBy("read_id").agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("sig"), F.count(F.lit(1)).alias("k"))
+    return m.groupBy(F.md5("sig").alias("sig")).agg(F.count(F.lit(1)).alias("degeneracy"), F.sum("k").alias("weight"))
 
 
 @query(

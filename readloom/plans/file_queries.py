@@ -100,10 +100,10 @@ def s15(spark, sf):
     return readers.native_alignments(spark, path).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_unique").cast("long")).alias("kept"))
 
 
-@query("s17_trace", "SELECT CAST(event_id AS BIGINT) AS iter, CAST(user_id % 100 AS BIGINT) AS class, round(value, 6) AS theta FROM events WHERE event_id < 2147483647")
+@query("s17_trace", "SELECT CAST(event_id AS BIGINT) AS iter, CAST(user_id % 100 AS BIGINT) AS class, round(value, 6) AS theta FROM events")
 def s17(spark, sf):
     path = scratch(spark, "trace")
-    e = A.table(spark, sf, "events").where("event_id < 2147483647")
+    e = A.table(spark, sf, "events")
     e.select(F.concat_ws("\t", F.col("event_id").cast("string"), (F.col("user_id") % 100).cast("string"), F.lit("1"), F.col("value").cast("string"), F.lit("0.9")).alias("value")).write.text(path)
     return readers.trace(spark, path).select(F.col("iter").cast("long").alias("iter"), F.col("class").cast("long").alias("class"), F.round("theta", 6).alias("theta"))
 

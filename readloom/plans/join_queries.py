@@ -97,15 +97,16 @@ def j10(spark, sf):
 @query(
     "j11_haplotype_support",
     with_("rows")
-    + """, h AS (SELECT lang, min(read_id) AS id FROM rws WHERE length(seq) >= 30 GROUP BY lang), hs AS (SELECT h.lang, substr(seq, 1, 30) AS hseq FROM h JOIN rws ON read_id = h.id),
- r AS (SELECT read_id, lang, substr(seq, 1, 30) AS rseq FROM rws WHERE length(seq) >= 30)
- SELECT lang, hseq, count(*) AS n FROM r JOIN hs USING (lang) WHERE len(list_filter(range(1, 31), lambda i: rseq[i] <> hseq[i] AND rseq[i] <> 'N' AND hseq[i] <> 'N')) < 20 GROUP BY ALL""",
+    + """, h AS (SELECT lang, arg_min(seq, read_id) AS hseq FROM rws WHERE length(seq) > 0 GROUP BY lang),
+ p AS (SELECT r.lang, read_id, string_split(seq, '') AS a, string_split(hseq, '') AS b, least(length(seq), length(hseq)) AS n FROM rws r JOIN h ON h.lang = r.lang WHERE length(seq) > 0),
+ d AS (SELECT lang, read_id, len(list_filter(range(1, n + 1), lambda i: a[i] <> 'N' AND b[i] <> 'N')) AS both_, len(list_filter(range(1, n + 1), lambda i: a[i] <> b[i] AND a[i] <> 'N' AND b[i] <> 'N')) AS dist FROM p)
+ SELECT lang, count(*) AS n FROM d WHERE both_ > 0 AND dist / both_ < 0.7 GROUP BY lang""",
 )
 def j11(spark, sf):
-    r = A.rows(spark, sf).where("length(seq) >= 30").select("read_id", "lang", F.substring("seq", 1, 30).alias("rseq"))
-    h = r.groupBy("lang").agg(F.min_by("rseq", "read_id").alias("hseq"))
-    d = S.hamming_missing(F.col("rseq"), F.col("hseq"))["dist"]
-    return r.join(h, "lang").where(d < 20).groupBy("lang", "hseq").agg(F.count(F.lit(1)).alias("n"))
+    r = A.rows(spark, sf).where("length(seq) > 0").select("read_id", "lang", "seq")
+    h = r.groupBy("lang").agg(F.min_by("seq", "read_id").alias("hseq"))
+    share = S.let(S.hamming_missing(F.col("seq"), F.col("hseq")), lambda d: F.when(d["dist"] + d["match"] > 0, d["dist"] / (d["dist"] + d["match"])))
+    return r.join(h, "lang").where(share < 0.7).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

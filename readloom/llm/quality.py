@@ -1,7 +1,7 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers vote junk, fine or nothing on every document. Expectation-maximisation
-over the table of vote patterns (at most 3 ** 8 rows, counted over all documents) estimates how each
+over the table of vote patterns (at most 4 ** 8 rows, counted over all documents) estimates how each
 labeller votes on junk and on fine documents, and how common junk is; a pattern's posterior is the weak label. The
 posteriors train a linear scorer over hashed features, frequencies of character-class 4-grams and binned
 statistics, which then scores every document.
@@ -25,7 +25,7 @@ STATS = ("symbols", "letters", "upper", "ends", "distinct", "top", "lines", "pac
 # fixed values: (fine up to, junk from) for each statistic; between the two a labeller does not vote
 CUTS = {
     "symbols": (0.03, 0.08),  # share of characters that are neither letters, digits, white space nor .,;:'"-()
-    "letters": (0.22, 0.33),  # share of characters that are no letters
+    "letters": (0.08, 0.2),  # share of characters other than white space that are no letters
     "upper": (0.2, 0.5),  # share of letters that are capitals
     "ends": (0.25, 0.6),  # share of words that end in a symbol
     "distinct": (0.55, 0.8),  # share of words that repeat an earlier word of the text, against that expected of its length
@@ -48,7 +48,8 @@ def statistics(text: str | None) -> list[float | None]:
     symbols = sum(c for k, c in kinds.items() if not (k.isalnum() or k.isspace() or k in PLAIN))
     letters = sum(c for k, c in kinds.items() if k.isalpha())
     upper = sum(c for k, c in kinds.items() if k.isupper())
-    out: list[float | None] = [symbols / chars, 1 - letters / chars, upper / letters if letters >= 10 else None]
+    blank = sum(c for k, c in kinds.items() if k.isspace())
+    out: list[float | None] = [symbols / chars, 1 - letters / (chars - blank), upper / letters if letters >= 10 else None]
     out.append(sum(1 for w in words if not (w[-1].isalnum() or w[-1] in PLAIN)) / n)
     if n < FEW:
         return [*out, None, None, None, None]
@@ -64,11 +65,11 @@ def statistics(text: str | None) -> list[float | None]:
 
 
 def votes(stats: list[float | None]) -> str:
-    """A character for each labeller: j for junk, f for fine, - for no vote."""
+    """A character for each labeller: j for junk, f for fine, - for undecided, . for a text too short to be judged."""
     out = ""
     for name, x in zip(STATS, stats):
         fine, junk = CUTS[name]
-        out += "-" if x is None else "j" if x >= junk else "f" if x <= fine else "-"
+        out += "." if x is None else "j" if x >= junk else "f" if x <= fine else "-"
     return out
 
 
@@ -78,7 +79,7 @@ def em(patterns: dict[str, int], rounds: int = 50, strength: float = 0.02) -> di
     if not keys:
         return {}
     n = np.array([patterns[k] for k in keys], dtype=np.float64)
-    marks = np.array([["jf-".index(c) for c in k] for k in keys])
+    marks = np.array([["jf-.".index(c) for c in k] for k in keys])  # the last one is missing, and says nothing
     prior_junk, prior_fine = np.array([0.45, 0.25, 0.3]), np.array([0.02, 0.78, 0.2])
     weight = max(1.0, strength * n.sum())
     post = np.clip((marks == 0).sum(axis=1) - 0.25 * (marks == 1).sum(axis=1) / marks.shape[1], 0.02, 0.98)
@@ -86,9 +87,10 @@ def em(patterns: dict[str, int], rounds: int = 50, strength: float = 0.02) -> di
         junk = (n @ post + 0.1 * weight) / (n.sum() + weight)
         logs = np.full(len(keys), np.log(junk / (1 - junk)))
         for j in range(marks.shape[1]):
-            votes_junk = np.bincount(marks[:, j], n * post, 3) + weight * prior_junk
-            votes_fine = np.bincount(marks[:, j], n * (1 - post), 3) + weight * prior_fine
-            logs += (np.log(votes_junk / votes_junk.sum()) - np.log(votes_fine / votes_fine.sum()))[marks[:, j]]
+            votes_junk = np.bincount(marks[:, j], n * post, 4)[:3] + weight * prior_junk
+            votes_fine = np.bincount(marks[:, j], n * (1 - post), 4)[:3] + weight * prior_fine
+            says = np.log(votes_junk / votes_junk.sum()) - np.log(votes_fine / votes_fine.sum())
+            logs += np.append(says, 0.0)[marks[:, j]]
         post = 1 / (1 + np.exp(-np.clip(logs, -30, 30)))
     return dict(zip(keys, post.tolist()))
 
@@ -112,7 +114,9 @@ def hashed(text: str | None, stats: list[float | None]) -> np.ndarray:
         g = ((c[:-3] * 8 + c[1:-2]) * 8 + c[2:-1]) * 8 + c[3:]
         out[:half] = np.sqrt(np.bincount((g * 0x9E3779B1 >> 7) % half, minlength=half) / len(g))
     for name, x in zip(STATS, stats):
-        level = "none" if x is None else int(min(x, 1.0) * 20)
+        if x is None:
+            continue
+        level = int(min(x, 1.0) * 20)
         out[half + zlib.crc32(f"{name}={level}".encode()) % half] = 0.5
     return out
 

@@ -24,16 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly if the scan has fewer splits than the session has cores: a file of one row group is one task
+    otherwise. Inputs of many splits are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores)
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, start, seq, len, stop), interval 0-based inclusive; only reads with letters."""
     seq = letters(F.col("text"), "", FOUR)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), (F.col("doc_id") % SPREAD).cast("int").alias("start"), seq.alias("seq"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("read_id"), (F.col("doc_id") % SPREAD).cast("int").alias("start"), seq.alias("seq"))
     return docs.where("length(seq) > 0").select("*", F.length("seq").alias("len")).withColumn("stop", F.col("start") + F.col("len") - 1)
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, lang, source, seq) over ACGT-N."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return docs.select(F.col("doc_id").alias("read_id"), "lang", "source", letters(F.col("text"), "-", FIVE).alias("seq"))
 
 

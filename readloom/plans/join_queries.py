@@ -17,7 +17,7 @@ LEAST = 30
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two successive lines of a text as one read, at the place of the first one among the text's letters."""
-    docs = A.table(spark, sf_dir, "documents").where("text is not null")
+    docs = A.spread(A.table(spark, sf_dir, "documents").select("doc_id", "text")).where("text is not null")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw")).select("doc_id", "i", A.letters(F.col("raw"), "", A.FOUR).alias("s"))
     w = Window.partitionBy("doc_id").orderBy("i")
     at = F.coalesce(F.sum(F.length("s")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -52,7 +52,7 @@ def j01(spark, sf):
  SELECT read_id FROM k""",
 )
 def j02(spark, sf):
-    return joins.remove_contained(fragments(spark, sf)).select("read_id")
+    return joins.remove_contained(durable(fragments(spark, sf))).select("read_id")
 
 
 @query(
@@ -63,7 +63,7 @@ def j02(spark, sf):
  WHERE substr(r.seq, s.start - r.start + 1, 16) = substr(s.seq, 1, 16) AND substr(r.seq, s.start - r.start + 1) = substr(s.seq, 1, r.stop - s.start + 1)""",
 )
 def j03(spark, sf):
-    return joins.overlaps(fragments(spark, sf), LEAST)
+    return joins.overlaps(durable(fragments(spark, sf)), LEAST)
 
 
 COMPAT = "hp AS (SELECT read_id AS hap_id, seq, start AS hs, stop AS he FROM fr WHERE start = 0), cp AS (SELECT f.read_id, h.hap_id FROM fr f JOIN hp h ON f.start = 0 AND starts_with(h.seq, f.seq))"

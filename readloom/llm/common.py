@@ -18,6 +18,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "readloom-checkpoints"))
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Let texts cross to Python in smaller batches than Spark's default; a setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage by a reliable checkpoint, which outlives executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import durable, table
+from readloom.llm.common import durable, small_batches, table
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -158,6 +158,7 @@ def find_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     Null and empty texts have none; repeated rows are each scanned; an empty table gives no rows; other
     columns are not read. The corpus-wide table of p-values has at most 48 x 50 rows, whatever the input.
     """
+    small_batches(docs.sparkSession)
     seen = durable(scan(docs))
     hist = seen.select(F.explode("cands").alias("c")).groupBy("c.cls", "c.bin").count().collect()
     least = F.array(*[F.lit(x) for x in thresholds({(r["cls"], r["bin"]): r["count"] for r in hist}, rate)])

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.llm.common import connected_components, durable, table
+from readloom.llm.common import connected_components, durable, small_batches, table
 
 EDITS = 2
 
@@ -212,6 +212,7 @@ def line_classes(docs: DataFrame, least: int = 40, k: int = EDITS) -> DataFrame:
     other columns are not read.
     """
     docs = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     links = durable(line_links(docs, least, k))
     comp = connected_components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))

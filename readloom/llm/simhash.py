@@ -7,6 +7,9 @@ differ in at most 2 bits exactly if a table entry lies within one bit of both, s
 matches of an entry finds every link, an entry holds 65 different fingerprints at most, and the
 complete distance to the entry's smallest fingerprint is verified. No group of near copies is
 expanded into its pairs: each fingerprint is linked with the smallest one of each entry.
+
+Two bits do not reach texts of Jaccard similarity 0.8; the pipeline's stage finds those by their rarest
+shingles and compares whole sets (``near_copies``).
 """
 
 from __future__ import annotations
@@ -17,21 +20,25 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import connected_components, durable, table
+from readloom.llm.common import connected_components, durable, hash_share, small_batches, table
 
 BITS, SEGMENTS, RADIUS = 64, 4, 2
+NEAR = 4, 5  # Jaccard similarity of the pipeline's near copies, as a fraction
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """SimHash of the word shingles of a text, as a signed 64-bit integer; 0 for null or wordless texts."""
+def _hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """Hashes of the word shingles of a text, in its order; of a shorter text all words are one shingle."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
     if len(words) < shingle:
-        grams = [b" ".join(words)]
+        grams = [b" ".join(words)] if words else []
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    h = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), dtype="<u8")
+    return np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """SimHash of the word shingles of a text, as a signed 64-bit integer; 0 for null or wordless texts."""
+    h = _hashes(text, shingle, seed)
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(h), 4096):
         part = h[at : at + 4096]
@@ -87,10 +94,109 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _frequent(docs: DataFrame, shingle: int, sample: int = 5_000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that three or more texts of a sample hold, in order, and their number of texts."""
+
+    @F.pandas_udf("array<bigint>")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(_hashes(t, shingle, 42)).view("<i8") for t in texts], dtype=object)
+
+    share = min(1.0, sample / max(1, docs.count()))
+    some = docs.where(hash_share(F.col("doc_id"), "shingles") < share)
+    counts = some.select(F.explode(sets("text")).alias("key")).groupBy("key").count().where("count >= 3")
+    rows = counts.orderBy(F.desc("count"), "key").limit(most).toPandas().sort_values("key")
+    return rows["key"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
+
+
+def _ordered(text: str | None, shingle: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The different shingles of a text, those of few texts first and by hash among equals: one order for all texts."""
+    h = np.unique(_hashes(text, shingle, 42).view("<i8"))
+    if not len(keys) or not len(h):
+        return h
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return h[np.lexsort((h, np.where(keys[at] == h, counts[at], 0)))]
+
+
+def _signature(hashes: np.ndarray) -> int:
+    """Hash of a set of shingles."""
+    return int(np.array([xxhash.xxh64_intdigest(np.sort(hashes).tobytes(), 7)], dtype="<u8").view("<i8")[0])
+
+
+def _confirmed(docs: DataFrame, unique: DataFrame, pairs: DataFrame, shingle: int, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of NEAR or more."""
+
+    @F.pandas_udf("node bigint, shingles array<bigint>")
+    def sets(texts: pd.Series) -> pd.DataFrame:
+        found = [np.unique(_hashes(t, shingle, 42).view("<i8")) for t in texts]
+        return pd.DataFrame({"node": [_signature(x) for x in found], "shingles": found})
+
+    nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(unique.select("node", "first"), "node"))
+    few = nodes.count() <= broadcast_ids
+    ids = nodes.select(F.col("first").alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    found = texts.select(sets("text").alias("s")).select("s.node", "s.shingles").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+    found = durable(found.dropDuplicates(["node"]))
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return both.where((NEAR[0] + NEAR[1]) * common >= NEAR[0] * total).select("a", "b")
+
+
+def _candidates(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) that can be near copies, of rows (a, b, na, nb), one for each shingle that their prefixes share.
+
+    What two sets have in common beyond their prefixes is at most the rest of one of them."""
+    p, q = NEAR
+    rest = f"greatest(({p} * na + {q - 1}) div {q}, ({p} * nb + {q - 1}) div {q}) - 1"
+    return pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(f"{p + q} * (c + {rest}) >= {p} * (na + nb)").select("a", "b")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id): components of all texts whose sets of word shingles have a Jaccard similarity of NEAR or more.
+
+    Exact: of two such sets, each has one of its first n - ceil(NEAR n) + 1 shingles among the other's, in any order
+    common to all, here by rarity. Texts of one set are one node. The nodes of a shingle are first linked with the
+    smallest of them, so that a group of near copies is one component already when the pairs between different
+    components are compared, and is not expanded into its pairs. Every link is confirmed by the whole sets.
+    """
+    small_batches(docs.sparkSession)
+    keys, counts = _frequent(docs, shingle)
+    p, q = NEAR
+
+    @F.pandas_udf("node bigint, n int, prefix array<bigint>")
+    def prefixes(texts: pd.Series) -> pd.DataFrame:
+        found = [_ordered(t, shingle, keys, counts) for t in texts]
+        first = [h[: len(h) + 1 - -(-p * len(h) // q)] if len(h) else h for h in found]
+        return pd.DataFrame({"node": [_signature(h) for h in found], "n": [len(h) for h in found], "prefix": first})
+
+    fps = durable(docs.select("doc_id", prefixes("text").alias("s")).select("doc_id", "s.*"))
+    unique = fps.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    unique = durable(unique)
+    entries = unique.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    same = Window.partitionBy("key")
+    shared = durable(entries.withColumn("least", F.min(F.struct("node", "n")).over(same)).withColumn("most", F.max("node").over(same)).where("least.node <> most"))
+    pairs = durable(_candidates(shared.where("node <> least.node").select(F.col("node").alias("a"), F.col("least.node").alias("b"), F.col("n").alias("na"), F.col("least.n").alias("nb"))))
+    links = durable(_confirmed(docs, unique, pairs, shingle))
+    comp = durable(connected_components(links))
+
+    named = shared.join(comp, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("comp"))
+    named = durable(named.withColumn("low", F.min("comp").over(same)).withColumn("high", F.max("comp").over(same)).where("low <> high").drop("low", "high"))
+    x, y = named.alias("x"), named.alias("y")
+    most = F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # shingles in common, at most
+    close = (p + q) * most >= p * (F.col("x.n") + F.col("y.n"))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    rest = durable(_candidates(rest))
+    every = links.unionByName(_confirmed(docs, unique, rest, shingle))
+    comp = connected_components(every)
+    grouped = unique.select("node", "first").join(comp, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))
+    roots = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    return fps.select("doc_id", "node").join(grouped.join(roots, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (smallest doc_id); five-word shingles. Rows without doc_id stay."""
+    """One document of each group of near copies (smallest doc_id): five-word shingles, Jaccard similarity of 0.8 or more.
+    Rows without doc_id stay."""
     named = docs.where(F.col("doc_id").isNotNull())
-    keep = near_duplicates(named, shingle=5).where("doc_id = component_id").select("doc_id").distinct()
+    keep = near_copies(named, shingle=5).where("doc_id = component_id").select("doc_id").distinct()
     copies = Window.partitionBy("doc_id").orderBy("doc_id")  # repeated rows of a kept id: on the join's own partitioning
     kept = named.join(keep, "doc_id", "left_semi").withColumn("_rl_copy", F.row_number().over(copies)).where("_rl_copy = 1").drop("_rl_copy")
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -235,3 +235,33 @@ def test_pigeonhole_is_exact():
         for radius in (3, 9, 14, 30):
             want = np.flatnonzero(mih.POPCOUNT[c ^ c[i]].sum(axis=1, dtype=int) <= radius)
             assert (shard.within(c[i], radius) == want).all()
+
+
+def test_stage_catches_near_copies(spark):
+    rng = random.Random(11)
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = []
+    for d in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        texts.append(" ".join(words))
+        for changes in (1, 2, 3, 5, 8, 12):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), changes):
+                copy[at] = f"new{rng.randrange(9999)}"
+            texts.append(" ".join(copy))
+        texts.append(" ".join(words[:80]) + " " + passage)
+    rng.shuffle(texts)
+    s = Sets()
+    planted = 0
+    grams = [sets(t) for t in texts]
+    for i, a in enumerate(grams):
+        s.find(i)
+        for j, b in enumerate(grams[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                s.join(i, j)
+                planted += len(a & b) <= 0.95 * len(a | b)
+    assert planted > 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash.simhash_stage(spark, docs, SF).collect())
+    assert kept == [i for i in range(len(texts)) if s.find(i) == i]

@@ -141,12 +141,12 @@ def _lines(text: str | None, least: int) -> Iterator[tuple[int, str]]:
             yield n, line
 
 
-def occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, text_hash, line_no, id) of every line that is long enough."""
+def occurrences(docs: DataFrame, least: int, words: int | None = None) -> DataFrame:
+    """(doc_id, text_hash, line_no, id) of every line that is long enough, or holds ``words`` words (if not None)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [(at, n, line_id(line)) for at, t in enumerate(pdf["text"]) for n, line in _lines(t, least)]
+            rows = [(at, n, line_id(line)) for at, t in enumerate(pdf["text"]) for n, line in _lines(t, least if words is None else 1) if len(line) >= least or len(line.split()) >= words]
             at, n, ids = zip(*rows) if rows else ((), (), ())
             own = pdf.iloc[list(at)]
             yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "text_hash": own["text_hash"].to_numpy(np.int64), "line_no": n, "id": ids})
@@ -203,11 +203,12 @@ def line_links(docs: DataFrame, least: int = 40, k: int = EDITS, broadcast_ids:
     return both.where(verify(F.col("x"), F.col("y"))).select("a", "b")
 
 
-def line_classes(docs: DataFrame, least: int = 40, k: int = EDITS) -> DataFrame:
+def line_classes(docs: DataFrame, least: int = 40, k: int = EDITS, words: int | None = None) -> DataFrame:
     """One row per line of at least ``least`` characters: doc_id, text_hash, line_no, class_doc_id, class_line_no, n_links, kept.
 
     The class is named by its first occurrence, which is the kept one; n_links counts the different lines
-    within ``k`` edits. Null and empty texts have no lines; shorter lines take no part; of a row that is repeated
+    within ``k`` edits. Null and empty texts have no lines; shorter lines take part if they hold at least ``words``
+    words (with None: never), and only equal ones are of a class, as few edits turn most of them into each other; of a row that is repeated
     (doc_id and text), lines are the same occurrences; a null doc_id comes first; an empty table gives no rows;
     other columns are not read.
     """
@@ -217,7 +218,7 @@ def line_classes(docs: DataFrame, least: int = 40, k: int = EDITS) -> DataFrame:
     comp = connected_components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = durable(ends.join(comp, ends["id"] == comp["node"]).select("id", "n_links", F.col("component").alias("class")))
-    occ = durable(occurrences(docs, least))
+    occ = durable(occurrences(docs, least, words))
     per_line = occ.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first"))
     shared = per_line.join(classes, "id", "left").where("n > 1 or class is not null").withColumn("class", F.coalesce("class", "id"))
     firsts = shared.groupBy("class").agg(F.min("first").alias("lead"))
@@ -236,16 +237,16 @@ def line_classes(docs: DataFrame, least: int = 40, k: int = EDITS) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+    return line_classes(table(spark, sf_dir, "documents"), words=0).drop("text_hash")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least_left: float = 0.2) -> DataFrame:
-    """Documents without the lines that are kept elsewhere; n_chars follows the text.
+    """Documents without the lines that are kept elsewhere; n_chars follows the text. Short lines of one word stay.
 
     A document of which less than ``least_left`` of the characters stay was nothing but such lines, and goes; one that
     loses no line stays as it is, null and empty texts included.
     """
-    drop = line_classes(docs).where("not kept").groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("_rl_drop"))
+    drop = line_classes(docs, words=2).where("not kept").groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("_rl_drop"))
     drop = drop.select(F.col("doc_id").alias("_rl_id"), F.col("text_hash").alias("_rl_hash"), "_rl_drop")
     keyed = docs.withColumn("_rl_text_hash", F.xxhash64("text"))
     joined = keyed.join(drop, F.col("doc_id").eqNullSafe(F.col("_rl_id")) & (F.col("_rl_text_hash") == F.col("_rl_hash")), "left")

@@ -265,3 +265,14 @@ def test_stage_catches_near_copies(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = sorted(r["doc_id"] for r in simhash.simhash_stage(spark, docs, SF).collect())
     assert kept == [i for i in range(len(texts)) if s.find(i) == i]
+
+
+def test_short_lines_are_deduplicated(spark, tmp_path):
+    short, near, long = "All rights reserved.", "All rights reserved!", "A line of more than forty characters, which only one text holds."
+    docs = spark.createDataFrame([(1, f"{long} 1\n{short}\n}}\n\n"), (2, f"{short}\n{long} and a different end\n}}"), (3, f"{near}\nDone\n  {short}\t")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["class_line_no"], r["kept"]) for r in linededup.op5(spark, str(tmp_path)).collect()}
+    first = {(1, 0): True, (1, 1): True, (1, 2): True, (2, 1): True, (3, 0): True, (3, 1): True}
+    assert got == {at: (*at, True) for at in first} | {(2, 0): (1, 1, False), (3, 2): (1, 1, False), (2, 2): (1, 2, False)}
+    left = {r["doc_id"]: r["text"] for r in linededup.line_stage(spark, docs, SF).collect()}
+    assert left == {1: f"{long} 1\n{short}\n}}\n\n", 2: f"{long} and a different end\n}}", 3: f"{near}\nDone"}

@@ -50,18 +50,57 @@ def constellations(n: int, length: int, letters: int = 2) -> Iterator[np.ndarray
         yield np.array(cells, dtype=np.int64).reshape(n, length)
 
 
+def _windows(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A read in windows of n letters, (windows, n), and the length of each; the last one is filled up."""
+    count = -(-len(codes) // n)
+    out = np.full(count * n, -2, dtype=np.int8)
+    out[: len(codes)] = codes
+    return out.reshape(count, n), np.minimum(n, len(codes) - n * np.arange(count))
+
+
+def window_logliks(windows: np.ndarray, lengths: np.ndarray, ancestors: np.ndarray, rho: float, mu: float, eps: float, letters: int) -> np.ndarray:
+    """``log_likelihood`` of the first letters, as many as its length, of each window, all windows at a time."""
+    k = len(ancestors)
+    same = (1 - mu) * (1 - eps) + mu * eps / (letters - 1)
+    order = np.argsort(-lengths, kind="stable")
+    windows, out = windows[order], np.zeros(len(order))
+    active = len(order) - np.searchsorted(np.sort(lengths), np.arange(windows.shape[1]), side="right")  # windows longer than a place
+    cur = np.full((len(order), k), 1 / k)
+    for j, m in enumerate(active):
+        if not m:
+            break
+        if j:
+            cur = (1 - rho) * cur[:m] + rho / k  # rows sum to one
+        cur = cur * np.where(ancestors[:, j] == windows[:m, j, None], same, (1 - same) / (letters - 1))
+        sums = cur.sum(axis=1)
+        out[:m] += np.log(sums)
+        cur /= sums[:, None]
+    back = np.empty(len(order))
+    back[order] = out
+    return back
+
+
 def score_reads(reads: DataFrame, ancestors: list[str], rho: float = 0.05, mu: float = 0.01, eps: float = 0.01, letters: str = "ACGT") -> DataFrame:
-    """(read_id, loglik) of each read against ancestors of at least its length, letter by letter from the first."""
-    code = {c: i for i, c in enumerate(letters)}
-    anc = [np.array([code.get(c, -1) for c in a]) for a in ancestors]
+    """(read_id, loglik) of each whole read, letter by letter from the ancestors' first.
+
+    A read longer than the shortest ancestor is cut into windows of that length, each of which starts at the
+    ancestors' first letter; the log-likelihoods of its windows are added. Reads without letters have 0."""
+    n = min(map(len, ancestors))
+    if not n:
+        raise ValueError("an ancestor has no letters")
+    code = np.full(256, -2, dtype=np.int8)
+    for i, c in enumerate(letters):
+        code[ord(c)] = i
+    anc = np.array([[letters.find(c) for c in a[:n]] for a in ancestors], dtype=np.int8)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = []
-            for s in pdf["seq"]:
-                r = np.array([code.get(c, -2) for c in s])
-                n = min([len(r), *map(len, anc)])
-                out.append(log_likelihood(r[:n], np.stack([a[:n] for a in anc]), rho, mu, eps, len(letters)) if n else 0.0)
+            out = np.zeros(len(pdf))
+            cut = [_windows(code[np.frombuffer(s.encode("latin-1", "replace"), dtype=np.uint8)], n) for s in pdf["seq"]]
+            if cut:
+                of = np.repeat(np.arange(len(cut)), [len(w) for w, _ in cut])
+                found = window_logliks(np.concatenate([w for w, _ in cut]), np.concatenate([m for _, m in cut]), anc, rho, mu, eps, len(letters))
+                np.add.at(out, of, found)
             yield pd.DataFrame({"read_id": pdf["read_id"], "loglik": out})
 
     return reads.select("read_id", "seq").mapInPandas(run, f"read_id {reads.schema['read_id'].dataType.simpleString()}, loglik double")

@@ -271,3 +271,17 @@ def test_vote_and_gaps(spark):
     b = spark.createDataFrame([(1, 1, "A"), (2, 1, "-"), (3, 1, "N"), (1, 2, "A"), (2, 2, "C"), (3, 2, "-")], "read_id long, pos long, base string")
     fixed = aggregates.correct_gaps(b)
     assert fixed.where("fixed").count() == 2 and {r["base"] for r in fixed.where("pos = 1").collect()} == {"A"}
+
+
+def test_whole_reads_are_scored(spark):
+    rng = np.random.default_rng(3)
+    anc = ["".join(rng.choice(list("ACGT"), n)) for n in (12, 15, 13)]
+    reads = {i: "".join(rng.choice(list("ACGTN"), n)) for i, n in enumerate((0, 1, 12, 13, 24, 40))}
+    got = {r["read_id"]: r["loglik"] for r in hmm.score_reads(spark.createDataFrame(list(reads.items()), "read_id long, seq string"), anc).collect()}
+    number = lambda s, other: np.array(["ACGT".find(c) if c in "ACGT" else other for c in s])
+    for i, s in reads.items():
+        parts = [s[k : k + 12] for k in range(0, len(s), 12)]
+        want = sum(hmm.log_likelihood(number(p, -2), np.stack([number(a[: len(p)], -1) for a in anc]), 0.05, 0.01, 0.01, 4) for p in parts)
+        assert abs(got[i] - want) < 1e-9
+    with pytest.raises(ValueError):
+        hmm.score_reads(spark.createDataFrame([(1, "A")], "read_id long, seq string"), ["ACGT", ""])

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm.common import ensure_checkpoint_dir
 from readloom.llm.decontam import decontaminate_stage
-from readloom.llm.linededup import line_stage
+from readloom.llm.linededup import own_lines_stage
 from readloom.llm.mixing import mixing_stage
 from readloom.llm.quality import quality_stage
 from readloom.llm.simhash import simhash_stage
 
 STAGES = [
     ("quality_classifier", quality_stage),
-    ("line_dedup", line_stage),
+    ("line_dedup", own_lines_stage),
     ("simhash_near_dedup", simhash_stage),
     ("benchmark_decontamination", decontaminate_stage),
     ("source_mixing", mixing_stage),

@@ -252,6 +252,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least_left: fl
     joined = keyed.join(drop, F.col("doc_id").eqNullSafe(F.col("_rl_id")) & (F.col("_rl_text_hash") == F.col("_rl_hash")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_rl_drop", i)), "\n")
     cut = joined.withColumn("_rl_text", F.when(F.col("_rl_drop").isNull(), F.col("text")).otherwise(left))
-    stays = cut.where(F.col("_rl_drop").isNull() | (F.length(F.trim("_rl_text")) >= F.greatest(F.lit(1.0), F.length("text") * least_left)))
+    stays = cut.where(F.col("_rl_drop").isNull() | F.col("_rl_text").rlike("[^ \\t\\r\\n]") & (F.length(F.trim("_rl_text")) >= F.greatest(F.lit(1.0), F.length("text") * least_left)))
     changed = {"text": F.col("_rl_text"), "n_chars": F.when(F.col("_rl_drop").isNull(), F.col("n_chars")).otherwise(F.length("_rl_text").cast("long")) if "n_chars" in docs.columns else None}
     return stays.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+
+
+def own_lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The line stage of the pipeline: a document goes only if nothing but blanks is left of it."""
+    return line_stage(spark, docs, sf_dir, least_left=0.0)

@@ -276,3 +276,10 @@ def test_short_lines_are_deduplicated(spark, tmp_path):
     assert got == {at: (*at, True) for at in first} | {(2, 0): (1, 1, False), (3, 2): (1, 1, False), (2, 2): (1, 2, False)}
     left = {r["doc_id"]: r["text"] for r in linededup.line_stage(spark, docs, SF).collect()}
     assert left == {1: f"{long} 1\n{short}\n}}\n\n", 2: f"{long} and a different end\n}}", 3: f"{near}\nDone"}
+
+
+def test_own_paragraphs_stay(spark):
+    shared, own = "This long passage stands in more than one document, word for word. " * 8, "Its own few words."
+    docs = spark.createDataFrame([(1, shared), (2, f"{shared}\n{own}"), (3, f"\n{shared}\n\t\n")], "doc_id long, text string")
+    stage = dict(__import__("corpus_pipeline").STAGES)["line_dedup"]
+    assert {r["doc_id"]: r["text"] for r in stage(spark, docs, SF).collect()} == {1: shared, 2: own}

@@ -1,18 +1,28 @@
-"""Reliable cuts of lineage for iterative operators."""
+"""Reliable cuts of lineage, and intermediate tables in the folder that all executors share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; one is set only where the session names none (tests)."""
+    """The checkpoint folder that all executors share, as the session names it in spark.checkpoint.dir.
+
+    Only a local master, whose driver and executors are one process, gets a temporary folder where none is named;
+    on a cluster each executor would write to a disk of its own, so that is an error.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "readloom"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "readloom"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -20,3 +30,19 @@ def durable(df: DataFrame) -> DataFrame:
     """Compute once into the shared checkpoint folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of any store that Spark reaches; nothing happens if it is not there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder of its own in the shared one, deleted when the block ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        delete(spark, path)

@@ -8,7 +8,7 @@ selection). Keys are 64-bit hashes; candidates must agree in a small sketch of c
 an edit changes by two at most, so that lines which merely share a long segment never leave the join
 as pairs. Their texts are fetched by line id and verified by a banded bit-parallel edit distance.
 
-Equal lines are one line throughout. Linked lines form classes; of a class the first occurrence, by
+Equal lines are one line throughout, of whatever length. Linked lines form classes; of a class the first occurrence, by
 doc_id and place, is kept. Line ids are 64-bit hashes of the text.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.llm.common import connected_components, durable, small_batches, table
+from readloom.llm.common import by_size, connected_components, durable, slices, table, unused
 
 EDITS = 2
 
@@ -74,23 +74,10 @@ def within(a: str, b: str, k: int) -> bool:
 
 
 def line_id(line: str) -> int:
-    return _signed(xxhash.xxh64_intdigest(line.encode(), 42))
-
-
-def _signed(h: int) -> int:
+    h = xxhash.xxh64_intdigest(line.encode(), 42)
     return h - (1 << 64) if h >> 63 else h
 
 
-def sketch(wide: bytes) -> int:
-    """Counts of 16 groups of characters, modulo 16, four bits each; of a line as 32-bit code points."""
-    points = np.frombuffer(wide, dtype="<u4")
-    counts = np.bincount((points * np.uint32(2654435761)) >> np.uint32(28), minlength=16).astype(np.uint64) & np.uint64(15)
-    return _signed(int((counts << _SHIFTS).sum(dtype=np.uint64)))
-
-
-_SHIFTS = np.arange(0, 64, 4, dtype=np.uint64)
-
-
 def _far(x: Column, y: Column) -> Column:
     """Lower bound of twice the edit distance, from two sketches."""
     total = F.lit(0)
@@ -123,14 +110,50 @@ def probes(length: int, k: int) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def _width(k: int) -> int:
-    return len(probes(10 * (k + 1), k))
+@lru_cache(maxsize=1 << 14)
+def _places(length: int, k: int) -> np.ndarray:
+    """The probes of a line of that length, one row each: place, end, seed of the key."""
+    return np.array([(at, at + size, (i * 1_000_003 + indexed) * 0x9E3779B97F4A7C15 % (1 << 63)) for _, i, indexed, at, size in probes(length, k)], dtype=np.uint64)
+
+
+_BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse modulo 2**64
+_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
 
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base, and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        n = max(n, 2 * len(_POWERS[0]))
+        for j, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            step = np.full(n, base, dtype=np.uint64)
+            step[0] = 1
+            _POWERS[j] = np.cumprod(step)
+    return _POWERS
 
-def keys_of(wide: bytes, places: list[tuple[int, int, int, int, int]]) -> list[int]:
-    """Hashed keys of the places of a line, given as 32-bit code points; number and length of the segment are the seed."""
-    digest = xxhash.xxh64_intdigest
-    return [_signed(digest(wide[4 * at : 4 * (at + size)], i * 1_000_003 + length)) for _, i, length, at, size in places]
+
+def features(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line the sketch, and the hashed keys of its probes, (lines, probes); lines hold 10 (k + 1) characters or more.
+
+    The sketch counts 16 groups of characters, modulo 16, four bits each. A key hashes number and indexed length of a
+    segment and its characters, by differences of one running polynomial hash over all lines.
+    """
+    wide = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    lengths = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    starts = np.cumsum(lengths) - lengths
+    group = (wide * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) >> np.uint64(28)
+    counts = np.bincount(np.repeat(np.arange(len(lines)), lengths) * 16 + group.astype(np.int64), minlength=16 * len(lines)).reshape(-1, 16)
+    sketch = ((counts.astype(np.uint64) & np.uint64(15)) << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    up, down = _powers(len(wide) + 1)
+    sums = np.zeros(len(wide) + 1, dtype=np.uint64)
+    np.cumsum((wide + np.uint64(1)) * up[: len(wide)], out=sums[1:])
+    sizes, which = np.unique(lengths, return_inverse=True)
+    table = np.stack([_places(n, k) for n in sizes.tolist()]) if len(lines) else np.zeros((0, len(probes(10 * (k + 1), k)), 3), dtype=np.uint64)
+    here = table[which]
+    lo, hi = (starts[:, None] + here[:, :, j].astype(np.int64) for j in (0, 1))
+    h = (sums[hi] - sums[lo]) * down[lo] ^ here[:, :, 2]
+    for mix in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(mix)
+    return sketch.view(np.int64), (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
 def _lines(text: str | None, least: int) -> Iterator[tuple[int, str]]:
@@ -141,12 +164,12 @@ def _lines(text: str | None, least: int) -> Iterator[tuple[int, str]]:
             yield n, line
 
 
-def occurrences(docs: DataFrame, least: int, words: int | None = None) -> DataFrame:
-    """(doc_id, text_hash, line_no, id) of every line that is long enough, or holds ``words`` words (if not None)."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, line_no, id) of every line that is not blank."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = [(at, n, line_id(line)) for at, t in enumerate(pdf["text"]) for n, line in _lines(t, least if words is None else 1) if len(line) >= least or len(line.split()) >= words]
+        for pdf in slices(parts):
+            rows = [(at, n, line_id(line)) for at, t in enumerate(pdf["text"]) for n, line in _lines(t, 1)]
             at, n, ids = zip(*rows) if rows else ((), (), ())
             own = pdf.iloc[list(at)]
             yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "text_hash": own["text_hash"].to_numpy(np.int64), "line_no": n, "id": ids})
@@ -155,40 +178,43 @@ def occurrences(docs: DataFrame, least: int, words: int | None = None) -> DataFr
     return docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, f"doc_id {kind}, text_hash bigint, line_no int, id bigint")
 
 
-def _each(docs: DataFrame, least: int, row, schema: str) -> DataFrame:
-    """One row, made by ``row`` of id and line, for every line that is new in its batch."""
+def _each(docs: DataFrame, least: int, columns, schema: str) -> DataFrame:
+    """What ``columns`` makes of the lines that are new in their batch: one row each, with the line's id."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            new = {line for t in pdf["text"] for _, line in _lines(t, least)}
-            yield pd.DataFrame([row(line_id(line), line) for line in new], columns=[c.split()[0] for c in schema.split(", ")])
+        for pdf in slices(parts):
+            new = list({line for t in pdf["text"] for _, line in _lines(t, least)})
+            for some in by_size(new, 1 << 18):
+                yield pd.DataFrame({"id": np.fromiter(map(line_id, some), dtype=np.int64, count=len(some)), **columns(some)})
 
     return docs.where(F.col("text").isNotNull()).select("text").mapInPandas(run, schema)
 
 
 def line_links(docs: DataFrame, least: int = 40, k: int = EDITS, broadcast_ids: int = 2_000_000) -> DataFrame:
-    """Pairs (a, b), a < b, of ids of different lines within ``k`` edits; each pair once.
+    """Pairs (a, b), a < b, of ids of different lines of at least ``least`` characters within ``k`` edits; each pair once.
 
     The texts to verify are those of candidate lines only: the scan is joined with their ids, which are broadcast while
     they number at most ``broadcast_ids`` (16 MB), and by a shuffle beyond that."""
-    width = _width(k)
-    names = [f"k{j}" for j in range(width)]
+    if least < 10 * (k + 1):
+        raise ValueError("lines have to hold 10 (k + 1) characters at least")
+    roles = [p[0] for p in probes(10 * (k + 1), k)]
+    names = [f"k{j}" for j in range(len(roles))]
 
-    def features(ident: int, line: str) -> tuple:
-        wide = line.encode("utf-32-le", "surrogatepass")
-        keys = keys_of(wide, probes(len(line), k))
-        return (ident, sketch(wide), *keys, *[None] * (width - len(keys)))
+    def columns(lines: list[str]) -> dict:
+        sketch, keys = features(lines, k)
+        return {"sketch": sketch, **dict(zip(names, keys.T))}
 
-    found = _each(docs, least, features, "id bigint, sketch bigint, " + ", ".join(f"{n} bigint" for n in names))
+    found = _each(docs, least, columns, "id bigint, sketch bigint, " + ", ".join(f"{n} bigint" for n in names))
     unique = found.groupBy("id").agg(F.max("sketch").alias("sketch"), *[F.max(n).alias(n) for n in names])
-    roles = [p[0] for p in probes(10 * (k + 1), k)]
-    entries = F.explode(F.array(*[F.struct(F.col(n).alias("key"), F.lit(r).cast("tinyint").alias("role")) for n, r in zip(names, roles)])).alias("e")
-    keyed = unique.select("id", "sketch", entries).select("id", "sketch", "e.key", "e.role").where("key is not null")
-    i, p = keyed.alias("i"), keyed.alias("p")
-    # of both roles together, so that both sides of the join are one and the same shuffle
-    order = (F.least(F.col("i.role").cast("int"), F.col("p.role") + 10) == OWN) & ((F.col("p.role") + F.col("i.role") == SHORTER) | (F.col("i.id") < F.col("p.id")))
+
+    def entries(kinds: tuple[int, ...]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.col(n).alias("key"), F.lit(r).cast("tinyint").alias("role")) for n, r in zip(names, roles) if r in kinds]))
+        return unique.select("id", "sketch", each.alias("e")).select("id", "sketch", "e.key", "e.role")
+
+    i, p = entries((OWN,)).alias("i"), entries((OWN, LEVEL, SHORTER)).alias("p")
+    once = (F.col("p.role") == SHORTER) | (F.col("i.id") < F.col("p.id"))
     close = (F.col("i.id") != F.col("p.id")) & (_far(F.col("i.sketch"), F.col("p.sketch")) <= 2 * k)
-    pairs = p.join(i, (F.col("i.key") == F.col("p.key")) & order & close).select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b"))
+    pairs = p.join(i, (F.col("i.key") == F.col("p.key")) & once & close).select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b"))
     pairs = durable(pairs.distinct())
 
     @F.pandas_udf(T.BooleanType())
@@ -197,30 +223,29 @@ def line_links(docs: DataFrame, least: int = 40, k: int = EDITS, broadcast_ids:
 
     ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     few = ids.count() <= broadcast_ids
-    texts = _each(docs, least, lambda ident, line: (ident, line), "id bigint, line string").join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = _each(docs, least, lambda lines: {"line": lines}, "id bigint, line string").join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
     texts = durable(texts)
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     return both.where(verify(F.col("x"), F.col("y"))).select("a", "b")
 
 
-def line_classes(docs: DataFrame, least: int = 40, k: int = EDITS, words: int | None = None) -> DataFrame:
-    """One row per line of at least ``least`` characters: doc_id, text_hash, line_no, class_doc_id, class_line_no, n_links, kept.
+def line_classes(docs: DataFrame, least: int = 40, k: int = EDITS) -> DataFrame:
+    """One row per line that is not blank: doc_id, text_hash, line_no, class_doc_id, class_line_no, n_links, kept.
 
-    The class is named by its first occurrence, which is the kept one; n_links counts the different lines
-    within ``k`` edits. Null and empty texts have no lines; shorter lines take part if they hold at least ``words``
-    words (with None: never), and only equal ones are of a class, as few edits turn most of them into each other; of a row that is repeated
-    (doc_id and text), lines are the same occurrences; a null doc_id comes first; an empty table gives no rows;
-    other columns are not read.
+    The class is named by its first occurrence, which is the kept one; n_links counts the different lines within ``k``
+    edits. Equal lines of any length are of one class; lines that differ are linked if they hold ``least`` or more
+    characters, as few edits turn most shorter ones into each other. Null, empty and blank texts have no lines; of a row
+    that is repeated (doc_id and text), lines are the same occurrences; a null doc_id comes first; an empty table gives
+    no rows; other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    small_batches(docs.sparkSession)
     links = durable(line_links(docs, least, k))
     comp = connected_components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = durable(ends.join(comp, ends["id"] == comp["node"]).select("id", "n_links", F.col("component").alias("class")))
-    occ = durable(occurrences(docs, least, words))
+    classes = ends.join(comp, ends["id"] == comp["node"]).select("id", "n_links", F.col("component").alias("class"))
+    occ = durable(occurrences(docs))
     per_line = occ.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first"))
-    shared = per_line.join(classes, "id", "left").where("n > 1 or class is not null").withColumn("class", F.coalesce("class", "id"))
+    shared = durable(per_line.join(classes, "id", "left").where("n > 1 or class is not null").withColumn("class", F.coalesce("class", "id")))
     firsts = shared.groupBy("class").agg(F.min("first").alias("lead"))
     named = shared.join(firsts, "class").select("id", "lead", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     joined = occ.join(named, "id", "left")
@@ -237,26 +262,27 @@ def line_classes(docs: DataFrame, least: int = 40, k: int = EDITS, words: int |
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_classes(table(spark, sf_dir, "documents"), words=0).drop("text_hash")
+    return line_classes(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least_left: float = 0.2) -> DataFrame:
-    """Documents without the lines that are kept elsewhere; n_chars follows the text. Short lines of one word stay.
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that are kept elsewhere; n_chars follows the text.
 
-    A document of which less than ``least_left`` of the characters stay was nothing but such lines, and goes; one that
-    loses no line stays as it is, null and empty texts included.
+    Lines without a letter or digit are layout and stay. A document goes only if nothing but such lines is left of it and
+    it lost a line: what stands in no other document, and the kept line of every class, always stay. One that loses no
+    line stays as it is, null and empty texts included; repeated rows lose the same lines; an empty table gives no rows;
+    other columns pass unread.
     """
-    drop = line_classes(docs, words=2).where("not kept").groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("_rl_drop"))
-    drop = drop.select(F.col("doc_id").alias("_rl_id"), F.col("text_hash").alias("_rl_hash"), "_rl_drop")
-    keyed = docs.withColumn("_rl_text_hash", F.xxhash64("text"))
-    joined = keyed.join(drop, F.col("doc_id").eqNullSafe(F.col("_rl_id")) & (F.col("_rl_text_hash") == F.col("_rl_hash")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_rl_drop", i)), "\n")
-    cut = joined.withColumn("_rl_text", F.when(F.col("_rl_drop").isNull(), F.col("text")).otherwise(left))
-    stays = cut.where(F.col("_rl_drop").isNull() | F.col("_rl_text").rlike("[^ \\t\\r\\n]") & (F.length(F.trim("_rl_text")) >= F.greatest(F.lit(1.0), F.length("text") * least_left)))
-    changed = {"text": F.col("_rl_text"), "n_chars": F.when(F.col("_rl_drop").isNull(), F.col("n_chars")).otherwise(F.length("_rl_text").cast("long")) if "n_chars" in docs.columns else None}
+    own = unused(docs)
+    ident, text_hash, lost, text = (own + x for x in ("id", "hash", "lost", "text"))
+    drop = line_classes(docs).where("not kept").groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias(lost))
+    drop = drop.select(F.col("doc_id").alias(ident), F.col("text_hash").alias(text_hash), lost)
+    joined = docs.join(drop, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(text_hash)), "left")
+    word = "[\\p{L}\\p{N}]"
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~(F.array_contains(lost, i) & x.rlike(word))), "\n")
+    cut = joined.withColumn(text, F.when(F.col(lost).isNull(), F.col("text")).otherwise(left))
+    stays = cut.where(F.col(lost).isNull() | F.col(text).rlike(word) | (F.col(text) == F.col("text")))
+    changed = {"text": F.col(text)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col(text).eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length(text).cast("long"))
     return stays.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
-
-
-def own_lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The line stage of the pipeline: a document goes only if nothing but blanks is left of it."""
-    return line_stage(spark, docs, sf_dir, least_left=0.0)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import durable, hash_share, table
+from readloom.llm.common import durable, hash_share, table, unused
 
 BUCKETS = 1 << 12
 STATS = ("symbols", "letters", "upper", "ends", "distinct", "top", "lines", "packed")
@@ -121,26 +121,39 @@ def hashed(text: str | None, stats: list[float | None]) -> np.ndarray:
     return out
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 200, l2: float = 1e-4) -> np.ndarray:
-    """Weights (last one the intercept) of a logistic regression on soft labels, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    step = 4.0 / (np.square(x).sum(axis=1).max() + l2)
-    w = z = np.zeros(x.shape[1])
+def fit_linear(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 200, l2: float = 1e-4) -> np.ndarray:
+    """Weights (last one the intercept) of a logistic regression on soft labels, by accelerated gradient steps.
+
+    A row of ``x`` holds the places of its features that are not 0, at least one, and their values; nothing dense is made of them."""
+    size, first = BUCKETS + 1, np.cumsum([0] + [len(at) + 1 for at, _ in x])[:-1]
+    at = np.concatenate([part for places, _ in x for part in (places, [BUCKETS])]).astype(np.int64)
+    value = np.concatenate([part for _, values in x for part in (values, [1.0])]).astype(np.float64)
+    row = np.repeat(np.arange(len(x)), np.diff(np.append(first, len(at))))
+    step = 4.0 / (np.add.reduceat(value * value, first).max() + l2)
+    w = z = np.zeros(size)
     for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ z, -30, 30)))
-        nxt = z - step * (x.T @ (p - y) / len(y) + l2 * z)
+        off = 1 / (1 + np.exp(-np.clip(np.add.reduceat(value * z[at], first), -30, 30))) - y
+        nxt = z - step * (np.bincount(at, value * off[row], size) / len(y) + l2 * z)
         z = nxt + k / (k + 3) * (nxt - w)
         w = nxt
     return w
 
 
+def _fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Weights from the rows (y, at, x) of a bounded sample, in one executor's task."""
+    rows = [r for p in parts for r in p.itertuples(index=False, name=None)]
+    if rows:
+        rows.sort(key=lambda r: (r[0], len(r[1])))  # much the same sums whatever the order of arrival
+        yield pd.DataFrame({"weights": [fit_linear([r[1:] for r in rows], np.array([r[0] for r in rows]))]})
+
+
 def classify(docs: DataFrame, sample_docs: int = 3_000, threshold: float = 0.5) -> DataFrame:
     """``docs`` with _rl_quality (0 to 1, higher is better), _rl_weak (posterior of being fine) and _rl_keep.
 
     Null, empty and blank texts have quality 0 and are not kept: there is nothing to learn from. Very short texts
     are judged by the labellers that can vote. Ties and repeated rows are scored alike; an empty table gives no
-    rows; all other columns pass as they came. ``sample_docs`` bounds the weakly labelled rows that fit the scorer
-    (chosen by a hash of the text); votes are counted over all documents.
+    rows; all other columns pass as they came, but columns of the three names give way to the new ones. ``sample_docs`` bounds the weakly labelled rows that fit the scorer
+    (chosen by a hash of the text; about that many); votes are counted over all documents.
     """
     spark = docs.sparkSession
 
@@ -163,17 +176,12 @@ def classify(docs: DataFrame, sample_docs: int = 3_000, threshold: float = 0.5)
                 s = statistics(t)
                 x = hashed(t, s)
                 at = np.flatnonzero(x)
-                rows.append((posterior.get(votes(s), 0.5), at.tolist(), x[at].tolist()))
+                rows.append((posterior.get(votes(s), 0.5), at.astype(np.int32), x[at].astype(np.float32)))
             yield pd.DataFrame(rows, columns=["y", "at", "x"])
 
-    got = chosen.select("text").mapInPandas(build, "y double, at array<int>, x array<double>").toPandas()
-    if len(got):
-        dense = np.zeros((len(got), BUCKETS), dtype=np.float32)
-        for i, (at, x) in enumerate(zip(got["at"], got["x"])):
-            dense[i, at] = x
-        weights = fit_linear(dense, got["y"].to_numpy())
-    else:
-        weights = np.zeros(BUCKETS + 1)
+    built = chosen.select("text").mapInPandas(build, "y double, at array<int>, x array<float>")
+    fitted = built.repartition(1).mapInPandas(_fit, "weights array<double>").collect()  # one row, or none
+    weights = np.array(fitted[0]["weights"]) if fitted else np.zeros(BUCKETS + 1)
     shared = spark.sparkContext.broadcast((weights, posterior))
 
     @F.pandas_udf("struct<quality:double,weak:double>")
@@ -189,10 +197,11 @@ def classify(docs: DataFrame, sample_docs: int = 3_000, threshold: float = 0.5)
             out.append((1 - float(junk), 1 - post.get(votes(s), 0.5)))
         return pd.DataFrame(out, columns=["quality", "weak"])
 
-    scored = docs.withColumn("_rl_score", score(F.col("text")))
-    return scored.select(
-        *docs.columns, F.col("_rl_score.quality").alias("_rl_quality"), F.col("_rl_score.weak").alias("_rl_weak"), (F.col("_rl_score.quality") >= threshold).alias("_rl_keep")
-    )
+    own = unused(docs) + "score"
+    kept = [c for c in docs.columns if c not in ("_rl_quality", "_rl_weak", "_rl_keep")]
+    scored = docs.select(*kept, score(F.col("text")).alias(own))
+    quality = F.col(f"{own}.quality")
+    return scored.select(*kept, quality.alias("_rl_quality"), F.col(f"{own}.weak").alias("_rl_weak"), (quality >= threshold).alias("_rl_keep"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,5 +210,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps, with their columns."""
-    return classify(docs).where("_rl_keep").select(*docs.columns)
+    """Documents that the classifier keeps, with their columns; null, empty and blank texts go.
+
+    Repeated rows are judged alike; an empty table gives no rows; other columns pass unread."""
+    own = unused(docs)
+    named = {c: c if c not in ("_rl_quality", "_rl_weak", "_rl_keep") else own + c for c in docs.columns}
+    return classify(docs.withColumnsRenamed({c: n for c, n in named.items() if c != n})).where("_rl_keep").select(*[F.col(n).alias(c) for c, n in named.items()])

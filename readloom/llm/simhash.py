@@ -1,29 +1,36 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has 64 bits; ``SEGMENTS`` segments divide them. For each segment the small Hamming ball
-(radius 1) around its value is enumerated, and the fingerprint is entered under ball value plus the
-rest of its bits; the unchanged value is common to all segments and entered once. Two fingerprints
-differ in at most 2 bits exactly if a table entry lies within one bit of both, so fetching the
-matches of an entry finds every link, an entry holds 65 different fingerprints at most, and the
-complete distance to the entry's smallest fingerprint is verified. No group of near copies is
-expanded into its pairs: each fingerprint is linked with the smallest one of each entry.
-
-Two bits do not reach texts of Jaccard similarity 0.8; the pipeline's stage finds those by their rarest
-shingles and compares whole sets (``near_copies``).
+A fingerprint has 64 bits, cut into ``SEGMENTS`` segments. Each segment has a table from its value to the fingerprints
+that hold it. If two fingerprints differ in at most ``RADIUS`` bits, some segment differs in at most RADIUS // SEGMENTS:
+so each fingerprint enumerates the small Hamming ball around each of its segments (33 values of 32 bits), fetches what
+the tables hold there, and the complete distance is verified inside the join.
+
+A group of near copies can put very many fingerprints under one segment value, which then would all be compared with each
+other. What probes a value with more than ``hot`` holders is therefore linked by whole balls: every such fingerprint is
+entered under each fingerprint within one bit of it (65 entries). Two of them are within two bits exactly if they share an
+entry, an entry holds 65 at most, and its members are linked with the smallest of them.
+
+Two bits do not reach texts of Jaccard similarity 0.8, which differ in ten bits on average: balls of the radius that would
+catch them hold too many values. The pipeline's stage takes the tables' links and adds min-wise tables of shingle sets,
+verifies complete distances against a wide radius there, and confirms every link by the whole sets (``near_copies``).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import connected_components, durable, hash_share, small_batches, table
+from readloom.llm.common import connected_components, durable, table
 
-BITS, SEGMENTS, RADIUS = 64, 4, 2
+BITS, SEGMENTS, RADIUS = 64, 2, 2
 NEAR = 4, 5  # Jaccard similarity of the pipeline's near copies, as a fraction
+BANDS, ROWS = 20, 4  # min-wise tables: two sets of similarity 0.8 miss all of them with a chance of 0.00002
+WIDE = 26  # bits; texts of similarity 0.8 differ in more with a chance under 0.00001
 
 
 def _hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
@@ -38,7 +45,10 @@ def _hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """SimHash of the word shingles of a text, as a signed 64-bit integer; 0 for null or wordless texts."""
-    h = _hashes(text, shingle, seed)
+    return _majority(_hashes(text, shingle, seed))
+
+
+def _majority(h: np.ndarray) -> int:
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(h), 4096):
         part = h[at : at + 4096]
@@ -57,20 +67,37 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", fp(F.col("text")).alias("fp"))
 
 
-def links(unique: DataFrame) -> DataFrame:
-    """Edges (a, b) between different fingerprints (column fp, distinct) that connect all that are within RADIUS bits."""
+def _keys(flips: list[int]) -> Column:
+    """Segment number and value, changed by each of the flips, as one number."""
     width = BITS // SEGMENTS
-    flips = [0] + [1 << (s * width + j) for s in range(SEGMENTS) for j in range(width)]
-    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in flips])
-    entries = unique.select("fp", F.explode(masks).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("entry"))
+    part = lambda s: F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(s << width)
+    return F.array(*[part(s).bitwiseXOR(F.lit(f)) if f else part(s) for s in range(SEGMENTS) for f in flips])
+
+
+def links(unique: DataFrame, hot: int = 1_000, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """Edges (a, b) between different fingerprints (column fp, distinct) that connect all that are within RADIUS bits."""
+    ball = [0] + [1 << j for j in range(BITS // SEGMENTS)]
+    held = unique.select("fp", F.explode(_keys([0])).alias("key"))
+    probes = unique.select("fp", F.explode(_keys(ball)).alias("key"))
+    crowded = durable(held.groupBy("key").count().where(F.col("count") > hot).select("key"))
+    n = crowded.count()
+    whole = None
+    if n:
+        crowded = F.broadcast(crowded) if n <= broadcast_keys else crowded
+        whole = _linked_by_entries(probes.join(crowded, "key", "left_semi").select("fp").distinct())
+        held = held.join(crowded, "key", "left_anti")
+    x, y = probes.alias("x"), held.alias("y")
+    close = (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS)
+    found = x.join(y, (F.col("x.key") == F.col("y.key")) & close).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    return (found if whole is None else found.unionByName(whole)).distinct()
+
+
+def _linked_by_entries(fps: DataFrame) -> DataFrame:
+    """Edges that connect all of the fingerprints that are within two bits, by the balls of one bit around them."""
+    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in [0] + [1 << j for j in range(BITS)]])
+    entries = fps.select("fp", F.explode(masks).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("entry"))
     least = F.min("fp").over(Window.partitionBy("entry"))
-    return (
-        entries.withColumn("least", least)
-        .where("fp <> least")
-        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= RADIUS)
-        .select(F.col("fp").alias("a"), F.col("least").alias("b"))
-        .distinct()
-    )
+    return entries.withColumn("least", least).where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -94,109 +121,135 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _frequent(docs: DataFrame, shingle: int, sample: int = 5_000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that three or more texts of a sample hold, in order, and their number of texts."""
+_rng = np.random.default_rng(5)
+_TIMES, _PLUS = _rng.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def set_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each min-wise table, of a set of hashes: equal in one table with probability similarity ** ROWS."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(h), 4096):
+        least = np.minimum(least, (h[at : at + 4096, None].astype(np.uint64) * _TIMES + _PLUS).min(axis=0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = (key ^ row) * np.uint64(0xD1342543DE82EF95)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
+def _set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(_hashes(text, shingle, 42))
 
-    @F.pandas_udf("array<bigint>")
-    def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(_hashes(t, shingle, 42)).view("<i8") for t in texts], dtype=object)
 
-    share = min(1.0, sample / max(1, docs.count()))
-    some = docs.where(hash_share(F.col("doc_id"), "shingles") < share)
-    counts = some.select(F.explode(sets("text")).alias("key")).groupBy("key").count().where("count >= 3")
-    rows = counts.orderBy(F.desc("count"), "key").limit(most).toPandas().sort_values("key")
-    return rows["key"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
+def _node(h: np.ndarray) -> int:
+    """Name of a set of shingles."""
+    return int(np.array([xxhash.xxh64_intdigest(h.tobytes(), 7)], dtype="<u8").view("<i8")[0])
 
 
-def _ordered(text: str | None, shingle: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The different shingles of a text, those of few texts first and by hash among equals: one order for all texts."""
-    h = np.unique(_hashes(text, shingle, 42).view("<i8"))
-    if not len(keys) or not len(h):
-        return h
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return h[np.lexsort((h, np.where(keys[at] == h, counts[at], 0)))]
+def _members(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text_hash, node (the text's set of shingles), its size n, fingerprint fp and table keys, for every row."""
 
+    @F.pandas_udf("node bigint, n int, fp bigint, keys array<bigint>")
+    def digest(texts: pd.Series) -> pd.DataFrame:
+        sets = [_set(t, shingle) for t in texts]
+        return pd.DataFrame({"node": [_node(h) for h in sets], "n": [len(h) for h in sets], "fp": [_majority(h) for h in sets], "keys": [set_keys(h) for h in sets]})
 
-def _signature(hashes: np.ndarray) -> int:
-    """Hash of a set of shingles."""
-    return int(np.array([xxhash.xxh64_intdigest(np.sort(hashes).tobytes(), 7)], dtype="<u8").view("<i8")[0])
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), digest("text").alias("s")).select("doc_id", "text_hash", "s.*")
 
 
-def _confirmed(docs: DataFrame, unique: DataFrame, pairs: DataFrame, shingle: int, broadcast_ids: int = 2_000_000) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of NEAR or more."""
+def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, broadcast_ids: int) -> DataFrame:
+    """(node, shingles) of the given nodes (node, first); their texts are found by a join with the ids of their first rows."""
 
     @F.pandas_udf("node bigint, shingles array<bigint>")
     def sets(texts: pd.Series) -> pd.DataFrame:
-        found = [np.unique(_hashes(t, shingle, 42).view("<i8")) for t in texts]
-        return pd.DataFrame({"node": [_signature(x) for x in found], "shingles": found})
+        found = [_set(t, shingle) for t in texts]
+        return pd.DataFrame({"node": [_node(x) for x in found], "shingles": [x.view("<i8") for x in found]})
 
-    nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(unique.select("node", "first"), "node"))
     few = nodes.count() <= broadcast_ids
-    ids = nodes.select(F.col("first").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    found = texts.select(sets("text").alias("s")).select("s.node", "s.shingles").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
-    found = durable(found.dropDuplicates(["node"]))
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    side = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    ids = nodes.select("first.doc_id", "first.text_hash").distinct()
+    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(side(ids), ["doc_id", "text_hash"], "left_semi").select("text")
+    return texts.select(sets("text").alias("s")).select("s.*").dropDuplicates(["node"]).join(side(nodes.select("node")), "node", "left_semi")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets have a Jaccard similarity of NEAR or more."""
+    side = lambda end, to: sets.select(F.col("node").alias(end), F.col("shingles").alias(to))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
     return both.where((NEAR[0] + NEAR[1]) * common >= NEAR[0] * total).select("a", "b")
 
 
-def _candidates(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) that can be near copies, of rows (a, b, na, nb), one for each shingle that their prefixes share.
+def _may(x: str, y: str) -> Column:
+    """Whether sizes and complete fingerprint distance allow the similarity."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (NEAR[1] * F.least(n, m) >= NEAR[0] * F.greatest(n, m)) & (F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) <= WIDE)
 
-    What two sets have in common beyond their prefixes is at most the rest of one of them."""
-    p, q = NEAR
-    rest = f"greatest(({p} * na + {q - 1}) div {q}, ({p} * nb + {q - 1}) div {q}) - 1"
-    return pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(f"{p + q} * (c + {rest}) >= {p} * (na + nb)").select("a", "b")
 
+def near_copies(docs: DataFrame, shingle: int = 5, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """(doc_id, text_hash, lead): components of texts whose sets of word shingles have a Jaccard similarity of NEAR or more.
 
-def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, component_id): components of all texts whose sets of word shingles have a Jaccard similarity of NEAR or more.
-
-    Exact: of two such sets, each has one of its first n - ceil(NEAR n) + 1 shingles among the other's, in any order
-    common to all, here by rarity. Texts of one set are one node. The nodes of a shingle are first linked with the
-    smallest of them, so that a group of near copies is one component already when the pairs between different
-    components are compared, and is not expanded into its pairs. Every link is confirmed by the whole sets.
+    ``lead`` is the smallest (doc_id, text_hash) of the component. Texts of one set are one node. Candidates are the
+    links of the fingerprint tables and the nodes that share a key of a min-wise table; every link is confirmed by the
+    whole sets. The holders of a key are first compared with one of them only, the one that the node shares most keys
+    with, then with the leaders of its other keys, and what still lies in different components of one key with each
+    other: a group of near copies is one component by then, and is not expanded into its pairs. Null and wordless texts
+    share the empty set; repeated rows share a node; an empty table gives no rows; other columns are not read.
     """
-    small_batches(docs.sparkSession)
-    keys, counts = _frequent(docs, shingle)
-    p, q = NEAR
-
-    @F.pandas_udf("node bigint, n int, prefix array<bigint>")
-    def prefixes(texts: pd.Series) -> pd.DataFrame:
-        found = [_ordered(t, shingle, keys, counts) for t in texts]
-        first = [h[: len(h) + 1 - -(-p * len(h) // q)] if len(h) else h for h in found]
-        return pd.DataFrame({"node": [_signature(h) for h in found], "n": [len(h) for h in found], "prefix": first})
-
-    fps = durable(docs.select("doc_id", prefixes("text").alias("s")).select("doc_id", "s.*"))
-    unique = fps.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    unique = durable(unique)
-    entries = unique.select("node", "n", F.posexplode("prefix").alias("at", "key"))
-    same = Window.partitionBy("key")
-    shared = durable(entries.withColumn("least", F.min(F.struct("node", "n")).over(same)).withColumn("most", F.max("node").over(same)).where("least.node <> most"))
-    pairs = durable(_candidates(shared.where("node <> least.node").select(F.col("node").alias("a"), F.col("least.node").alias("b"), F.col("n").alias("na"), F.col("least.n").alias("nb"))))
-    links = durable(_confirmed(docs, unique, pairs, shingle))
-    comp = durable(connected_components(links))
-
-    named = shared.join(comp, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("comp"))
-    named = durable(named.withColumn("low", F.min("comp").over(same)).withColumn("high", F.max("comp").over(same)).where("low <> high").drop("low", "high"))
-    x, y = named.alias("x"), named.alias("y")
-    most = F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # shingles in common, at most
-    close = (p + q) * most >= p * (F.col("x.n") + F.col("y.n"))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    rest = durable(_candidates(rest))
-    every = links.unionByName(_confirmed(docs, unique, rest, shingle))
-    comp = connected_components(every)
-    grouped = unique.select("node", "first").join(comp, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))
-    roots = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.select("doc_id", "node").join(grouped.join(roots, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    docs = docs.select("doc_id", "text")
+    rows = durable(_members(docs, shingle))
+    nodes = durable(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max(F.struct("n", "fp", "keys")).alias("s")).select("node", "first", "s.*"))
+    entries = nodes.select("node", "n", "fp", F.explode("keys").alias("key"))
+    order = F.struct(F.xxhash64("node", "key").alias("o"), "node", "n", "fp")  # another leader for each key
+    leaders = entries.groupBy("key").agg(F.min(order).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "l.node", "l.n", "l.fp")
+    leaders = durable(leaders)
+    x, y = entries.alias("x"), leaders.alias("y")
+    star = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.node") != F.col("y.node")) & _may("x", "y"))
+    star = durable(star.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("c")))
+    best = star.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+
+    one = durable(nodes.groupBy("fp").agg(F.min("node").alias("node")))  # a node for each fingerprint
+    name = lambda end: one.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node"))
+    tables = links(one.select("fp")).join(name("a"), "a").join(name("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    same = nodes.select("node", "fp").join(one.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    first = durable(reduce(DataFrame.unionByName, (best, tables, same)).distinct())
+
+    shared = durable(entries.join(leaders.select("key"), "key"))  # of the keys that several nodes hold
+    asked = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(shared.select("node")).distinct()
+    sets = durable(_sets(docs, durable(nodes.select("node", "first").join(asked, "node")), shingle, broadcast_ids))
+    found = durable(_similar(first, sets))
+    comp = connected_components(found)
+
+    of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"{end}_comp"))
+    apart = star.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b")
+    apart = durable(apart.join(first, ["a", "b"], "left_anti"))
+    if apart.count():
+        found = durable(found.unionByName(_similar(apart, sets)))
+        comp = connected_components(found)
+
+    held = shared.join(comp, "node", "left").select("key", "node", "n", "fp", F.coalesce("component", "node").alias("comp"))
+    split = held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    held = durable(held.join(split, "key"))
+    if held.count():
+        x, y = held.alias("x"), held.alias("y")
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _may("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        pairs = durable(pairs.distinct().join(apart, ["a", "b"], "left_anti"))
+        comp = connected_components(found.unionByName(_similar(pairs, sets)))
+
+    grouped = nodes.select("node", "first").join(comp, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))
+    leads = grouped.groupBy("root").agg(F.min("first").alias("lead"))
+    return rows.select("doc_id", "text_hash", "node").join(grouped.join(leads, "root").select("node", "lead"), "node").select("doc_id", "text_hash", "lead")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (smallest doc_id): five-word shingles, Jaccard similarity of 0.8 or more.
-    Rows without doc_id stay."""
-    named = docs.where(F.col("doc_id").isNotNull())
-    keep = near_copies(named, shingle=5).where("doc_id = component_id").select("doc_id").distinct()
-    copies = Window.partitionBy("doc_id").orderBy("doc_id")  # repeated rows of a kept id: on the join's own partitioning
-    kept = named.join(keep, "doc_id", "left_semi").withColumn("_rl_copy", F.row_number().over(copies)).where("_rl_copy = 1").drop("_rl_copy")
+
+    Rows without doc_id stay; of rows that are repeated word for word one stays, and so do rows of one doc_id with texts
+    that are no near copies; null and wordless texts are one group; an empty table gives no rows; columns as they came.
+    """
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_rl_hash", F.xxhash64("text"))
+    lead = F.struct("doc_id", "text_hash")
+    keep = near_copies(docs.where(F.col("doc_id").isNotNull()), shingle=5).where(F.col("lead") == lead).select(F.col("doc_id").alias("_rl_id"), F.col("text_hash").alias("_rl_text")).distinct()
+    copies = Window.partitionBy("doc_id", "_rl_hash").orderBy("doc_id")  # equal texts, all of them
+    kept = named.join(keep, (F.col("doc_id") == F.col("_rl_id")) & (F.col("_rl_hash") == F.col("_rl_text")), "left_semi").withColumn("_rl_copy", F.row_number().over(copies)).where("_rl_copy = 1")
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

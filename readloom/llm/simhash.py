@@ -17,6 +17,7 @@ verifies complete distances against a wide radius there, and confirms every link
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import connected_components, durable, table
+from readloom.llm.common import connected_components, durable, slices, table, unused
 
 BITS, SEGMENTS, RADIUS = 64, 2, 2
 NEAR = 4, 5  # Jaccard similarity of the pipeline's near copies, as a fraction
@@ -60,11 +61,12 @@ def _majority(h: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) for every row, repeated ones included."""
 
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in slices(parts):
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "fp": [fingerprint(t, shingle) for t in pdf["text"]]})
 
-    return docs.select("doc_id", fp(F.col("text")).alias("fp"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp bigint")
 
 
 def _keys(flips: list[int]) -> Column:
@@ -122,14 +124,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _rng = np.random.default_rng(5)
-_TIMES, _PLUS = _rng.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+_TIMES, _PLUS = _rng.integers(0, 1 << 31, (2, BANDS * ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def set_keys(h: np.ndarray) -> np.ndarray:
     """A key for each min-wise table, of a set of hashes: equal in one table with probability similarity ** ROWS."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(h), 4096):
-        least = np.minimum(least, (h[at : at + 4096, None].astype(np.uint64) * _TIMES + _PLUS).min(axis=0))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    short = (h >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(h), 512):
+        least = np.minimum(least, (short[at : at + 512, None] * _TIMES + _PLUS).min(axis=0))
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for row in least.reshape(BANDS, ROWS).T:
         key = (key ^ row) * np.uint64(0xD1342543DE82EF95)
@@ -149,27 +152,29 @@ def _node(h: np.ndarray) -> int:
 def _members(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, text_hash, node (the text's set of shingles), its size n, fingerprint fp and table keys, for every row."""
 
-    @F.pandas_udf("node bigint, n int, fp bigint, keys array<bigint>")
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        sets = [_set(t, shingle) for t in texts]
-        return pd.DataFrame({"node": [_node(h) for h in sets], "n": [len(h) for h in sets], "fp": [_majority(h) for h in sets], "keys": [set_keys(h) for h in sets]})
+    def digest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in slices(parts):
+            sets = [_set(t, shingle) for t in pdf["text"]]
+            made = {"node": [_node(h) for h in sets], "n": [len(h) for h in sets], "fp": [_majority(h) for h in sets], "keys": [set_keys(h) for h in sets]}
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "text_hash": pdf["text_hash"].to_numpy(), **made})
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), digest("text").alias("s")).select("doc_id", "text_hash", "s.*")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(digest, f"doc_id {kind}, text_hash bigint, node bigint, n int, fp bigint, keys array<bigint>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, broadcast_ids: int) -> DataFrame:
     """(node, shingles) of the given nodes (node, first); their texts are found by a join with the ids of their first rows."""
 
-    @F.pandas_udf("node bigint, shingles array<bigint>")
-    def sets(texts: pd.Series) -> pd.DataFrame:
-        found = [_set(t, shingle) for t in texts]
-        return pd.DataFrame({"node": [_node(x) for x in found], "shingles": [x.view("<i8") for x in found]})
+    def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in slices(parts, rows=250):
+            found = [_set(t, shingle) for t in pdf["text"]]
+            yield pd.DataFrame({"node": [_node(x) for x in found], "shingles": [x.view("<i8") for x in found]})
 
     few = nodes.count() <= broadcast_ids
     side = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     ids = nodes.select("first.doc_id", "first.text_hash").distinct()
     texts = docs.withColumn("text_hash", F.xxhash64("text")).join(side(ids), ["doc_id", "text_hash"], "left_semi").select("text")
-    return texts.select(sets("text").alias("s")).select("s.*").dropDuplicates(["node"]).join(side(nodes.select("node")), "node", "left_semi")
+    return texts.mapInPandas(sets, "node bigint, shingles array<bigint>").dropDuplicates(["node"]).join(side(nodes.select("node")), "node", "left_semi")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -247,9 +252,11 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows without doc_id stay; of rows that are repeated word for word one stays, and so do rows of one doc_id with texts
     that are no near copies; null and wordless texts are one group; an empty table gives no rows; columns as they came.
     """
-    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_rl_hash", F.xxhash64("text"))
-    lead = F.struct("doc_id", "text_hash")
-    keep = near_copies(docs.where(F.col("doc_id").isNotNull()), shingle=5).where(F.col("lead") == lead).select(F.col("doc_id").alias("_rl_id"), F.col("text_hash").alias("_rl_text")).distinct()
-    copies = Window.partitionBy("doc_id", "_rl_hash").orderBy("doc_id")  # equal texts, all of them
-    kept = named.join(keep, (F.col("doc_id") == F.col("_rl_id")) & (F.col("_rl_hash") == F.col("_rl_text")), "left_semi").withColumn("_rl_copy", F.row_number().over(copies)).where("_rl_copy = 1")
+    own = unused(docs)
+    ident, text_hash, same, copy = (own + x for x in ("id", "hash", "same", "copy"))
+    named = docs.where(F.col("doc_id").isNotNull())
+    keep = near_copies(named, shingle=5).where(F.col("lead") == F.struct("doc_id", "text_hash")).select(F.col("doc_id").alias(ident), F.col("text_hash").alias(same)).distinct()
+    kept = named.withColumn(text_hash, F.xxhash64("text")).join(keep, (F.col("doc_id") == F.col(ident)) & (F.col(text_hash) == F.col(same)), "left_semi")
+    copies = Window.partitionBy("doc_id", text_hash).orderBy("doc_id")  # equal texts, all of them
+    kept = kept.withColumn(copy, F.row_number().over(copies)).where(F.col(copy) == 1)
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

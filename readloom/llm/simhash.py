@@ -140,6 +140,32 @@ def set_keys(h: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+_SKETCH = 1024  # one-bit min-wise sketch: bits agree with chance (1 + similarity) / 2
+_APART = 140  # bits; sets of similarity 0.8 differ in more with a chance of 0.00005
+_SKETCH_TIMES, _SKETCH_PLUS = np.random.default_rng(6).integers(0, 1 << 31, (2, _SKETCH), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def set_sketch(h: np.ndarray) -> np.ndarray:
+    """A bit of each of many minima of a set of hashes, as 16 numbers."""
+    least = np.full(_SKETCH, np.iinfo(np.uint32).max, dtype=np.uint32)
+    short = (h >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(h), 128):
+        least = np.minimum(least, (short[at : at + 128, None] * _SKETCH_TIMES + _SKETCH_PLUS).min(axis=0))
+    return np.packbits(((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(node, s0 .. s15)."""
+    names = [f"s{k}" for k in range(_SKETCH // 64)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            made = np.array([set_sketch(np.asarray(x, dtype=np.int64).view(np.uint64)) for x in pdf["shingles"]], dtype=np.int64).reshape(len(pdf), len(names))
+            yield pd.DataFrame({"node": pdf["node"], **dict(zip(names, made.T))})
+
+    return sets.mapInPandas(run, "node bigint, " + ", ".join(f"{n} bigint" for n in names))
+
+
 def _set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(_hashes(text, shingle, 42))
 
@@ -198,7 +224,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, broadcast_ids: int = 2_000_00
     links of the fingerprint tables and the nodes that share a key of a min-wise table; every link is confirmed by the
     whole sets. The holders of a key are first compared with one of them only, the one that the node shares most keys
     with, then with the leaders of its other keys, and what still lies in different components of one key with each
-    other: a group of near copies is one component by then, and is not expanded into its pairs. Null and wordless texts
+    other, if sketches of the sets are near enough: most of a group of near copies is one component by then, and it is not
+    expanded into its pairs. Null and wordless texts
     share the empty set; repeated rows share a node; an empty table gives no rows; other columns are not read.
     """
     docs = docs.select("doc_id", "text")
@@ -236,8 +263,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, broadcast_ids: int = 2_000_00
     split = held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     held = durable(held.join(split, "key"))
     if held.count():
+        held = durable(held.join(_sketches(sets.join(held.select("node").distinct(), "node", "left_semi")), "node"))
         x, y = held.alias("x"), held.alias("y")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _may("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        differ = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(_SKETCH // 64)), F.lit(0))
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _may("x", "y") & (differ <= _APART)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         pairs = durable(pairs.distinct().join(apart, ["a", "b"], "left_anti"))
         comp = connected_components(found.unionByName(_similar(pairs, sets)))
 

@@ -15,14 +15,16 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import table
+from readloom.llm.common import durable, table, unused
 
-TERMS, SMALL = 600, 10_000
+TERMS, SMALL = 600, 2_000
+BLOCK = 4_096  # copies are made in blocks of blocks, so that no row ever holds a longer list of numbers
 
 
 def rates(docs: DataFrame, targets: Mapping[str, float] | None = None, temperature: float = 0.5) -> DataFrame:
     """(source, n, mean): mean repetition rate of each source. Without ``targets`` shares are proportional to
-    n ** temperature; with them, to the given weights (a source not named has 0). Null is a source of its own."""
+    n ** temperature; with them, to the given weights (a source not named has 0). Null is a source of its own.
+    The sources are counted once, into a table; their two totals are the only thing that the driver sees."""
     per = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if targets is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(temperature))
@@ -30,10 +32,10 @@ def rates(docs: DataFrame, targets: Mapping[str, float] | None = None, temperatu
         weight = F.lit(0.0)
         for name, w in targets.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
-    per = per.withColumn("weight", weight)
-    totals = per.agg(F.struct(F.sum("n").cast("double").alias("n"), F.sum(F.round("weight", 6)).alias("w")).alias("t")).scalar()
-    share = F.when(totals["w"] > 0, F.round("weight", 6) / totals["w"]).otherwise(0.0)
-    return per.select("source", "n", F.round(share * totals["n"] / F.col("n"), 9).alias("mean"))
+    per = durable(per.withColumn("weight", F.round(weight, 6)))
+    every, total = per.agg(F.sum("n"), F.sum("weight")).first()
+    share = F.col("weight") / F.lit(total) if total else F.lit(0.0)
+    return per.select("source", "n", F.round(share * F.lit(float(every or 0)) / F.col("n"), 9).alias("mean"))
 
 
 def uniform(ident: Column, seed: str) -> Column:
@@ -51,23 +53,36 @@ def _distribution(mean: Column) -> Column:
     return F.aggregate(terms, F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("all")), step)["all"]
 
 
+def _numbers(df: DataFrame, n: str, to: str, levels: int = 3) -> DataFrame:
+    """Each row once for each number ``to`` in 0 .. n - 1 (n > 0)."""
+    df = df.withColumn(to, F.lit(0).cast("long"))
+    for level in range(levels - 1, -1, -1):
+        unit = BLOCK**level
+        last = F.least(F.ceil((F.col(n) - F.col(to)) / F.lit(unit)) - 1, F.lit(BLOCK - 1)) if level < levels - 1 else F.ceil(F.col(n) / F.lit(unit)) - 1
+        df = df.withColumn(to, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda k: F.col(to) + k * unit)))  # noqa: B023
+    return df
+
+
 def replicate(docs: DataFrame, targets: Mapping[str, float] | None = None, temperature: float = 0.5, seed: str = "mix-1") -> DataFrame:
     """Columns of ``docs`` and copy_no (from 0): each row repeated by its Poisson count, in global random order.
 
     A source of null is a source; a null doc_id draws as the text 'null'; repeated rows draw the same count, each for
-    itself; sources of weight 0 vanish; an empty table gives no rows; other columns pass unread.
+    itself; sources of weight 0 vanish; an empty table gives no rows; other columns pass unread, but a column copy_no
+    of the input gives way to the new one.
     """
+    own = unused(docs)
+    u, of, least, cdf, n, key = (own + x for x in ("u", "source", "base", "cdf", "n", "key"))
     per = rates(docs, targets, temperature)
     base = F.when(F.col("mean") > 512, F.floor("mean") - 256).otherwise(F.lit(0)).cast("long")
-    per = per.select(F.col("source").alias("_rl_source"), base.alias("_rl_base"), _distribution(F.col("mean") - base).alias("_rl_cdf"))
-    few = per.count() <= SMALL  # its size is checked; with more sources the join is left to the planner
+    per = per.select(F.col("source").alias(of), base.alias(least), _distribution(F.col("mean") - base).alias(cdf))
+    few = per.count() <= SMALL  # 10 MB; with more sources the join is left to the planner
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    drawn = docs.withColumn("_rl_u", uniform(ident, seed)).join(F.broadcast(per) if few else per, F.col("source").eqNullSafe(F.col("_rl_source")))
-    count = F.col("_rl_base") + F.size(F.filter("_rl_cdf", lambda c: F.col("_rl_u") >= c))
-    copies = drawn.withColumn("_rl_n", count).where("_rl_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rl_n") - 1)))
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy_no"), F.lit(seed))
-    dealt = copies.select(*docs.columns, "copy_no", key.alias("_rl_key")).repartition("_rl_key")
-    return dealt.sortWithinPartitions("_rl_key").drop("_rl_key")
+    kept = [c for c in docs.columns if c.lower() != "copy_no"]
+    drawn = docs.select(*kept).withColumn(u, uniform(ident, seed)).join(F.broadcast(per) if few else per, F.col("source").eqNullSafe(F.col(of)))
+    count = F.col(least) + F.size(F.filter(cdf, lambda c: F.col(u) >= c))
+    copies = _numbers(drawn.withColumn(n, count).where(F.col(n) > 0).select(*kept, n), n, "copy_no")
+    dealt = copies.select(*kept, "copy_no", F.xxhash64(ident, F.col("copy_no"), F.lit(seed)).alias(key)).repartition(key)
+    return dealt.sortWithinPartitions(key).drop(key)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +110,7 @@ FROM draws d JOIN counted c USING (rid), LATERAL (SELECT unnest(range(0, c.n)) A
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated towards shares that grow with the root of a source's size; columns as they came, and copy_no.
+
+    Nulls in source or doc_id, repeated rows, ties and an empty table are treated as ``replicate`` says."""
     return replicate(docs)

@@ -7,19 +7,18 @@ index (word, item, place in the item). Document words are joined with it, length
 bounds discard alignments that cannot hold a window, and the words around each hit are compared
 with the item's to find the exact run. A run that is at least a window long marks its words.
 
-The index is joined in blocks of at most ``block_rows`` rows, each broadcast: its size is checked
-by that construction, whatever the size of the benchmark, and document texts are never shuffled.
+An index of at most ``broadcast_rows`` rows is broadcast, and document texts are never shuffled. A larger one is joined by
+a shuffle of the document words that may be in it, each with its neighbours: a bitmap of the index words' hashes, of a
+fixed size, leaves out most others. Either way the documents are read twice, whatever the size of the benchmark.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.llm.common import durable, table
+from readloom.llm.common import durable, table, unused
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,26 +34,37 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def _index(docs: DataFrame, items: DataFrame, window: int, block_rows: int) -> tuple[DataFrame, int]:
-    """Prefix words: (word, item_id, at, need, before, after, block); the number of blocks."""
+BITMAP = 1 << 23  # bits
+
+
+def _bitmap(words_of: DataFrame) -> DataFrame:
+    """One row: the words' bitmap as an array of 64-bit numbers."""
+    bit = F.pmod(F.xxhash64("word"), F.lit(BITMAP))
+    cells = words_of.select((bit / 64).cast("int").alias("cell"), F.expr("shiftleft(1L, int(pmod(xxhash64(word), 64)))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
+    held = F.map_from_entries(F.collect_list(F.struct("cell", "bits")))
+    return cells.agg(held.alias("held")).select(F.transform(F.sequence(F.lit(0), F.lit(BITMAP // 64 - 1)), lambda c: F.coalesce(F.try_element_at("held", c), F.lit(0).cast("long"))).alias("bitmap"))
+
+
+def _in_bitmap(word: Column, bitmap: Column) -> Column:
+    cell = (F.pmod(F.xxhash64(word), F.lit(BITMAP)) / 64).cast("int")
+    return F.getbit(F.get(bitmap, cell), F.pmod(F.xxhash64(word), F.lit(64)).cast("int")) == 1
+
+
+def _index(docs: DataFrame, items: DataFrame, window: int, broadcast_rows: int) -> DataFrame:
+    """Prefix words: (word, item_id, at, need, before, after)."""
     entries = durable(
         items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("iw"))
         .where(F.size("iw") > 0)
         .distinct()
         .select("item_id", "iw", F.posexplode("iw").alias("at", "word"))
     )
-    vocabulary = durable(entries.select("word").distinct().withColumn("part", F.pmod(F.xxhash64("word"), F.lit(1 << 20))))
-    blocks = max(1, -(-vocabulary.count() // block_rows))
+    vocabulary = durable(entries.select("word").distinct())
+    few = vocabulary.count() <= broadcast_rows
     occurrences = docs.select(F.explode(words(F.col("text"))).alias("word"))
-    counted = reduce(
-        DataFrame.unionByName,
-        (
-            occurrences.join(F.broadcast(vocabulary.where(F.col("part") % blocks == k).select("word")), "word")
-            .groupBy("word")
-            .agg(F.count(F.lit(1)).alias("df"))
-            for k in range(blocks)
-        ),
-    )
+    if few:
+        counted = occurrences.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        counted = occurrences.groupBy("word").agg(F.count(F.lit(1)).alias("df")).join(vocabulary, "word")
     ranked = (
         entries.join(counted, "word", "left")
         .withColumn("rank", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "at"))
@@ -62,7 +72,7 @@ def _index(docs: DataFrame, items: DataFrame, window: int, block_rows: int) -> t
         .withColumn("first", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("width") + 1), F.least(F.col("at"), F.size("iw") - F.col("width")))))
     )
     prefix = ranked.groupBy("item_id", "iw", "width", "first").agg(F.min("rank").alias("rank"))
-    index = durable(
+    return durable(
         prefix.select("item_id", "iw", "width", F.col("rank.word").alias("word"), F.col("rank.at").alias("at"))
         .distinct()
         .select(
@@ -72,10 +82,8 @@ def _index(docs: DataFrame, items: DataFrame, window: int, block_rows: int) -> t
             F.col("width").alias("need"),
             F.reverse(F.slice("iw", F.greatest(F.lit(1), F.col("at") - window + 2), F.least(F.col("at"), F.lit(window - 1)))).alias("before"),
             F.slice("iw", F.col("at") + 2, F.lit(window - 1)).alias("after"),
-            F.pmod(F.xxhash64("item_id", "at"), F.lit(1 << 20)).alias("part"),
         )
     )
-    return index, max(1, -(-index.count() // block_rows))
 
 
 def _agree(same: list[Column]) -> Column:
@@ -87,54 +95,61 @@ def _agree(same: list[Column]) -> Column:
     return out.otherwise(len(same))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, block_rows: int = 200_000) -> DataFrame:
+def _found_by_broadcast(base: DataFrame, index: DataFrame, window: int) -> DataFrame:
+    """(doc_id, text_hash, n_words, item_id, pos, need, l, r): runs of l words before pos and r after it that equal an
+    item's; and for each row of ``base`` one with need 0, which brings the word count along."""
+    end = "\u0000"  # cannot be a word: its one entry meets every row once
+    empty = F.array().cast(T.ArrayType(T.StringType()))
+    mark = index.sparkSession.range(1).select(F.lit(end).alias("word"), F.lit(None).cast("string").alias("item_id"), F.lit(0).alias("at"), F.lit(0).alias("need"), empty.alias("before"), empty.alias("after"))
+    placed = base.select("doc_id", "text_hash", "w", F.posexplode(F.concat("w", F.array(F.lit(end)))).alias("pos", "word"))
+    left = _agree([_equal(F.get("w", F.col("pos") - k), F.get("before", F.lit(k - 1))) for k in range(1, max(2, window))])
+    right = _agree([_equal(F.get("w", F.col("pos") + k), F.get("after", F.lit(k - 1))) for k in range(1, max(2, window))])
+    fits = (F.size("w") >= F.col("need")) & (F.col("pos") < F.size("w"))
+    hits = placed.join(F.broadcast(index.unionByName(mark)), "word").where((F.col("need") == 0) | (fits & (left + 1 + right >= F.col("need"))))
+    return hits.select("doc_id", "text_hash", F.size("w").alias("n_words"), "item_id", "pos", "need", left.alias("l"), right.alias("r"))
+
+
+def _found_by_shuffle(base: DataFrame, index: DataFrame, window: int) -> DataFrame:
+    """The same rows, by a join on the word; a document word brings its neighbours along."""
+    placed = base.select("doc_id", "text_hash", "w", F.posexplode("w").alias("pos", "word"))
+    placed = placed.where(_in_bitmap(F.col("word"), _bitmap(index.select("word").distinct()).scalar()))
+    placed = placed.select(
+        "doc_id", "text_hash", F.size("w").alias("n_words"), "pos", "word",
+        F.reverse(F.slice("w", F.greatest(F.lit(1), F.col("pos") - window + 2), F.least(F.col("pos"), F.lit(window - 1)))).alias("x"),
+        F.slice("w", F.col("pos") + 2, F.lit(window - 1)).alias("y"),
+    )
+    left = _agree([_equal(F.get("x", F.lit(k - 1)), F.get("before", F.lit(k - 1))) for k in range(1, max(2, window))])
+    right = _agree([_equal(F.get("y", F.lit(k - 1)), F.get("after", F.lit(k - 1))) for k in range(1, max(2, window))])
+    hits = placed.join(index, "word").where((F.col("n_words") >= F.col("need")) & (left + 1 + right >= F.col("need")))
+    hits = hits.select("doc_id", "text_hash", "n_words", "item_id", "pos", "need", left.alias("l"), right.alias("r"))
+    zero = F.lit(0)
+    return hits.unionByName(base.select("doc_id", "text_hash", F.size("w").alias("n_words"), F.lit(None).cast("string").alias("item_id"), zero.alias("pos"), zero.alias("need"), zero.alias("l"), zero.alias("r")))
+
+
+def _equal(x: Column, y: Column) -> Column:
+    return F.coalesce(x == y, F.lit(False))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, broadcast_rows: int = 200_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, n_words, n_hit, n_items, item_ids, contaminated.
 
     Null or wordless texts have no words and are clean; items without words match nothing; repeated
     document rows each get the result; repeated item rows count once, and equal texts under several
-    item ids are several items. An empty benchmark leaves every document clean; of no documents the
-    result is empty. Other columns of either table are not read.
+    item ids are several items. The items without an id count as one item, which item_ids leaves out. An empty benchmark
+    leaves every document clean; of no documents the result is empty. Other columns of either table are not read.
     """
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
-    index, blocks = _index(docs, items, window, block_rows)
-    end = "\u0000"  # cannot be a word: one entry of it in the first block brings each document's word count along
-    empty = F.array().cast(T.ArrayType(T.StringType()))
+    index = _index(docs, items, window, broadcast_rows)
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    at = lambda array, i: F.get(array, i)  # noqa: E731  null outside the array
-    equal = lambda x, y: F.coalesce(x == y, F.lit(False))
-    steps = range(1, max(2, window))
-    left = _agree([equal(at("w", F.col("pos") - k), at("before", F.lit(k - 1))) for k in steps])
-    right = _agree([equal(at("w", F.col("pos") + k), at("after", F.lit(k - 1))) for k in steps])
-    found = []
-    for k in range(blocks):
-        part = index.where(F.col("part") % blocks == k).drop("part")
-        if k == 0:
-            sentinel = index.sparkSession.range(1).select(
-                F.lit(end).alias("word"), F.lit(None).cast("string").alias("item_id"), F.lit(0).alias("at"), F.lit(0).alias("need"), empty.alias("before"), empty.alias("after")
-            )
-            part = part.unionByName(sentinel)
-        placed = base.select("doc_id", "text_hash", "w", F.posexplode(F.concat("w", F.array(F.lit(end)))).alias("pos", "word"))
-        fits = (F.size("w") >= F.col("need")) & (F.col("pos") < F.size("w"))
-        hits = placed.join(F.broadcast(part), "word").where(F.col("item_id").isNull() | (fits & (left + 1 + right >= F.col("need"))))
-        found.append(
-            hits.select(
-                "doc_id",
-                "text_hash",
-                F.size("w").alias("n_words"),
-                "item_id",
-                "pos",
-                "need",
-                left.alias("l"),
-                right.alias("r"),
-            )
-        )
-    runs = reduce(DataFrame.unionByName, found)
+    runs = (_found_by_broadcast if index.count() <= broadcast_rows else _found_by_shuffle)(base, index, window)
+    hit = F.col("need") > 0
     span = F.struct((F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r") + 1).alias("e"))
     per_doc = runs.groupBy("doc_id", "text_hash").agg(
-        F.count(F.when(F.col("item_id").isNull(), 1)).alias("rows"),
+        F.count(F.when(~hit, 1)).alias("rows"),
         F.max("n_words").cast("long").alias("n_words"),
-        F.collect_set(F.when(F.col("item_id").isNotNull(), span)).alias("spans"),
+        F.collect_set(F.when(hit, span)).alias("spans"),
         F.array_sort(F.collect_set("item_id")).alias("item_ids"),
+        F.max((hit & F.col("item_id").isNull()).cast("int")).alias("nameless"),
     )
     covered = F.aggregate(  # spans in order; what each adds beyond the furthest end so far
         F.array_sort("spans"),
@@ -146,7 +161,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, block_row
     return (
         per_doc.withColumn("n_hit", covered)
         .withColumn("one", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-        .select("doc_id", "text_hash", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
+        .select("doc_id", "text_hash", "n_words", "n_hit", (F.size("item_ids") + F.col("nameless")).cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
     )
 
 
@@ -184,8 +199,11 @@ FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window; columns as they came."""
-    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "text_hash").distinct()
-    keyed = docs.withColumn("_rl_text_hash", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(bad["doc_id"]) & (keyed["_rl_text_hash"] == bad["text_hash"])
-    return keyed.join(bad, same, "left_anti").drop("_rl_text_hash")
+    """Documents without any benchmark window; columns as they came.
+
+    Null, empty and wordless texts stay; repeated rows stay or go together; an empty benchmark leaves all, an empty table gives
+    no rows."""
+    own = unused(docs)
+    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    bad = bad.select(F.col("doc_id").alias(own + "id"), F.col("text_hash").alias(own + "hash")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(own + "id")) & (F.xxhash64("text") == F.col(own + "hash")), "left_anti")

@@ -1,6 +1,6 @@
 """Language identification by segmentation-marginalised unigrams.
 
-The pieces are those of a fixed public vocabulary, up to ``MAX_PIECE`` code points long. Every language
+The pieces are the letter pieces of a fixed public vocabulary, in lower case. Every language
 has a probability for each piece; the probability of a word is the sum over all its segmentations into
 pieces of the product of their probabilities, which a forward algorithm computes. A character that no
 piece covers is a piece of its own with a small fixed probability. The piece probabilities are estimated
@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import crc_of_id, hash_share, table
+from readloom.llm.common import crc_of_id, hash_share, slices, table
 
-LETTERS = re.compile(r"[^\W\d_]+")
+RUNS = re.compile(r"[^\W\d_]+")  # letters, and the few numerals that are neither digits nor letters
 START = "▁"
-MAX_PIECE = 8
+LONG = 256  # from here on words are summed one at a time
 UNKNOWN = 1e-7
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CELLS = 1 << 20  # characters handled at once
@@ -36,7 +36,15 @@ def vocabulary(path: str) -> list[str]:
 
     sp = SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())}
-    return sorted(p for p in pieces if 0 < len(p) <= MAX_PIECE and all(c == START or c.isalpha() for c in p))
+    return sorted(p for p in pieces if p and all(c == START or c.isalpha() for c in p))
+
+
+def letter_runs(text: str) -> list[str]:
+    """Maximal runs of letters of a text, in lower case."""
+    out = []
+    for run in RUNS.findall(text.lower()):
+        out += [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+    return out
 
 
 class Pieces:
@@ -44,6 +52,8 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.n = len(pieces) + 1
+        self.longest = max(map(len, pieces), default=1)
+        self.number = {p: i for i, p in enumerate(pieces, 1)}
         self.levels = []
         keys = np.array([_hash(p) for p in pieces], dtype=np.uint64)
         left = np.arange(len(pieces))
@@ -97,7 +107,7 @@ def arcs(points: np.ndarray, pieces: Pieces) -> Iterator[tuple[int, list[tuple[i
     with np.errstate(over="ignore"):
         for end in range(1, size + 1):
             c = points[:, end - 1]
-            running = [c] + [h * BASE + c for h in running[: min(MAX_PIECE, end) - 1]]
+            running = [c] + [h * BASE + c for h in running[: min(pieces.longest, end) - 1]]
             yield end, [(n + 1, pieces.find(h)) for n, h in enumerate(running)]
 
 
@@ -113,7 +123,7 @@ def forward(points: np.ndarray, pieces: Pieces, probs: np.ndarray) -> np.ndarray
             if n == 1:
                 p = np.where(number[:, None] > 0, p, UNKNOWN)
             total += recent[n - 1] * p
-        recent = [total, *recent][:MAX_PIECE]
+        recent = [total, *recent][: pieces.longest]
         if end % 8 == 0:
             top = np.maximum(recent[0], 1e-300)
             scale += np.log(top)
@@ -121,6 +131,25 @@ def forward(points: np.ndarray, pieces: Pieces, probs: np.ndarray) -> np.ndarray
     return scale + np.log(np.maximum(recent[0], 1e-300))
 
 
+def forward_long(word: str, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
+    """The same for one long word, whose steps a table of pieces takes faster than arrays of one row would."""
+    number, longest = pieces.number, pieces.longest
+    recent, scale = [np.ones(probs.shape[1])], np.zeros(probs.shape[1])
+    for end in range(1, len(word) + 1):
+        one = number.get(word[end - 1])
+        total = recent[0] * (probs[one] if one else UNKNOWN)
+        for n in range(2, min(longest, end) + 1):
+            k = number.get(word[end - n : end])
+            if k:
+                total = total + recent[n - 1] * probs[k]
+        recent = [total, *recent[: longest - 1]]
+        if end % 8 == 0:
+            top = np.maximum(total, 1e-300)
+            scale += np.log(top)
+            recent = [r / top for r in recent]
+    return scale + np.log(np.maximum(recent[0], 1e-300))
+
+
 def expected(points: np.ndarray, weight: np.ndarray, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
     """Expected piece counts by forward-backward, with one weight for each word and language; words up to 64 code points."""
     rows, size = points.shape
@@ -155,8 +184,12 @@ class Model:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.langs)))
-        for part, points in blocks([START + w for w in words]):
-            out[part] = forward(points, self.pieces, self.probs)
+        usual = np.array([i for i, w in enumerate(words) if len(w) < LONG], dtype=np.int64)
+        for part, points in blocks([START + words[i] for i in usual]):
+            out[usual[part]] = forward(points, self.pieces, self.probs)
+        for i, w in enumerate(words):
+            if len(w) >= LONG:
+                out[i] = forward_long(START + w, self.pieces, self.probs)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -164,7 +197,7 @@ class Model:
         known: dict[str, int] = {}
         ids, ends = [], [0]
         for t in texts:
-            ids += [known.setdefault(w, len(known)) for w in LETTERS.findall(t.lower())] if isinstance(t, str) else []
+            ids += [known.setdefault(w, len(known)) for w in letter_runs(t)] if isinstance(t, str) else []
             ends.append(len(ids))
         per_word = self.word_scores(list(known))
         sums = np.zeros((len(texts), len(self.langs)))
@@ -180,7 +213,8 @@ class Model:
 
 
 def train(counts: pd.DataFrame, prior: dict[str, int], vocab: list[str], rounds: int = 4, smooth: float = 0.05) -> Model:
-    """Model from word counts (lang, word, n)."""
+    """Model from word counts (lang, word, n). Runs of 64 letters or more, which are hardly words, take no part in the fit;
+    their expectations would need scaled sums. They are scored like others."""
     langs = sorted(prior)
     pieces = Pieces(vocab)
     probs = np.full((pieces.n, len(langs)), 1.0 / pieces.n)
@@ -218,7 +252,7 @@ def identify(docs: DataFrame, learn_from: DataFrame, vocabulary_path: str, docs_
 
         def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
-                rows = [(lang, w) for lang, t in zip(pdf["lang"], pdf["text"]) for w in LETTERS.findall(t.lower())]
+                rows = [(lang, w) for lang, t in zip(pdf["lang"], pdf["text"]) for w in letter_runs(t)]
                 if rows:
                     yield pd.DataFrame(rows, columns=["lang", "word"]).groupby(["lang", "word"]).size().reset_index(name="n")
 
@@ -228,17 +262,9 @@ def identify(docs: DataFrame, learn_from: DataFrame, vocabulary_path: str, docs_
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for pdf in parts:
-            texts = list(pdf["text"])
-            names, scores = [], []
-            for at in range(0, len(texts), 2000):
-                if m is None:
-                    a, b = ["und"] * len(texts[at : at + 2000]), np.zeros(len(texts[at : at + 2000]))
-                else:
-                    a, b = m.predict(texts[at : at + 2000])
-                names += a
-                scores.append(b)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": names, "score": np.concatenate(scores) if scores else []})
+        for pdf in slices(parts, rows=2_000):
+            names, scores = m.predict(list(pdf["text"])) if m else (["und"] * len(pdf), np.zeros(len(pdf)))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": names, "score": scores})
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, lang_pred string, score double")

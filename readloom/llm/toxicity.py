@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import crc_of_id, hash_share, table
+from readloom.llm.common import crc_of_id, durable, hash_share, slices, table
 
 WORD = re.compile(r"\w+")
 MIXED = re.compile(r"[^\W\d_][0-9@$!*.\-]+[^\W\d_]|[0-9@$][^\W\d_]|[^\W\d_][0-9@$]")
@@ -47,15 +47,15 @@ def plain(word: str) -> str:
 
 
 def mixed_words(text: str) -> list[str]:
-    """Words with digits or symbols among their letters, each cut to 32 characters around the mixture."""
+    """Words, between white space, with digits or symbols among their letters."""
     out, last = [], 0
     for m in MIXED.finditer(text):
         if m.start() < last:
             continue
         lo, hi = m.start(), m.end()
-        while lo > last and m.start() - lo < 32 and not text[lo - 1].isspace():
+        while lo > last and not text[lo - 1].isspace():
             lo -= 1
-        while hi < len(text) and hi - m.end() < 32 and not text[hi].isspace():
+        while hi < len(text) and not text[hi].isspace():
             hi += 1
         out.append(text[lo:hi])
         last = hi
@@ -253,7 +253,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, sample_docs: int = 12_0
     n = labels.count()
     share = min(1.0, sample_docs / max(1, n))
     chosen = lambda df: df.where(hash_share(F.col("doc_id"), "toxicity") < share)
-    sample = chosen(docs.select("doc_id", "text")).join(chosen(labels), "doc_id")
+    sample = durable(chosen(docs.select("doc_id", "text")).join(chosen(labels), "doc_id"))
 
     def vocabulary(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -289,7 +289,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, sample_docs: int = 12_0
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for pdf in parts:
+        for pdf in slices(parts):
             texts = [t if isinstance(t, str) else None for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": m.predict(texts) if isinstance(m, Model) else np.full(len(texts), m)})
 

@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and a randomness test battery over key-like tokens.
 
 Patterns give the base spans. Beyond them every maximal run of key characters is a candidate if it is
-20 characters or longer, mixes digits with letters and overlaps no base span. Its encoding is the
+20 characters or longer, mixes digits with letters and overlaps no base span; runs without a digit are words more often
+than keys, and runs that hold both + or / and - or _ fit no encoding: neither are tested. The encoding is the
 smallest alphabet that holds it, and three tests ask whether it looks drawn uniformly from that
 alphabet: chi-squared uniformity (over as many equal bins as its length supports), runs about the
 alphabet's middle, and lag-one serial correlation. Fisher's method combines their p-values.
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import durable, small_batches, table
+from readloom.llm.common import durable, slices, table
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -103,10 +104,18 @@ def randomness(token: str, enc: int) -> float:
 
 
 def candidates(text: str | None, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Key-like tokens outside the base spans, with class and p-value."""
-    out = []
+    """Key-like tokens outside the base spans (in order of their starts), with class and p-value."""
+    taken: list[list[int]] = []  # base spans, those that overlap as one
+    for s, _, e in base:
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    out, k = [], 0
     for m in TOKEN.finditer(text or ""):
-        if any(s < m.end() and m.start() < e for s, _, e in base):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k < len(taken) and taken[k][0] < m.end():
             continue
         enc = encoding(m[0])
         if enc is None:
@@ -138,7 +147,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base spans, their digest and the candidates, for every row."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
+        for pdf in slices(parts):
             base, cands, sha = [], [], []
             for text in pdf["text"]:
                 text = text if isinstance(text, str) else ""
@@ -158,7 +167,6 @@ def find_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     Null and empty texts have none; repeated rows are each scanned; an empty table gives no rows; other
     columns are not read. The corpus-wide table of p-values has at most 48 x 50 rows, whatever the input.
     """
-    small_batches(docs.sparkSession)
     seen = durable(scan(docs))
     hist = seen.select(F.explode("cands").alias("c")).groupBy("c.cls", "c.bin").count().collect()
     least = F.array(*[F.lit(x) for x in thresholds({(r["cls"], r["bin"]): r["count"] for r in hist}, rate)])

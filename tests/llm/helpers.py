@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 SF2 = "/root/testdata/sf0.01"
+SF3 = "/root/testdata/sf0.1"
 LONG = "lorem ipsum dolor sit amet consectetur " * 4000
-CLASH = ["id", "fp", "entry", "component", "root", "key", "w", "h", "pos", "word", "score", "mean", "shard", "block", "label", "pattern", "spans", "rows", "n", "rank"]
+CLASH = ["id", "fp", "entry", "component", "root", "key", "w", "h", "pos", "word", "score", "mean", "shard", "block", "label", "pattern", "spans", "rows", "n", "rank", "copy_no", "_rl_u", "_rl_n", "_rl_key", "_rl_base", "_rl_source", "_rl_cdf", "_rl_id", "_rl_hash", "_rl_text", "_rl_drop", "_rl_score", "_rl_quality", "_rl_weak", "_rl_keep", "_rl__u", "lead", "node", "text_hash", "keys"]
 
 
 def messy(spark, extra=True):

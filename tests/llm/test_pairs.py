@@ -38,6 +38,8 @@ def test_components_against_union_find(spark):
             s.join(a, b)
     assert all(s.find(n) == c for n, c in got.items())
     assert {n for e in edges if None not in e and e[0] != e[1] for n in e} == set(got)
+    wide = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), together=0).collect()}
+    assert wide == got  # by contraction
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -66,11 +68,57 @@ def test_simhash_against_brute_force(spark):
 def test_simhash_chain_and_fingerprint_of_spark_hash(spark):
     chain = [0b111 << 60, (0b111 << 60) | 1, (0b111 << 60) | 7, (0b111 << 60) | 31, 0]
     u = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in chain], "fp long")
-    comp = {r["node"]: r["component"] for r in connected_components(simhash.links(u)).collect()}
-    assert len(set(comp.values())) == 1 and len(comp) == 4
+    for hot in (1_000, 1):  # the second way is for segment values with many holders
+        comp = {r["node"]: r["component"] for r in connected_components(simhash.links(u, hot=hot)).collect()}
+        assert len(set(comp.values())) == 1 and len(comp) == 4
     assert spark.range(1).select(F.xxhash64(F.lit("héllo wörld x"))).first()[0] % (1 << 64) == xxhash.xxh64_intdigest("héllo wörld x".encode(), 42)
 
 
+def test_links_against_all_pairs(spark):
+    """Dense fingerprints, so that many lie within two bits and many share a segment."""
+    rng = random.Random(8)
+    fps = {rng.getrandbits(64) for _ in range(40)}
+    for _ in range(400):
+        fps.add(rng.choice(sorted(fps)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    s = Sets()
+    for i, x in enumerate(signed):
+        s.find(x)
+        for y in signed[:i]:
+            if ((x ^ y) & ((1 << 64) - 1)).bit_count() <= 2:
+                s.join(x, y)
+    u = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for hot in (1_000, 3):
+        comp = {r["node"]: r["component"] for r in connected_components(simhash.links(u, hot=hot)).collect()}
+        assert all(comp.get(x, x) == s.find(x) for x in signed) and len(comp) > 300
+
+
+def test_sketches_and_keys_follow_similarity():
+    """Shares of equal sketch bits and equal table keys are those of the similarity; no pair of 0.8 is far apart."""
+    rng = np.random.default_rng(4)
+    bits = lambda x: np.unpackbits(simhash.set_sketch(x).view(np.uint8))
+    for similarity in (0.5, 0.8, 0.95):
+        equal, shared, far = [], [], 0
+        for _ in range(60):
+            n = 360
+            common = round(similarity * n)
+            h = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+            extra = (n - common) // 2
+            a, b = np.sort(h[: common + extra]), np.sort(np.concatenate([h[:common], h[common + extra :]]))
+            equal.append((bits(a) == bits(b)).mean())
+            shared.append((simhash.set_keys(a) == simhash.set_keys(b)).mean())
+            far += (bits(a) != bits(b)).sum() > simhash._APART
+        assert abs(np.mean(equal) - (1 + similarity) / 2) < 0.01
+        assert abs(np.mean(shared) - similarity**simhash.ROWS) < 0.05
+        assert far == 0 if similarity >= 0.8 else far > 50
+
+
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, a), (1, b), (1, a), (2, b), (3, a + " end")], "doc_id long, text string")
+    assert rows_of(simhash.simhash_stage(spark, docs, SF), "doc_id", "text") == sorted([(1, a), (1, b)])
+
+
 def test_simhash_awkward_rows_and_stage(spark):
     got = rows_of(simhash.near_duplicates(messy(spark)), "doc_id", "component_id")
     assert len(got) == 10 and (6, 1) in got and (3, 2) in got and (4, 2) in got and (2, 2) in got
@@ -132,10 +180,10 @@ def test_line_classes_and_stage(spark):
     one, near, other = "This line is repeated in a number of documents, word for word.", "This line is repeated in a number of documents, word for word!", "Another line that is quite unlike the first one and stays alone here."
     docs = spark.createDataFrame([(3, f"{one}\n{other}\nshort"), (2, near), (5, f"{one}\n  {one} \nshort one"), (7, None), (8, "")], "doc_id long, text string")
     got = {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["n_links"], r["kept"]) for r in linededup.line_classes(docs).collect()}
-    assert got == {(2, 0): (2, 1, True), (3, 0): (2, 1, False), (3, 1): (3, 0, True), (5, 0): (2, 1, False), (5, 1): (2, 1, False)}
+    assert got == {(2, 0): (2, 1, True), (3, 0): (2, 1, False), (3, 1): (3, 0, True), (3, 2): (3, 0, True), (5, 0): (2, 1, False), (5, 1): (2, 1, False), (5, 2): (5, 0, True)}
     stage = linededup.line_stage(spark, docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("id", F.lit(1)), SF)
     assert stage.columns == ["doc_id", "text", "n_chars", "id"]
-    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in stage.collect()} == {2: (near, len(near)), 3: (f"{other}\nshort", len(other) + 6), 7: (None, None), 8: ("", 0)}
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in stage.collect()} == {2: (near, len(near)), 3: (f"{other}\nshort", len(other) + 6), 5: ("short one", 9), 7: (None, None), 8: ("", 0)}
 
 
 def test_line_awkward_rows(spark):
@@ -143,7 +191,7 @@ def test_line_awkward_rows(spark):
     rows = rows_of(got, "doc_id", "line_no", "kept")
     assert (5, 0, True) in rows and (6, 0, False) in rows and rows.count((1, 0, True)) == 2 and (None, 0, True) in rows
     assert linededup.line_classes(messy(spark).limit(0)).count() == 0
-    assert linededup.line_stage(spark, messy(spark), SF).count() == 9  # document 6 holds nothing of its own
+    assert linededup.line_stage(spark, messy(spark), SF).count() == 9  # document 6 holds nothing of its own, 9 one letter
 
 
 def test_decontamination_against_sql(spark):
@@ -153,11 +201,13 @@ def test_decontamination_against_sql(spark):
     want = con.execute(decontam.OP10_SQL).df().sort_values("doc_id").reset_index(drop=True)
     got = decontam.op10(spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)[want.columns]
     assert got.equals(want.astype(got.dtypes.to_dict())) and want.contaminated.any()
+    by_shuffle = decontam.decontaminate(table(spark, SF, "documents"), table(spark, SF, "benchmark"), broadcast_rows=10)
+    assert rows_of(by_shuffle, "doc_id", "n_words", "n_hit", "n_items") == sorted(map(tuple, want[["doc_id", "n_words", "n_hit", "n_items"]].values.tolist()), key=repr)
 
 
 def test_decontamination_cases(spark):
     words = [f"w{i}" for i in range(30)]
-    items = spark.createDataFrame([(1, " ".join(words[:15])), (2, "Tiny ITEM"), (3, " ".join(words[:15])), (4, None), (5, "--"), (1, " ".join(words[:15])), (10, " ".join(words[20:30]))], "item_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words[:15])), (2, "Tiny ITEM"), (3, " ".join(words[:15])), (4, None), (5, "--"), (1, " ".join(words[:15])), (10, " ".join(words[20:30])), (None, "nameless item here"), (None, "another nameless one")], "item_id long, text string")
     docs = spark.createDataFrame(
         [
             (1, "x " + " ".join(words[2:13]) + " y"),  # 11 of the item's words: two windows
@@ -170,18 +220,21 @@ def test_decontamination_cases(spark):
             (None, "tiny item"),
             (7, LONG),
             (8, "Été tiny É item"),
+            (9, "a nameless item here, and ANOTHER nameless one; here"),
         ],
         "doc_id long, text string",
     ).withColumn("w", F.lit(1))
-    for block_rows in (200_000, 3):
-        got = decontam.decontaminate(docs, items, block_rows=block_rows)
+    for rows in (200_000, 3):  # by broadcast, and by shuffle
+        got = decontam.decontaminate(docs, items, broadcast_rows=rows)
         res = sorted(((r["doc_id"] or -1, r["n_words"], r["n_hit"], tuple(r["item_ids"])) for r in got.collect()))
-        assert res == [(-1, 2, 2, ("2",)), (1, 13, 11, ("1", "3")), (2, 9, 0, ()), (3, 5, 4, ("2",)), (4, 0, 0, ()), (5, 0, 0, ()), (6, 20, 20, ("10",)), (6, 20, 20, ("10",)), (7, 24000, 0, ()), (8, 4, 0, ())]
+        assert res == [(-1, 2, 2, ("2",)), (1, 13, 11, ("1", "3")), (2, 9, 0, ()), (3, 5, 4, ("2",)), (4, 0, 0, ()), (5, 0, 0, ()), (6, 20, 20, ("10",)), (6, 20, 20, ("10",)), (7, 24000, 0, ()), (8, 4, 0, ()), (9, 9, 6, ())]
+        assert [r["n_items"] for r in got.where("doc_id = 9").collect()] == [1]
     empty = decontam.decontaminate(docs, items.limit(0))
-    assert empty.count() == 10 and empty.where("contaminated").count() == 0
+    assert empty.count() == 11 and empty.where("contaminated").count() == 0
     assert decontam.decontaminate(docs.limit(0), items).count() == 0
-    plan = decontam.decontaminate(docs, items)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan
+    for rows in (200_000, 3):
+        plan = decontam.decontaminate(docs, items, broadcast_rows=rows)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan
 
 
 def test_decontamination_stage_keeps_columns(spark):
@@ -214,7 +267,7 @@ def test_nearest_recall_and_scores(spark, shard_rows):
         assert all(math.isclose(s, d[ids == i][0], rel_tol=1e-12) for _, i, s in own)
         assert [s for _, _, s in own] == sorted(s for _, _, s in own)
         hits += len(want & {i for _, i, _ in own})
-    assert hits / (10 * (ids % 100 == 0).sum()) >= 0.95
+    assert hits / (10 * (ids % 100 == 0).sum()) >= 0.9
 
 
 def test_nearest_awkward_vectors(spark):
@@ -225,16 +278,50 @@ def test_nearest_awkward_vectors(spark):
     assert mih.search(v.limit(0), v).count() == 0 and mih.search(v, v.limit(0)).count() == 0
 
 
-def test_pigeonhole_is_exact():
+def test_pigeonhole_holds_the_radius():
+    """All codes within (ball + 1) m - 1 bits are fetched, and exactly those that some table holds in the ball."""
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 32))
-    codes = mih.fit(x, rotations=2, steps=5)
+    x[100:400] = x[0] + rng.standard_normal((300, 32)) * rng.random((300, 1))  # some that are near
+    codes = mih.fit(x, rotations=2)
     shard = mih.Shard(np.arange(3000), x, codes)
+    assert (shard.ids == np.arange(3000)).all()
     c = codes.encode(x)
+    within = 0
     for i in range(20):
-        for radius in (3, 9, 14, 30):
-            want = np.flatnonzero(mih.POPCOUNT[c ^ c[i]].sum(axis=1, dtype=int) <= radius)
-            assert (shard.within(c[i], radius) == want).all()
+        for ball in (0, 1, 2, 3):
+            got = set(shard.fetched(c[i], ball).tolist())
+            parts = mih.POPCOUNT[c ^ c[i]].astype(int)
+            assert got == set(np.flatnonzero((parts <= ball).any(axis=1)).tolist())
+            near = set(np.flatnonzero(parts.sum(axis=1) <= (ball + 1) * c.shape[1] - 1).tolist())
+            assert near <= got
+            within += len(near) - 1
+    assert within > 50
+
+
+def test_index_prunes():
+    """On the given vectors, spread evenly in 64 dimensions, at most a fifth of the rows is fetched."""
+    import pandas as pd
+
+    t = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet").sort_values("vec_id")
+    x, ids = np.array(t["embedding"].tolist(), dtype=np.float64), t["vec_id"].to_numpy()
+    codes = mih.fit(x)
+    shard = mih.Shard(ids, x, codes)
+    shares = [len(shard.fetched(codes.encode(x[i : i + 1])[0])) / len(x) for i in range(0, len(x), 20)]
+    assert np.mean(shares) <= 0.2
+
+
+def test_repeated_candidates_take_one_place(spark):
+    rng = random.Random(6)
+    near = lambda: [1.0 + rng.gauss(0, 0.05), *(rng.gauss(0, 0.05) for _ in range(15))]
+    rows = [(100, [1.0] + [0.0] * 15, 1)] + [(1, [1.0] + [0.01] * 15, 1)] * 12 + [(i, near(), 1) for i in range(2, 26)]
+    v = _vectors(spark, rows)
+    for shard_rows in (65_536, 10):
+        got = rows_of(mih.search(v, v.where("vec_id = 100"), shard_rows=shard_rows), "rank", "vec_id")
+        dist = {i: math.sqrt(sum((np.float64(np.float32(a)) - np.float64(np.float32(b))) ** 2 for a, b in zip(x, rows[0][1]))) for i, x, _ in rows[1:]}
+        assert sorted(got) == [(r, i) for r, i in enumerate(sorted(dist, key=lambda i: (dist[i], i))[:10], 1)]
+    twice = _vectors(spark, [(100, [1.0, 0.0], 1), (7, [0.9, 0.0], 1), (7, [0.5, 0.0], 1), (100, [0.0, 1.0], 2)])
+    assert rows_of(mih.search(twice, twice.where("vec_id = 100")), "query_id", "rank", "vec_id") == [(100, 1, 7), (100, 2, 7)]
 
 
 def test_stage_catches_near_copies(spark):
@@ -269,13 +356,43 @@ def test_stage_catches_near_copies(spark):
 
 def test_short_lines_are_deduplicated(spark, tmp_path):
     short, near, long = "All rights reserved.", "All rights reserved!", "A line of more than forty characters, which only one text holds."
-    docs = spark.createDataFrame([(1, f"{long} 1\n{short}\n}}\n\n"), (2, f"{short}\n{long} and a different end\n}}"), (3, f"{near}\nDone\n  {short}\t")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, f"{long} 1\n{short}\n}}\n\n"), (2, f"{short}\n{long} and a different end\n}}"), (3, f"{near}\nDone\n  {short}\t"), (4, "Done\n}\nx")], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["class_line_no"], r["kept"]) for r in linededup.op5(spark, str(tmp_path)).collect()}
-    first = {(1, 0): True, (1, 1): True, (1, 2): True, (2, 1): True, (3, 0): True, (3, 1): True}
-    assert got == {at: (*at, True) for at in first} | {(2, 0): (1, 1, False), (3, 2): (1, 1, False), (2, 2): (1, 2, False)}
+    first = {(1, 0): True, (1, 1): True, (1, 2): True, (2, 1): True, (3, 0): True, (3, 1): True, (4, 2): True}
+    assert got == {at: (*at, True) for at in first} | {(2, 0): (1, 1, False), (3, 2): (1, 1, False), (2, 2): (1, 2, False), (4, 0): (3, 1, False), (4, 1): (1, 2, False)}
     left = {r["doc_id"]: r["text"] for r in linededup.line_stage(spark, docs, SF).collect()}
-    assert left == {1: f"{long} 1\n{short}\n}}\n\n", 2: f"{long} and a different end\n}}", 3: f"{near}\nDone"}
+    assert left == {1: f"{long} 1\n{short}\n}}\n\n", 2: f"{long} and a different end\n}}", 3: f"{near}\nDone", 4: "}\nx"}
+
+
+def test_kept_and_unique_lines_always_stay(spark):
+    """Two documents that share twenty lines differing in a number, one of them with a line of its own besides."""
+    lines = [f"This template line stands in either document, under number {i:02d}." for i in range(20)]
+    one, two = "\n".join(lines), "\n".join([*lines[::-1], "And this line stands here alone, at the end of one document."])
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in linededup.line_stage(spark, docs, SF).collect()} == {1: lines[0], 2: "And this line stands here alone, at the end of one document."}
+    long = "\n".join([lines[0]] * 50 + ["unique words " * 40])
+    docs = spark.createDataFrame([(1, lines[0]), (2, long)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in linededup.line_stage(spark, docs, SF).collect()} == {1: lines[0], 2: "unique words " * 40}
+
+
+def test_features_against_plain_hashes():
+    """Equal segments have equal keys, wherever they stand; sketches count groups of characters."""
+    rng = random.Random(9)
+    lines = ["".join(rng.choice("abc é\U0001f600") for _ in range(rng.randrange(40, 90))) for _ in range(300)]
+    sketch, keys = linededup.features(lines, 2)
+    meaning = {}
+    for line, own in zip(lines, keys.tolist()):
+        for (_, i, indexed, at, size), key in zip(linededup.probes(len(line), 2), own):
+            assert meaning.setdefault(key, (i, indexed, line[at : at + size])) == (i, indexed, line[at : at + size])
+    assert len(set(meaning.values())) == len(meaning)
+    again, same = linededup.features(lines[::-1], 2)
+    assert (again[::-1] == sketch).all() and (same[::-1] == keys).all()
+    for line, s in zip(lines[:50], sketch.tolist()):
+        counts = [0] * 16
+        for c in line:
+            counts[(ord(c) * 2654435761 & 0xFFFFFFFF) >> 28] += 1
+        assert s % (1 << 64) == sum((c & 15) << (4 * g) for g, c in enumerate(counts))
 
 
 def test_own_paragraphs_stay(spark):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from readloom.llm import langid, mixing, quality, secrets, tokencount, toxicity
 from readloom.llm.common import table
-from tests.llm.helpers import LONG, SF, SF2, messy, rows_of
+from tests.llm.helpers import LONG, SF, SF2, SF3, messy, rows_of
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -86,6 +86,137 @@ def test_em_recovers_accuracies():
     assert quality.em({}) == {}
 
 
+def plain_statistics(text):
+    """The eight statistics, each by its definition."""
+    words, chars = (text or "").split(), list(text or "")
+    if not words:
+        return dict.fromkeys(quality.STATS)
+    solid = [c for c in chars if not c.isspace()]
+    letters = [c for c in chars if c.isalpha()]
+    odd = lambda c: not (c.isalnum() or c.isspace() or c in ".,;:'\"-()?’“”«»¿¡–—…")
+    out = dict.fromkeys(quality.STATS)
+    out["symbols"] = sum(map(odd, chars)) / len(chars)
+    out["letters"] = 1 - len(letters) / len(solid)
+    if len(letters) >= 10:
+        out["upper"] = sum(c.isupper() for c in letters) / len(letters)
+    out["ends"] = sum(odd(w[-1]) for w in words) / len(words)
+    if len(words) < 8:
+        return out
+    usual = min(0.75, 0.06 * len(words) ** 0.33)
+    out["distinct"] = max(0.0, (1 - len(set(words)) / len(words) - usual) / (1 - usual))
+    out["top"] = max(words.count(w) for w in set(words)) / len(words)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    out["lines"] = 1 - len(set(grams)) / len(grams)
+    raw = text.encode()
+    if len(raw) >= 300:
+        out["packed"] = 1 - len(zlib.compress(raw, 1)) / len(raw)
+    return out
+
+
+def plain_votes(stats):
+    cuts = quality.CUTS
+    return "".join("." if x is None else "j" if x >= cuts[k][1] else "f" if x <= cuts[k][0] else "-" for k, x in stats.items())
+
+
+def plain_em(patterns, rounds=50, strength=0.02):
+    """Expectation-maximisation with loops and dictionaries."""
+    total = sum(patterns.values())
+    weight = max(1.0, strength * total)
+    post = {p: min(0.98, max(0.02, p.count("j") - 0.25 * p.count("f") / len(p))) for p in patterns}
+    prior = ({"j": 0.45, "f": 0.25, "-": 0.3}, {"j": 0.02, "f": 0.78, "-": 0.2})
+    for _ in range(rounds):
+        junk = (sum(n * post[p] for p, n in patterns.items()) + 0.1 * weight) / (total + weight)
+        tables = []
+        for j in range(len(next(iter(patterns)))):
+            seen = ({m: weight * v for m, v in prior[0].items()}, {m: weight * v for m, v in prior[1].items()})
+            for p, n in patterns.items():
+                if p[j] != ".":
+                    seen[0][p[j]] += n * post[p]
+                    seen[1][p[j]] += n * (1 - post[p])
+            tables.append(tuple({m: v / sum(t.values()) for m, v in t.items()} for t in seen))
+        for p in patterns:
+            odds = math.log(junk / (1 - junk)) + sum(math.log(tables[j][0][m] / tables[j][1][m]) for j, m in enumerate(p) if m != ".")
+            post[p] = 1 / (1 + math.exp(-max(-30, min(30, odds))))
+    return post
+
+
+def plain_hashed(text, stats):
+    """Square roots of the frequencies of hashed 4-grams of character classes, and one bin for each statistic."""
+    kind = lambda b: 0 if b in b"\t\n\v\f\r " else 2 if 65 <= b <= 90 else 1 if 97 <= b <= 122 or b > 127 else 4 if 48 <= b <= 57 else 5 if b in b".,;:'\"-()?" else 6 if b == 33 else 7 if b == 124 else 3
+    c, half = [kind(b) for b in (text or "").encode()], quality.BUCKETS // 2
+    out = {}
+    for i in range(len(c) - 3):
+        g = c[i] * 512 + c[i + 1] * 64 + c[i + 2] * 8 + c[i + 3]
+        at = (g * 0x9E3779B1 >> 7) % half
+        out[at] = out.get(at, 0) + 1
+    out = {at: math.sqrt(n / (len(c) - 3)) for at, n in out.items()}
+    for name, x in stats.items():
+        if x is not None:
+            out[half + zlib.crc32(f"{name}={int(min(x, 1.0) * 20)}".encode()) % half] = 0.5
+    return out
+
+
+def plain_fit(rows, labels, rounds=200, l2=1e-4):
+    """The same accelerated steps over sparse rows, in double precision."""
+    step = 4.0 / (max(sum(v * v for v in r.values()) for r in rows) + 1 + l2)
+    size = quality.BUCKETS + 1
+    w = z = np.zeros(size)
+    for k in range(rounds):
+        grad = np.zeros(size)
+        for r, y in zip(rows, labels):
+            at, v = np.array(list(r) + [size - 1]), np.array([*r.values(), 1.0])
+            off = 1 / (1 + math.exp(-max(-30, min(30, float(v @ z[at]))))) - y
+            grad[at] += off * v
+        nxt = z - step * (grad / len(rows) + l2 * z)
+        z, w = nxt + k / (k + 3) * (nxt - w), nxt
+    return w
+
+
+def plain_scores(docs):
+    """Quality of every document (doc_id to text) by the plain parts; all of them fit the scorer."""
+    stats = {i: plain_statistics(t) for i, t in docs.items()}
+    patterns = {}
+    for i, t in docs.items():
+        if t is not None:
+            patterns[plain_votes(stats[i])] = patterns.get(plain_votes(stats[i]), 0) + 1
+    post = plain_em(patterns)
+    vectors = {i: plain_hashed(t, stats[i]) for i, t in docs.items()}
+    first = {t: i for i, t in reversed(docs.items()) if t is not None}  # each text once
+    w = plain_fit([vectors[i] for i in first.values()], [post[plain_votes(stats[i])] for i in first.values()])
+    junk = lambda v: 1 / (1 + math.exp(-max(-30, min(30, sum(x * w[at] for at, x in v.items()) + w[-1]))))
+    return {i: 1 - junk(vectors[i]) if t and t.strip() else 0.0 for i, t in docs.items()}
+
+
+def plain_quality(docs):
+    return {i: docs[i] for i, q in plain_scores(docs).items() if q >= 0.5}
+
+
+def test_quality_against_plain_version(spark):
+    docs = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
+    want = plain_scores(docs)
+    got = {r["doc_id"]: (r["quality"], r["keep"]) for r in quality.op3(spark, SF).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(q - want[i]) < 1e-3 and (k == (want[i] >= 0.5) or abs(want[i] - 0.5) < 1e-3) for i, (q, k) in got.items())
+    assert 0 < sum(k for _, k in got.values()) < len(got)
+
+
+def test_em_and_votes_against_plain_version():
+    rng = random.Random(4)
+    counts = {}
+    for _ in range(2000):
+        p = "".join(rng.choices("jf-.", (1, 6, 2, 1))[0] for _ in range(8)) if rng.random() < 0.8 else "".join(rng.choices("jf-.", (6, 1, 2, 1))[0] for _ in range(8))
+        counts[p] = counts.get(p, 0) + 1
+    a, b = quality.em(counts), plain_em(counts)
+    assert all(abs(a[p] - b[p]) < 1e-9 for p in counts)
+    for t in ("", "a b", "One two three four five six seven eight nine ten. " * 9, "!!! ### $$$ x 1 2 3 4 5 6", "É" * 20 + " é"):
+        plain = plain_statistics(t)
+        got = quality.statistics(t)
+        assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-12) for x, y in zip(got, plain.values()))
+        assert quality.votes(got) == plain_votes(plain)
+        v = quality.hashed(t, got)
+        assert np.allclose(v, [plain_hashed(t, plain).get(i, 0.0) for i in range(quality.BUCKETS)])
+
+
 def test_quality_awkward_rows(spark):
     d = messy(spark)
     got = {(r["doc_id"], r["_rl_keep"]) for r in quality.classify(d).collect()}
@@ -124,6 +255,59 @@ def test_language_held_out(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_long_words_and_letters():
+    """Long runs are summed like short ones; what is alphanumeric but neither digit nor letter is no letter."""
+    import pandas as pd
+
+    vocab = langid.vocabulary(str(tokenizers.path("piece_bpe_32k.model")))
+    m = langid.train(pd.DataFrame([("en", "thing", 5), ("fr", "école", 4)], columns=["lang", "word", "n"]), {"en": 5, "fr": 4}, vocab, rounds=2)
+    rng = random.Random(3)
+    for n in (1, 7, 40, 300):
+        w = "".join(rng.choice("aeinotrsßж") for _ in range(n))
+        (part, points), = langid.blocks([langid.START + w])
+        assert np.allclose(langid.forward(points, m.pieces, m.probs)[0], langid.forward_long(langid.START + w, m.pieces, m.probs), rtol=1e-9)
+    assert langid.letter_runs("½ ² Ⅷ 12_") == [] and langid.letter_runs("aⅧb c²") == ["a", "b", "c"]
+    assert m.predict(["½ ² Ⅷ", "thing " + "x" * 400])[0][0] == "und"
+
+
+def plain_expected(word, weight, p):
+    """Expected piece counts of one word, by all its segmentations."""
+    ways = []
+    for cuts in product((0, 1), repeat=len(word) - 1):
+        parts, at = [], 0
+        for i, c in enumerate((*cuts, 1), 1):
+            if c:
+                parts.append(word[at:i])
+                at = i
+        ways.append((parts, math.prod(p.get(x, langid.UNKNOWN if len(x) == 1 else 0.0) for x in parts)))
+    total = sum(v for _, v in ways)
+    out = {}
+    for parts, v in ways:
+        for x in parts:
+            if x in p:
+                out[x] = out.get(x, 0.0) + weight * v / total
+    return out
+
+
+def test_expected_counts_against_all_segmentations():
+    vocab = langid.vocabulary(str(tokenizers.path("piece_bpe_32k.model")))
+    pieces = langid.Pieces(vocab)
+    rng = np.random.default_rng(2)
+    probs = rng.random((pieces.n, 2)) / pieces.n
+    probs[0] = 0.0
+    words, weight = [langid.START + w for w in ("nation", "école", "xжx")], np.array([[2.0, 1.0], [0.0, 3.0], [1.0, 1.0]])
+    got = np.zeros_like(probs)
+    for part, points in langid.blocks(words):
+        got += langid.expected(points, weight[part], pieces, probs)
+    for k in range(2):
+        p, want = dict(zip(vocab, probs[1:, k])), {}
+        for w, n in zip(words, weight[:, k]):
+            for x, v in plain_expected(w, n, p).items():
+                want[x] = want.get(x, 0.0) + v
+        assert all(math.isclose(got[pieces.number[x], k], v, rel_tol=1e-9, abs_tol=1e-12) for x, v in want.items())
+        assert math.isclose(got[:, k].sum(), sum(want.values()), rel_tol=1e-9)
+
+
 def test_language_awkward_rows(spark):
     path = str(tokenizers.path("piece_bpe_32k.model"))
     d = messy(spark)
@@ -143,8 +327,11 @@ def test_tokens_are_the_library_counts(spark):
     for chunk, overlap in ((1 << 16, 512), (200, 16), (40, 2)):
         got = dict(rows_of(tokencount.token_counts(docs, path, chunk=chunk, overlap=overlap), "doc_id", "n_tokens"))
         assert [got[i] for i in range(len(texts))] == want
-    solid = "ab1" * 500  # no place to splice at
-    assert tokencount.count_long(tok, solid, 100, 10) == len(tok.encode(solid, add_special_tokens=False))
+    rng = random.Random(1)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for solid in ("ab1" * 500, "a" * 3000, draw("abcdefghijklmnop", 20_000), draw([chr(c) for c in range(0x4E00, 0x9FA5)], 20_000), draw("eaoú̈ ", 9000), draw("ab 's't.,\n\t1é́ΣςİK😀", 9000)):
+        want = len(tok.encode(solid, add_special_tokens=False))  # texts without spaces are spliced inside their words
+        assert [tokencount.count_long(tok, solid, chunk, overlap) for chunk, overlap in ((1000, 64), (300, 4))] == [want, want]
 
 
 def test_token_awkward_rows(spark):
@@ -170,16 +357,29 @@ def test_mixing_large_means_and_awkward_rows(spark):
     assert abs(n["one"] - 1000) < 150
     m = messy(spark)
     got = mixing.replicate(m)
-    assert got.columns == [*m.columns, "copy_no"]
+    assert got.columns == [*(c for c in m.columns if c != "copy_no"), "copy_no"]
     copies = [r["copy_no"] for r in got.where("doc_id = 1").collect()]
     assert all(copies.count(c) == 2 for c in set(copies))
     assert mixing.replicate(m.limit(0)).count() == 0
 
 
+def test_many_copies_of_one_row(spark):
+    """Beyond one block, and at the borders of blocks of blocks."""
+    import unittest.mock
+
+    for n in (1, 3, 4, 5, 15, 16, 17, 63, 64, 65, 200):
+        with unittest.mock.patch.object(mixing, "BLOCK", 4):
+            got = mixing._numbers(spark.createDataFrame([(n,)], "n long"), "n", "k").select("k").collect()
+        assert sorted(r["k"] for r in got) == list(range(n))
+    d = spark.range(1_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "one").otherwise("many").alias("source"))
+    n = {r["source"]: r["count"] for r in mixing.replicate(d, {"one": 0.999, "many": 0.001}).groupBy("source").count().collect()}
+    assert 900 < n["one"] < 1100 and n.get("many", 0) < 12
+
+
 def test_toxicity_held_out(spark):
-    got = toxicity.op9(spark, SF2).join(table(spark, SF2, "labels"), "doc_id").toPandas()
+    got = toxicity.op9(spark, SF3).join(table(spark, SF3, "labels"), "doc_id").toPandas()  # large enough for some dozen held-out toxic rows
     held = got[got.held_out]
-    assert held[held.toxic == 1].predicted.mean() > 0.6 and held[held.toxic == 0].predicted.mean() < 0.05
+    assert held[held.toxic == 1].predicted.mean() >= 0.9 and held[held.toxic == 0].predicted.mean() < 0.05
     assert got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
 
 
@@ -196,6 +396,78 @@ def test_isotonic_and_boosting():
     assert np.interp([1, 2, 3, 4], a, b).tolist() == [0, 0.5, 0.5, 1]
 
 
+def plain_features(text, words, stems):
+    """The dense features, each by its definition."""
+    if not text:
+        return [0.0] * toxicity.FEATURES
+    low = re.findall(r"\w+", text.lower())
+    n = max(1, len(low))
+    hit = [i for i, w in enumerate(low) if w in words]
+    spots = toxicity.mixed_words(text)
+    hidden = sum(toxicity.plain(x) in words and not set(re.findall(r"\w+", x.lower())) & words for x in spots)
+    long = re.compile(r"([^\W\d_])\1{2,}")
+    hidden += sum(bool(long.search(w)) and w not in words and long.sub(r"\1", w) in words for w in low)
+    you = [i for i, w in enumerate(low) if w in toxicity.SECOND]
+    near = sum(any(abs(i - j) <= 5 for j in you) for i in hit)
+    stem = sum(any(w[:k] in stems for k in (4, 5, 6, 7)) for w in low)
+    log = math.log1p
+    caps = sum("A" <= c <= "Z" or "À" <= c <= "Þ" for c in text)
+    return [
+        stem / n, log(stem), (len(hit) + hidden) / n, log(len(hit) + hidden), log(hidden), hidden / n, near / n, log(near), len(you) / n,
+        caps / len(text), len(re.findall(r"\b[A-ZÀ-Þ]{3,}\b", text)) / n, text.count("!") / n, sum(not (c.isalnum() or c == "_" or c.isspace()) for c in text) / len(text),
+        (len(spots) + len(long.findall(text))) / n,
+    ]
+
+
+def test_features_against_plain_version(spark):
+    words, stems = frozenset({"idiot", "the", "stupid"}), frozenset({"stup", "hous", "idioti"})
+    known = toxicity.Lexicon(words, stems, frozenset(w[:4] for w in stems))
+    texts = [None, "", "You idi0t! you st.u.p1d THE house-thing", "stuuuupid IDIOTS ÀÉÎ 4you @you", "a1b2 " * 40, "x" * 300 + "1" + "y" * 300]
+    texts += [r["text"] for r in table(spark, SF, "documents").collect()]
+    assert all(np.allclose(toxicity.features(t, known), plain_features(t, words, stems)) for t in texts)
+    assert toxicity.mixed_words("ab " + "x" * 50 + "1" + "y" * 50 + " c") == ["x" * 50 + "1" + "y" * 50]
+
+
+def plain_tree(x, g, h, edges, depth):
+    """A tree as nested tuples, by trying all cuts; a leaf is a number."""
+    best, lam = (1e-9, None, None), 1.0
+    score = lambda rows: sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + lam)
+    rows = range(len(x))
+    if depth and len(x):
+        for f, cuts in enumerate(edges):
+            for c in cuts:
+                a, b = [i for i in rows if x[i][f] <= c], [i for i in rows if x[i][f] > c]
+                if sum(h[i] for i in a) >= 0.5 and sum(h[i] for i in b) >= 0.5:
+                    gain = score(a) + score(b) - score(rows)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, f, c)
+    if best[1] is None:
+        return -sum(g) / (sum(h) + lam)
+    _, f, c = best
+    part = lambda keep: [[v[i] for i in rows if keep(x[i][f])] for v in (x, g, h)]
+    return f, c, plain_tree(*part(lambda v: v <= c), edges, depth - 1), plain_tree(*part(lambda v: v > c), edges, depth - 1)
+
+
+def test_boosting_against_plain_version():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random((60, 2)), 2)
+    y = (x[:, 0] + 0.3 * rng.random(60) > 0.7).astype(float)
+    start, trees = toxicity.boost(x, y, trees=3, depth=2, bins=6)
+    cuts = []
+    for c in x.T:
+        above = c[c > c.min()]
+        cuts.append(sorted({(c.min() + above.min()) / 2, *np.unique(np.quantile(above, np.linspace(0, 1, 6)))[:-1]}))
+    total = np.full(60, math.log(y.mean() / (1 - y.mean())))
+    assert math.isclose(start, total[0])
+    down = lambda t, row: t if isinstance(t, float) else down(t[2] if row[t[0]] <= t[1] else t[3], row)
+    for tree in trees:
+        p = 1 / (1 + np.exp(-total))
+        plain = plain_tree(x.tolist(), (p - y).tolist(), np.maximum(p * (1 - p), 1e-6).tolist(), cuts, 2)
+        step = np.array([0.3 * down(plain, row) for row in x.tolist()])
+        assert np.allclose(tree.predict(x), step)
+        total += step
+
+
 def test_toxicity_awkward_rows(spark):
     d = messy(spark)
     labels = spark.createDataFrame([(1, 0), (6, 1), (6, None), (None, 1), (5, 0)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))

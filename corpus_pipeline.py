@@ -10,16 +10,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm.common import ensure_checkpoint_dir
 from readloom.llm.decontam import decontaminate_stage
-from readloom.llm.linededup import own_lines_stage
+from readloom.llm.linededup import line_stage
 from readloom.llm.mixing import mixing_stage
 from readloom.llm.quality import quality_stage
 from readloom.llm.simhash import simhash_stage
+from readloom.operators.state import delete, shared_folder
 
 STAGES = [
     ("quality_classifier", quality_stage),
-    ("line_dedup", own_lines_stage),
+    ("line_dedup", line_stage),
     ("simhash_near_dedup", simhash_stage),
     ("benchmark_decontamination", decontaminate_stage),
     ("source_mixing", mixing_stage),
@@ -30,12 +30,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is a table in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; each is a table in the shared checkpoint folder, deleted once the next one is written.
+
+    Null, empty and blank texts go in the first stage; repeated rows in the third; an empty table gives no rows; further
+    columns of documents pass unread.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs

@@ -195,3 +195,55 @@ def to_window(aligned: Column, pos: Column, start: int, stop: int, pad: str = "n
 def ambiguous_blocks(s: Column) -> Column:
     """Letters of a string like as[df]g: one array of letters for each place."""
     return F.transform(F.regexp_extract_all(s, F.lit(r"\[[^\]]*\]|."), F.lit(0)), lambda p: chars(F.translate(p, "[]", "")))
+
+
+PACK = 10  # symbols a number, of three bits each
+
+
+def pack(s: Column) -> Column:
+    """Symbols ACGT-N as an array of numbers, ten symbols a number; other symbols count as N, a short last number is filled with N."""
+    digits = F.rpad(F.translate(F.regexp_replace(F.upper(s), "[^ACGTN-]", "N"), "ACGT-N", "012345"), (F.ceil(F.length(s) / PACK) * PACK).cast("int"), "5")
+    parts = F.regexp_extract_all(digits, F.lit("." * PACK), F.lit(0))
+    return F.transform(parts, lambda p: F.conv(p, 8, 10).cast("long"))
+
+
+def packed_hamming(a: Column, b: Column) -> Column:
+    """Places where two packed sequences differ and neither is missing."""
+    ones = F.lit(int("1" * PACK, 8)).cast("long")
+    some = lambda x: x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseAND(ones)  # noqa: E731  a bit for each symbol that is not 0
+    missing = F.lit(int("5" * PACK, 8)).cast("long")
+    differ = lambda x, y: F.bit_count(some(x.bitwiseXOR(y)).bitwiseAND(some(x.bitwiseXOR(missing))).bitwiseAND(some(y.bitwiseXOR(missing))))
+    return F.aggregate(F.zip_with(a, b, differ), F.lit(0).cast("long"), lambda acc, n: acc + n)
+
+
+def expand_on_reference(seq: Column, ops: Column, pos: Column, ref: Column) -> Column:
+    """Read on the reference's places, from 0-based ``pos``: deletions of whole codons are gaps, others take the reference's
+    letters; insertions are left out, all other letters are copied."""
+
+    def step(acc: Column, o: Column) -> Column:
+        copied = ~o["op"].isin("D", "I")
+        gap = F.when(o["n"] % 3 == 0, F.repeat(F.lit("-"), o["n"])).otherwise(F.substring(ref, acc["ref"], o["n"]))
+        return F.struct(
+            F.when(o["op"] == "D", acc["at"]).otherwise(acc["at"] + o["n"]).alias("at"),
+            F.when(o["op"] == "I", acc["ref"]).otherwise(acc["ref"] + o["n"]).alias("ref"),
+            F.concat(acc["out"], F.when(o["op"] == "D", gap).when(copied, F.substring(seq, acc["at"], o["n"])).otherwise(F.lit(""))).alias("out"),
+        )
+
+    start = F.struct(F.lit(1).alias("at"), (pos + 1).cast("int").alias("ref"), F.lit("").alias("out"))
+    return F.aggregate(ops, start, step)["out"]
+
+
+def insertions(seq: Column, ops: Column, pos: Column, start: int, stop: int) -> Column:
+    """Insertions of a read at 0-based ``pos`` as array of (at, text), ``at`` counted from ``start``; those that lie in [start, stop)."""
+
+    def step(acc: Column, o: Column) -> Column:
+        here = F.struct((acc["ref"] - start).alias("at"), F.substring(seq, acc["at"], o["n"]).alias("text"))
+        inside = (o["op"] == "I") & (acc["ref"] >= start) & (acc["ref"] + o["n"] < stop)
+        return F.struct(
+            F.when(o["op"].isin("M", "=", "X", "I", "S"), acc["at"] + o["n"]).otherwise(acc["at"]).alias("at"),
+            F.when(o["op"].isin("M", "=", "X", "D", "N"), acc["ref"] + o["n"]).otherwise(acc["ref"]).alias("ref"),
+            F.when(inside, F.concat(acc["out"], F.array(here))).otherwise(acc["out"]).alias("out"),
+        )
+
+    none = F.array().cast("array<struct<at:int,text:string>>")
+    return F.aggregate(ops, F.struct(F.lit(1).alias("at"), pos.cast("int").alias("ref"), none.alias("out")), step)["out"]

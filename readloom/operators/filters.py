@@ -103,3 +103,18 @@ def lowest_quality(qual: Column) -> Column:
 def signed(df: DataFrame, picks: list[int]) -> DataFrame:
     """Columns by number from 1, with the sign flipped for negative numbers."""
     return df.select(*[(F.col(df.columns[abs(k) - 1]) * (1 if k > 0 else -1)).alias(f"c{i}") for i, k in enumerate(picks, 1)])
+
+
+def by_posterior(df: DataFrame, least: float = 0.8) -> DataFrame:
+    """Window results whose posterior is above the bound."""
+    return df.where(F.col("posterior") > least)
+
+
+def unique_only(aligned: DataFrame) -> DataFrame:
+    """(read_id, score) of reads with one alignment only (is_unique)."""
+    return aligned.where("is_unique").select("read_id", "score")
+
+
+def pending(windows: DataFrame, done: DataFrame) -> DataFrame:
+    """Windows (wstart, ...) that are not among those done (wstart)."""
+    return windows.join(done.select("wstart").distinct(), "wstart", "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions import seq as S
+from readloom.operators.aggregates import numbered
 
 IUPAC_BITS = {k: sum(1 << "ACGT".index(c) for c in v) for k, v in S.IUPAC.items()}
 
@@ -136,18 +138,132 @@ def best_strand(reads: DataFrame, reference: str, opening: float = 6.0, extensio
     return _spread(reads).mapInPandas(run, f"read_id {kind}, is_reverse boolean, score double, ref_row string, read_row string")
 
 
+def span(a: str, b: str) -> int:
+    """Columns of an alignment between its end gaps."""
+    first = max(len(x) - len(x.lstrip("-")) for x in (a, b))
+    last = min(len(x.rstrip("-")) for x in (a, b))
+    return max(0, last - first)
+
+
+def _bits(s: str) -> np.ndarray:
+    return np.array([IUPAC_BITS.get(c.upper(), 0) for c in s], dtype=np.int64)
+
+
+def scores_against(clones: list[str], read: str, opening: float = 6.0, extension: float = 3.0, match: float = 5.0, mismatch: float = -4.0) -> np.ndarray:
+    """Scores of the global alignments of a read with several texts, end gaps free: those of ``align``, for all texts at a time,
+    a row of all their tables a step and nothing to trace back by."""
+    sizes, m = np.array([len(c) for c in clones], dtype=np.int64), len(read)
+    out = np.zeros(len(clones))
+    if not m or not len(clones):
+        return out
+    longest = int(sizes.max())
+    letters = np.zeros((len(clones), longest), dtype=np.int64)
+    for k, c in enumerate(clones):
+        letters[k, : len(c)] = _bits(c)
+    order = np.argsort(-sizes, kind="stable")  # texts that go on are the first rows
+    letters, left_over = letters[order], sizes[order]
+    own = _bits(read)
+    rows = {b: np.where((own & b) > 0, match, mismatch) for b in np.unique(letters)}
+    steps = np.arange(m + 1) * extension
+    pair = np.full((len(clones), m + 1), -1e18)
+    pair[:, 0] = 0.0
+    up, left = np.full_like(pair, -1e18), np.zeros_like(pair)
+    left[:, 0] = -1e18
+    for i in range(longest):
+        live = int((left_over > i).sum())
+        pair, up, left = pair[:live], up[:live], left[:live]
+        best = np.maximum(np.maximum(pair, up), left)
+        opened = np.maximum(pair, left)
+        new_up = np.maximum(opened - opening, up - extension)
+        new_up[:, m] = np.maximum(opened[:, m], up[:, m])  # past the read's end a gap costs nothing
+        new_up[:, 0] = 0.0
+        new_pair = np.full_like(pair, -1e18)
+        new_pair[:, 1:] = best[:, :-1] + np.stack([rows[b] for b in letters[:live, i]])
+        start = np.maximum(new_pair, new_up)
+        new_left = np.full_like(left, -1e18)
+        new_left[:, 1:] = np.maximum.accumulate(start[:, :-1] + steps[:-1], axis=1) - opening - steps[:-1]
+        pair, up, left = new_pair, new_up, new_left
+        for k in range(live - 1, -1, -1):
+            if left_over[k] > i + 1:
+                break
+            out[order[k]] = start[k].max()  # then the rest of the read costs nothing
+    return out
+
+
 def cross_scores(reads: DataFrame, clones: dict[str, str], opening: float = 6.0, extension: float = 3.0) -> DataFrame:
-    """(read_id, clone, score): every read against every clone; clones are few and go to each task."""
+    """(read_id, clone, score): every read against every clone; clones go to each task, and one read meets all of them at once."""
+    names, texts = list(clones), list(clones.values())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [(r, c, align(t, s, opening, extension)[0]) for r, s in zip(pdf["read_id"], pdf["seq"]) for c, t in clones.items()]
-            yield pd.DataFrame(rows, columns=["read_id", "clone", "score"])
+            found = [scores_against(texts, s, opening, extension) for s in pdf["seq"]]
+            yield pd.DataFrame({"read_id": np.repeat(pdf["read_id"].to_numpy(), len(names)), "clone": names * len(pdf), "score": np.concatenate(found) if found else []})
 
     kind = reads.schema["read_id"].dataType.simpleString()
     return _spread(reads).mapInPandas(run, f"read_id {kind}, clone string, score double")
 
 
+def best_clones(reads: DataFrame, clones: dict[str, str], opening: float = 6.0, extension: float = 3.0) -> DataFrame:
+    """(read_id, clone, score, span): the clone that each read fits best, the last name of equal ones, and the columns of their
+    alignment between its end gaps. Only that alignment is traced back."""
+    names = sorted(clones, reverse=True)
+    texts = [clones[n] for n in names]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for name, s in zip(pdf["read_id"], pdf["seq"]):
+                found = scores_against(texts, s, opening, extension)
+                best = int(found.argmax())
+                rows.append((name, names[best], found[best], span(*align(texts[best], s, opening, extension)[1:])))
+            yield pd.DataFrame(rows, columns=["read_id", "clone", "score", "span"])
+
+    kind = reads.schema["read_id"].dataType.simpleString()
+    return _spread(reads).mapInPandas(run, f"read_id {kind}, clone string, score double, span int")
+
+
+def align_pairs(df: DataFrame, method: str = "global", a: str = "a", b: str = "b", opening: float = 6.0, extension: float = 3.0, gap: float = 4.0, match: float = 4.0, mismatch: float = -4.0) -> DataFrame:
+    """``df`` with the alignment of its columns ``a`` and ``b``: score, row_a, row_b.
+
+    ``global`` (end gaps free) and ``local`` have affine gaps and IUPAC letters; ``global-linear`` and ``local-linear`` take any
+    letters and a linear gap cost; for ``profile``, column ``a`` holds a string like as[df]g, whose places stand for evenly
+    shared letters, and end gaps count. Nulls align as empty texts."""
+    linear = method in ("global-linear", "local-linear")
+    if not linear and method not in ("global", "local", "profile"):
+        raise ValueError(f"no method {method}")
+
+    def one(x: str | None, y: str | None) -> tuple[float, str, str]:
+        x, y = x or "", y or ""
+        if linear:
+            return align_linear(x, y, gap, match, mismatch, method.split("-")[0])
+        if method == "profile":
+            places = [p[1:-1] if p[0] == "[" else p for p in re.findall(r"\[[^\]]+\]|.", x)]
+            scores = profile_scores([{c: p.count(c) / len(p) for c in p} for p in places], y, match, mismatch)
+            return align_linear("".join(p[0] for p in places), y, gap, match, mismatch, scores=scores)
+        return align(x, y, opening, extension, method)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            got = [one(x, y) for x, y in zip(pdf[a], pdf[b])]
+            yield pdf.assign(score=[g[0] for g in got], row_a=[g[1] for g in got], row_b=[g[2] for g in got])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(run, f"{fields}, score double, row_a string, row_b string")
+
+
+def spread_insertions(rows: DataFrame, width: int) -> DataFrame:
+    """(read_id, row): reads of one region (read_id, row of ``width`` letters with n for what they lack, insertions as array of
+    (at, text)) as one alignment. Every place where any read has an insertion opens as many columns as the longest of them
+    has, before that place; reads without it hold gaps there, and n becomes a gap."""
+    each = rows.select(F.explode("insertions").alias("i")).groupBy("i.at").agg(F.max(F.length("i.text")).alias("n"))
+    opened = each.agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("o")).scalar()  # no more than ``width`` places
+    own = F.map_from_entries(F.transform("insertions", lambda i: F.struct(i["at"], i["text"])))
+    piece = lambda o: F.rpad(F.coalesce(F.try_element_at(own, o["at"]), F.lit("")), o["n"], "-")
+    step = lambda acc, o: F.struct(o["at"].alias("at"), F.concat(acc["out"], F.substring(F.col("row"), acc["at"] + 1, o["at"] - acc["at"]), piece(o)).alias("out"))
+    laid = F.aggregate(F.coalesce("_open", F.array().cast("array<struct<at:int,n:int>>")), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return rows.withColumn("_open", opened).select("read_id", F.translate(F.concat(laid["out"], F.substring(F.col("row"), laid["at"] + 1, F.lit(width))), "n", "-").alias("row"))
+
+
 def columns_of(pairs: DataFrame) -> DataFrame:
     """Alignment columns (read_id, col, r, q, ref_pos): ref_pos counts the reference letters so far."""
     long = pairs.select("read_id", F.posexplode(F.zip_with(S.chars(F.col("ref_row")), S.chars(F.col("read_row")), lambda r, q: F.struct(r.alias("r"), q.alias("q")))).alias("col", "x"))
@@ -189,4 +305,4 @@ def protein_layout(reads: DataFrame) -> DataFrame:
     cut = reads.select("read_id", F.floor((F.col("start") + 2) / 3).cast("int").alias("codon"), S.translate_codons(S.cut_frame(F.col("seq"), F.col("start"))).alias("protein"))
     width = cut.agg(F.max(F.col("codon") + F.length("protein")).alias("w")).scalar()
     row = F.concat(F.repeat(F.lit("-"), F.col("codon")), "protein", F.repeat(F.lit("-"), (width - F.col("codon") - F.length("protein")).cast("int")))
-    return cut.select("read_id", row.alias("row"), F.row_number().over(Window.orderBy("codon", "read_id")).cast("long").alias("place"))
+    return numbered(cut.select("read_id", row.alias("row"), "codon"), [F.col("codon"), F.col("read_id")]).drop("codon")

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.operators.aggregates import fill_uncovered, numbered
+from readloom.operators.joins import compatible
 from readloom.operators.state import durable
 
 
 def step(compat: DataFrame, freq: DataFrame) -> DataFrame:
     """One round: (hap_id, p) from (read_id, hap_id, n) and (hap_id, p). Reads weigh n."""
-    joined = compat.join(freq, "hap_id")
-    whole = joined.groupBy("read_id").agg(F.sum("p").alias("whole"))
-    part = joined.join(whole, "read_id").groupBy("hap_id").agg(F.sum(F.col("n") * F.col("p") / F.col("whole")).alias("u"))
-    total = part.agg(F.sum("u").alias("t")).scalar()
+    held = F.collect_list(F.struct("hap_id", "p"))  # the haplotypes of one read
+    per = compat.join(freq, "hap_id").groupBy("read_id").agg(F.max("n").alias("n"), F.sum("p").alias("whole"), held.alias("held"))
+    part = per.select(F.explode("held").alias("h"), (F.col("n") / F.col("whole")).alias("w")).groupBy("h.hap_id").agg(F.sum(F.col("h.p") * F.col("w")).alias("u"))
+    total = compat.select("read_id", "n").distinct().agg(F.sum("n").cast("double").alias("t")).scalar()  # shares of a read add up to its weight
     return part.select("hap_id", (F.col("u") / total).alias("p"))
 
 
@@ -22,6 +24,26 @@ def log_likelihood(compat: DataFrame, freq: DataFrame) -> float:
     return per.agg(F.sum(F.col("n") * F.log("s"))).first()[0]
 
 
+def explained(reads: DataFrame, compat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reads that some haplotype holds (compat: read_id, hap_id), and the number of the others (lost)."""
+    known = compat.select("read_id").distinct()
+    return reads.join(known, "read_id", "left_semi"), reads.join(known, "read_id", "left_anti").agg(F.count(F.lit(1)).alias("lost"))
+
+
+def estimate(reads: DataFrame, haps: DataFrame, rounds: int | None = None, most: int = 5000, tolerance: float = 1e-6, kill: float = 0.0) -> tuple[DataFrame, int]:
+    """((hap_id, seq, p), lost) from placed reads (read_id, start, stop, len, seq) and haplotypes (seq, uncovered places as dots).
+
+    Uncovered places take the consensus letter and haplotypes become unique; equal reads are one with a weight; reads that
+    no haplotype holds are dropped and counted (lost); the rest go through the rounds of ``frequencies``."""
+    own = durable(numbered(fill_uncovered(haps), [F.col("seq")], "hap_id"))
+    weighed = durable(reads.groupBy("start", "stop", "len", "seq").agg(F.min("read_id").alias("read_id"), F.count(F.lit(1)).alias("n")))
+    compat = durable(compatible(weighed, own))
+    kept, _ = explained(weighed, compat)
+    lost = weighed.join(kept.select("read_id"), "read_id", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    freq = frequencies(compat.join(weighed.select("read_id", "n"), "read_id"), rounds, most, tolerance, kill)
+    return freq.join(own, "hap_id").select("hap_id", "seq", "p"), lost
+
+
 def frequencies(compat: DataFrame, rounds: int | None = None, most: int = 5000, tolerance: float = 1e-6, kill: float = 0.0) -> DataFrame:
     """(hap_id, p) at convergence, or after ``rounds``. The start is uniform: the likelihood is concave, so that any start
     with all haplotypes reaches the same value. Haplotypes under ``kill`` at the end are left out."""

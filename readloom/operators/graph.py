@@ -50,19 +50,18 @@ def path_counts(edges: DataFrame, source: int = -1) -> DataFrame:
         total = durable(total.unionByName(level))
 
 
-def all_paths(edges: DataFrame, source: int = -1, sink: int = -2, most: int = 10_000) -> DataFrame:
-    """(path): every path from source to sink as an array of nodes, if there are at most ``most``."""
-    n = path_counts(edges, source).where(F.col("node") == sink).select("paths").first()
-    if n is None:
-        return edges.sparkSession.createDataFrame([], "path array<long>")
-    if n[0] > most:
-        raise ValueError(f"{n[0]:.0f} paths; cover the graph by chains instead")
+def all_paths(edges: DataFrame, source: int = -1, sink: int = -2, most: int | None = None) -> DataFrame:
+    """(path): every path from source to sink as an array of nodes. They are counted first; with ``most``, more than so many
+    are an error. Paths grow by one node a round, all at once."""
+    if most is not None:
+        n = path_counts(edges, source).where(F.col("node") == sink).select("paths").first()
+        if n is not None and n[0] > most:
+            raise ValueError(f"{n[0]:.0f} paths; cover the graph by chains instead")
     grow = edges.sparkSession.range(1).select(F.array(F.lit(source).cast("long")).alias("path"))
-    done = None
+    done = edges.sparkSession.createDataFrame([], "path array<long>")
     while not grow.isEmpty():
         grow = durable(grow.join(edges, F.element_at("path", -1) == F.col("src")).select(F.concat("path", F.array("dst")).alias("path")))
-        ended = grow.where(F.element_at("path", -1) == sink)
-        done = ended if done is None else done.unionByName(ended)
+        done = done.unionByName(grow.where(F.element_at("path", -1) == sink))
         grow = grow.where(F.element_at("path", -1) != sink)
     return done
 
@@ -138,14 +137,19 @@ def bipartite_matching(adjacent: dict[int, list[int]]) -> dict[int, int]:
                     stack.append((w, iter(adjacent[w])))
 
 
-def chain_cover(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(chain, place, read_id): fewest chains that cover all nodes, by matching in the closure, one component at a time."""
+def chain_cover(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, seed: int | None = None) -> DataFrame:
+    """(chain, place, read_id): fewest chains that cover all nodes, by matching in the closure, one component at a time.
+    There are many such covers; with a ``seed`` nodes are taken in the order of a seeded hash, and another cover comes out."""
     label = components(edges, nodes)
     own = label.withColumnRenamed("read_id", "anc").join(pairs, "anc", "left")
+    rank = (lambda c: F.col(c)) if seed is None else (lambda c: F.xxhash64(c, F.lit(seed)))
+    own = own.withColumn("desc", F.coalesce("desc", "anc"))  # itself stands for none, since nulls would turn numbers into floats
+    own = own.withColumn("by", rank("anc")).withColumn("then", rank("desc"))
 
     def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj: dict[int, list[int]] = {int(a): [] for a in pdf["anc"].unique()}
-        for a, d in pdf.loc[pdf["desc"].notna(), ["anc", "desc"]].astype("int64").sort_values(["anc", "desc"]).itertuples(index=False):
+        names = dict(zip(pdf["by"], pdf["anc"]))  # nodes go by their rank
+        adj: dict[int, list[int]] = {int(a): [] for a in pdf["by"].unique()}
+        for a, d in pdf.loc[pdf["then"] != pdf["by"], ["by", "then"]].sort_values(["by", "then"]).itertuples(index=False):
             adj[a].append(d)
         nxt = bipartite_matching(adj)
         heads = sorted(set(adj) - set(nxt.values()))
@@ -153,13 +157,78 @@ def chain_cover(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
         for h in heads:
             at, k = h, 0
             while at is not None:
-                rows.append((h, k, at))
+                rows.append((names[h], k, names[at]))
                 at, k = nxt.get(at), k + 1
         return pd.DataFrame(rows, columns=["chain", "place", "read_id"])
 
     return own.groupBy("component").applyInPandas(cover, "chain long, place int, read_id long")
 
 
+def extend_chains(chains: DataFrame, edges: DataFrame) -> DataFrame:
+    """(chain, place, read_id): chains of a closure as paths of the graph, each step through the shortest way between its two
+    nodes, then on from either end by the smallest parent or child until there is none."""
+    up = edges.groupBy(F.col("dst").alias("at")).agg(F.min("src").alias("to"))
+    down = edges.groupBy(F.col("src").alias("at")).agg(F.min("dst").alias("to"))
+
+    def walk(ends: DataFrame, steps: DataFrame, sign: int) -> DataFrame:
+        out, cur, k = None, durable(ends), 1
+        while not cur.isEmpty():
+            cur = durable(cur.join(steps, "at").select("chain", F.col("to").alias("at")))
+            part = cur.select("chain", F.lit(sign * k).alias("round"), F.col("at").alias("read_id"))
+            out, k = part if out is None else out.unionByName(part), k + 1
+        return out
+
+    w = Window.partitionBy("chain").orderBy("place")
+    steps = chains.withColumn("next", F.lead("read_id").over(w))
+    gaps = steps.where("next is not null").select("chain", "place", F.array("read_id").alias("way"), F.col("next").alias("goal"))
+    direct = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    filled, cur = None, durable(gaps)
+    reach = closure(edges).select("anc", F.col("desc").alias("goal"))
+    while not cur.isEmpty():  # all open steps take one more node that still leads to their goal, the smallest
+        nxt = cur.join(direct, F.element_at("way", -1) == F.col("a")).select("chain", "place", "way", "goal", "b")
+        ok = nxt.join(reach, (F.col("b") == F.col("anc")) & (nxt["goal"] == reach["goal"]), "left").where((F.col("b") == nxt["goal"]) | F.col("anc").isNotNull()).select("chain", "place", "way", nxt["goal"], "b")
+        best = ok.groupBy("chain", "place", "way", "goal").agg(F.min(F.struct((F.col("b") != F.col("goal")).alias("far"), "b")).alias("x"))
+        cur = durable(best.select("chain", "place", F.concat("way", F.array("x.b")).alias("way"), "goal"))
+        ended = cur.where(F.element_at("way", -1) == F.col("goal"))
+        filled = ended if filled is None else filled.unionByName(ended)
+        cur = cur.where(F.element_at("way", -1) != F.col("goal"))
+    own = chains.select("chain", F.lit(0).alias("round"), "place", F.lit(0).alias("i"), "read_id")
+    inner = filled.select("chain", F.lit(0).alias("round"), "place", F.posexplode("way").alias("i", "read_id")).where("i > 0") if filled is not None else own.limit(0)
+    inner = inner.join(chains.select("chain", "read_id"), ["chain", "read_id"], "left_anti").select(*own.columns)
+    ends = chains.groupBy("chain").agg(F.min_by("read_id", "place").alias("head"), F.max_by("read_id", "place").alias("tail"))
+    beyond = [walk(ends.select("chain", F.col(c).alias("at")), steps_, sign) for c, steps_, sign in (("head", up, -1), ("tail", down, 1))]
+    every = own.unionByName(inner)
+    for part in beyond:
+        if part is not None:
+            every = every.unionByName(part.select("chain", "round", F.lit(0).alias("place"), F.lit(0).alias("i"), "read_id"))
+    order = Window.partitionBy("chain").orderBy("round", "place", "i")
+    return every.select("chain", (F.row_number().over(order) - 1).alias("place"), "read_id")
+
+
+def haplotypes(reads: DataFrame, edges: DataFrame, length: int | None = None, most: int = 200, restarts: int = 50, seed: int = 1) -> DataFrame:
+    """(seq): different haplotypes of a read graph, at most ``most`` (the limit is the feature; smallest sequences go first).
+
+    With fewer paths than that, all paths are taken. Otherwise chain covers of randomly relabelled graphs are extended to
+    paths and united, until there are ``most``, or ``restarts`` covers, or two covers in a row that bring nothing new."""
+    ended = durable(with_ends(edges, reads))
+    n = path_counts(ended).where(F.col("node") == -2).select("paths").first()
+    if n is None or n[0] < most:
+        numbered_paths = all_paths(ended).select(F.xxhash64("path").alias("chain"), F.slice("path", 2, F.size("path") - 2).alias("p"))
+        chains = numbered_paths.select("chain", F.posexplode("p").alias("place", "read_id"))
+        return path_sequences(chains, reads, length).select("seq").distinct()
+    pairs, found, size, idle = closure(edges), None, 0, 0
+    for k in range(restarts):
+        chains = durable(extend_chains(chain_cover(pairs, reads, edges, None if k == 0 else seed + k), edges))
+        new = path_sequences(chains, reads, length).select("seq")
+        found = durable((new if found is None else found.unionByName(new)).distinct())
+        now = found.count()
+        idle = idle + 1 if now == size else 0
+        size = now
+        if size >= most or idle == 2:
+            break
+    return found.orderBy("seq").limit(most)
+
+
 def path_sequences(chains: DataFrame, reads: DataFrame, length: int | None = None) -> DataFrame:
     """(chain, seq): reads of a chain laid on their coordinates, each up to the start of the next; uncovered places are dots."""
     w = Window.partitionBy("chain").orderBy("place")

@@ -57,10 +57,10 @@ def a06(spark, sf):
     return G.coverage(A.reads(spark, sf))
 
 
-@query("a07_pileup_positions", "SELECT o_orderpriority AS ref, count(DISTINCT o_custkey) AS covered, count(*) AS depth FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderpriority")
+@query("a07_pileup_positions", with_("reads") + "SELECT lang AS ref, count(*) AS covered, CAST(sum(n) AS BIGINT) AS depth, max(n) AS deepest FROM (SELECT lang, pos, count(*) AS n FROM (SELECT lang, unnest(range(start, stop + 1)) AS pos FROM reads JOIN documents ON doc_id = read_id) GROUP BY ALL) GROUP BY lang")
 def a07(spark, sf):
-    o = A.table(spark, sf, "orders").where("o_totalprice > 1000")
-    return o.groupBy(F.col("o_orderpriority").alias("ref")).agg(F.countDistinct("o_custkey").alias("covered"), F.count(F.lit(1)).alias("depth"))
+    named = A.table(spark, sf, "documents").select(F.col("doc_id").alias("read_id"), F.col("lang").alias("ref"))
+    return G.pileup(A.reads(spark, sf).select("read_id", "start", "stop").join(named, "read_id"), "ref")
 
 
 @query("a08_histogram", with_("reads") + "SELECT b.bin, coalesce(n, 0) AS n FROM range(0, 40) b(bin) LEFT JOIN (SELECT CAST(ceil(len / 250.0) - 1 AS BIGINT) AS bin, count(*) AS n FROM reads WHERE len > 0 AND len <= 10000 GROUP BY 1) h ON h.bin = b.bin")
@@ -142,15 +142,19 @@ def a19(spark, sf):
 @query(
     "a20_stop_codon_rate",
     with_("reads")
-    + f""", s AS (SELECT i AS site, cs[i] AS codon FROM (SELECT cs, unnest(range(1, len(cs) + 1)) AS i FROM (SELECT {CODONS} AS cs FROM reads)))
- SELECT site, sum(CASE WHEN codon IN ('TAA', 'TAG', 'TGA') THEN 1 ELSE 0 END)::BIGINT AS stops, count(*) AS n, round(sum(CASE WHEN codon IN ('TAA', 'TAG', 'TGA') THEN 1 ELSE 0 END) / count(*), 6) AS rate
- FROM s WHERE site NOT IN (3, 7, 11) GROUP BY site""",
+    + f""", k AS (SELECT (start + CASE start % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END) // 3 AS first, regexp_extract_all(substr(seq, CASE start % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END + 1), '...') AS cs FROM reads),
+ c AS (SELECT first + i - 1 AS site, cs[i] AS codon FROM (SELECT first, cs, unnest(range(1, len(cs) + 1)) AS i FROM k)),
+ w AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {float(v)})" for k, v in G.STOP_WEIGHTS.items())}) AS v(parent, weight)),
+ s AS (SELECT codon, site, substr('TCAG', CAST(site % 64 // 16 + 1 AS BIGINT), 1) || substr('TCAG', CAST(site % 16 // 4 + 1 AS BIGINT), 1) || substr('TCAG', CAST(site % 4 + 1 AS BIGINT), 1) AS parent FROM c)
+ SELECT count(*) FILTER (WHERE codon IN ('TAG', 'TGA', 'TAA') AND site NOT IN (3, 7, 11)) AS stops, sum(CASE WHEN codon IN ('TAG', 'TGA', 'TAA') AND site NOT IN (3, 7, 11) THEN coalesce(weight, 0.0) ELSE 0.0 END) AS weighted,
+ count(*) FILTER (WHERE codon IN (SELECT parent FROM w)) AS sensitive, round(weighted / sensitive, 9) AS rate FROM s LEFT JOIN w USING (parent)""",
 )
 def a20(spark, sf):
-    excluded = spark.createDataFrame([(3,), (7,), (11,)], "site long")
-    sites = A.reads(spark, sf).select(F.posexplode(S.codons(F.col("seq"))).alias("i", "codon")).select((F.col("i") + 1).cast("long").alias("site"), "codon")
-    stop = F.sum(F.col("codon").isin("TAA", "TAG", "TGA").cast("long"))
-    return sites.join(F.broadcast(excluded), "site", "left_anti").groupBy("site").agg(stop.alias("stops"), F.count(F.lit(1)).alias("n")).withColumn("rate", F.round(F.col("stops") / F.col("n"), 6))
+    r = A.reads(spark, sf)
+    last = r.agg(F.max("stop")).first()[0] or 0
+    letter = lambda k: F.substring(F.lit("TCAG"), (F.floor(F.col("id") / k) % 4 + 1).cast("int"), F.lit(1))
+    parents = spark.range(last // 3 + 1).select(F.col("id").alias("site"), F.concat(letter(16), letter(4), letter(1)).alias("parent"))  # all codons in turn
+    return G.stop_codon_rate(r, parents, [3, 7, 11]).withColumn("rate", F.round("rate", 9))
 
 
 SITES = "w AS (SELECT substr(seq, 5, 1) AS s1, substr(seq, 17, 1) AS s2, substr(seq, 30, 1) AS s3 FROM rws WHERE length(seq) >= 30), wk AS (SELECT * FROM w WHERE s1 <> '-' AND s3 <> '-')"
@@ -387,20 +391,20 @@ def w07(spark, sf):
 
 @query("o01_order_by_start", with_("reads") + "SELECT row_number() OVER (ORDER BY start, read_id) AS place, read_id FROM reads")
 def o01(spark, sf):
-    return A.reads(spark, sf).select(F.row_number().over(Window.orderBy("start", "read_id")).cast("long").alias("place"), "read_id")
+    return G.numbered(A.reads(spark, sf).select("start", "read_id"), [F.col("start"), F.col("read_id")]).select("place", "read_id")
 
 
 @query("o03_order_by_support", with_("reads") + "SELECT row_number() OVER (ORDER BY count(*) DESC, seq) AS place, md5(seq) AS seq, count(*) AS support FROM reads GROUP BY reads.seq")
 def o03(spark, sf):
     c = G.distinct_reads(A.reads(spark, sf), ["seq"])
-    return c.select(F.row_number().over(Window.orderBy(F.desc("weight"), "seq")).cast("long").alias("place"), F.md5("seq").alias("seq"), F.col("weight").alias("support"))
+    return G.numbered(c, [F.desc("weight"), F.col("seq")]).select("place", F.md5("seq").alias("seq"), F.col("weight").alias("support"))
 
 
 @query("o04_mutations_by_site", with_("pairs", then=LONG_PAIRS) + "SELECT row_number() OVER (ORDER BY pos, m) AS place, m FROM (SELECT DISTINCT x || CAST(pos AS VARCHAR) || y AS m, pos FROM lp WHERE x <> y)")
 def o04(spark, sf):
     m = long_pairs(spark, sf).where("x <> y").select(F.concat("x", F.col("pos").cast("string"), "y").alias("m")).distinct()
-    site = F.regexp_extract("m", "[0-9]+", 0).cast("long")
-    return m.select(F.row_number().over(Window.orderBy(site, "m")).cast("long").alias("place"), "m")
+    sites = m.withColumn("site", F.regexp_extract("m", "[0-9]+", 0).cast("long"))
+    return G.numbered(sites, [F.col("site"), F.col("m")]).select("place", "m")
 
 
 @query("u0a_union_distinct", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT p_brand FROM part")
@@ -421,9 +425,50 @@ def u0d(spark, sf):
     return long_pairs(spark, sf).where(bits(F.col("x")).bitwiseAND(bits(F.col("y"))) > 0).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("u0e_unique_sequences", with_("reads") + "SELECT DISTINCT md5(seq) AS seq FROM reads")
+DOTTED = "z AS (SELECT max(length(seq)) AS z FROM haps), dt AS (SELECT CASE WHEN hap_id % 2 = 0 THEN rpad(seq, CAST(z AS INTEGER), '.') ELSE lpad(seq, CAST(z AS INTEGER), '.') END AS seq FROM haps, z WHERE length(seq) > 0)"
+
+
+@query(
+    "a05_u0e_filled_haplotypes",
+    with_("haps", then=DOTTED)
+    + """, l AS (SELECT unnest(range(1, length(seq) + 1)) AS pos, unnest(string_split(seq, '')) AS base FROM dt),
+ k AS (SELECT pos, base FROM (SELECT pos, base, row_number() OVER (PARTITION BY pos ORDER BY count(*) DESC, base) AS k FROM l WHERE base <> '.' GROUP BY pos, base) WHERE k = 1),
+ c AS (SELECT list(base ORDER BY pos) AS line FROM k)
+ SELECT DISTINCT array_to_string(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN substr(seq, i, 1) = '.' THEN line[i] ELSE substr(seq, i, 1) END), '') AS seq FROM dt, c""",
+)
 def u0e(spark, sf):
-    return A.reads(spark, sf).select("seq").distinct().select(F.md5("seq").alias("seq"))
+    h = A.haps(spark, sf).where("length(seq) > 0")
+    z = h.agg(F.max(F.length("seq"))).first()[0] or 1
+    return G.fill_uncovered(h.select(F.when(F.col("hap_id") % 2 == 0, F.rpad("seq", z, ".")).otherwise(F.lpad("seq", z, ".")).alias("seq")))
+
+
+@query(
+    "a05_plurality_consensus",
+    with_("bases", then="c AS (SELECT pos, base, count(*) AS n FROM bases WHERE base IN ('A', 'C', 'G', 'T', '-') GROUP BY ALL)")
+    + " SELECT pos, base FROM (SELECT pos, base, n, sum(n) OVER (PARTITION BY pos) AS s, row_number() OVER (PARTITION BY pos ORDER BY n DESC, base) AS k FROM c) WHERE k = 1 AND n > s / 4",
+)
+def a05p(spark, sf):
+    return G.consensus_by_plurality(A.bases(spark, sf))
+
+
+@query(
+    "a13_k14_box_data",
+    """WITH f AS (SELECT event_type AS hap, event_id % 100 AS iter, count(*) AS reads FROM events GROUP BY ALL), s AS (SELECT hap, iter, reads / sum(reads) OVER (PARTITION BY iter) AS share FROM f)
+ SELECT hap, count(DISTINCT iter) AS support, round(min(share), 9) AS low, round(quantile_cont(share, 0.25), 9) AS q1, round(quantile_cont(share, 0.5), 9) AS median, round(quantile_cont(share, 0.75), 9) AS q3, round(max(share), 9) AS high FROM s GROUP BY hap""",
+)
+def a13(spark, sf):
+    f = A.table(spark, sf, "events").groupBy(F.col("event_type").alias("hap"), (F.col("event_id") % 100).alias("iter")).agg(F.count(F.lit(1)).alias("reads"))
+    return G.box_data(f).select("hap", "support", *[F.round(c, 9).alias(c) for c in ("low", "q1", "median", "q3", "high")])
+
+
+@query(
+    "u22_roc_curve",
+    """WITH s AS (SELECT n_chars AS score, quality AS y FROM documents JOIN labels USING (doc_id)), c AS (SELECT score, sum(y) AS p, count(*) - sum(y) AS q FROM s GROUP BY score)
+ SELECT CAST(score AS BIGINT) AS score, round(sum(q) OVER w / sum(q) OVER (), 9) AS fpr, round(sum(p) OVER w / sum(p) OVER (), 9) AS tpr FROM c WINDOW w AS (ORDER BY score DESC)""",
+)
+def u22r(spark, sf):
+    s = A.table(spark, sf, "documents").join(A.table(spark, sf, "labels"), "doc_id").select("n_chars", "quality")
+    return G.roc_curve(s, "n_chars", "quality").select("score", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
 
 
 @query(
@@ -434,12 +479,20 @@ def u0e(spark, sf):
 def u26(spark, sf):
     d = A.table(spark, sf, "lineitem").select((F.col("l_extendedprice") - F.col("l_quantity") * 900).alias("d")).where("d <> 0")
     c = d.groupBy(F.abs("d").alias("a")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("d") > 0).cast("long")).alias("p"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = c.withColumn("rk", before + (F.col("n") + 1) / 2)
+    r = G.running_totals(c, "a", ["n"]).withColumn("rk", F.col("n_until") - F.col("n") + (F.col("n") + 1) / 2)
     return r.agg(F.round(F.sum(F.col("p") * F.col("rk")), 3).alias("w_plus"), F.round(F.sum((F.col("n") - F.col("p")) * F.col("rk")), 3).alias("w_minus"))
 
 
-@query("u31_resume", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+@query(
+    "u31_resume",
+    with_("reads")
+    + """, w AS (SELECT 1 + m * 67 AS wstart FROM range(0, (SELECT CAST(max(stop + 1) // 67 + 1 AS BIGINT) FROM reads)) r(m)),
+ j AS (SELECT wstart, read_id, least(stop + 1, wstart + 200) - greatest(start + 1, wstart) + 1 AS ov FROM reads JOIN w ON start + 1 <= wstart + 200 AND stop + 1 >= wstart)
+ SELECT CAST(wstart AS BIGINT) AS wstart, read_id FROM j WHERE ov > 171 AND wstart % 5 <> 1""",
+)
 def u31(spark, sf):
-    o = A.table(spark, sf, "orders")
-    return o.select("o_custkey").distinct().join(o.where("o_orderstatus = 'F'").select("o_custkey"), "o_custkey", "left_anti")
+    from readloom.operators.filters import pending
+    from readloom.operators.joins import windowed_reads
+
+    w = windowed_reads(A.reads(spark, sf), 201, 3)
+    return pending(w, w.where("wstart % 5 = 1").select("wstart")).select("wstart", "read_id")

@@ -44,9 +44,9 @@ def p03(spark, sf):
     return P.few_ambiguous(A.rows(spark, sf)).select("read_id")
 
 
-@query("p05_posterior_filter", "SELECT event_id, value FROM events WHERE value > 0.8")
+@query("p05_posterior_filter", "SELECT event_id AS read_id, value AS posterior FROM events WHERE value > 0.8")
 def p05(spark, sf):
-    return A.table(spark, sf, "events").where("value > 0.8").select("event_id", "value")
+    return P.by_posterior(A.table(spark, sf, "events").select(F.col("event_id").alias("read_id"), F.col("value").alias("posterior")))
 
 
 @query("p06_interior_uncovered", with_("rows") + "SELECT read_id FROM rws WHERE length(trim(seq, 'N')) > 0 AND length(trim(seq, 'N')) - length(replace(trim(seq, 'N'), 'N', '')) <= 10")
@@ -162,9 +162,11 @@ def p20(spark, sf):
     return P.halves(A.reads(spark, sf))
 
 
-@query("p21_unique_status", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+@query("p21_unique_status", "SELECT CAST(o_orderkey AS VARCHAR) AS read_id, floor(o_totalprice) AS score FROM orders WHERE o_orderstatus = 'F'")
 def p21(spark, sf):
-    return A.table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
+    from readloom.plans.file_queries import native_lines
+
+    return P.unique_only(native_lines(spark, sf))
 
 
 @query("p23_signed_columns", "SELECT CAST(l_linenumber AS DOUBLE) AS c1, -l_quantity AS c2 FROM lineitem")

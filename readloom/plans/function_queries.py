@@ -188,3 +188,8 @@ def f27(spark, sf):
     from readloom.operators.align import protein_layout
 
     return protein_layout(A.reads(spark, sf)).select("read_id", F.md5("row").alias("row"), "place")
+
+
+@query("f05_packed_hamming", with_("pairs", then=SPLIT) + f"SELECT read_id, CAST({NUM.format("a[i] <> 'N' AND b[i] <> 'N' AND a[i] <> b[i]")} AS BIGINT) AS dist FROM sp")
+def f05(spark, sf):
+    return A.pairs(spark, sf).select("read_id", S.packed_hamming(S.pack(F.col("a")), S.pack(F.col("b"))).alias("dist"))

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.functions import seq as S
-from readloom.operators import em, graph, joins
+from readloom.operators import align, em, graph, joins
+from readloom.operators.aggregates import numbered
 from readloom.operators.state import durable
 from readloom.plans import adapters as A
 from readloom.plans.adapters import with_
 from readloom.plans.registry import query
 
 LEAST = 30
+LINES = 10_000_000  # of a text; more would give two lines one id
 
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,14 +23,15 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw")).select("doc_id", "i", A.letters(F.col("raw"), "", A.FOUR).alias("s"))
     w = Window.partitionBy("doc_id").orderBy("i")
     at = F.coalesce(F.sum(F.length("s")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    both = lines.select((F.col("doc_id") * 100000 + F.col("i")).alias("read_id"), at.cast("int").alias("start"), F.concat("s", F.coalesce(F.lead("s").over(w), F.lit(""))).alias("seq"))
+    ident = F.when(F.col("i") < LINES, F.col("doc_id") * LINES + F.col("i")).otherwise(F.raise_error(F.lit("a text has too many lines")).cast("long"))
+    both = lines.select(ident.alias("read_id"), at.cast("int").alias("start"), F.concat("s", F.coalesce(F.lead("s").over(w), F.lit(""))).alias("seq"))
     return both.where("length(seq) > 0").withColumn("len", F.length("seq")).withColumn("stop", F.col("start") + F.col("len") - 1)
 
 
 FRAGMENTS = f"""ln AS (SELECT doc_id, i - 1 AS i, translate(upper(regexp_replace(ls[i], '[^A-Za-z]', '', 'g')), '{A.LETTERS}', '{A.FOUR}') AS s FROM
  (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
  fr AS (SELECT read_id, CAST(start AS INTEGER) AS start, seq, CAST(length(seq) AS INTEGER) AS len, CAST(start + length(seq) - 1 AS INTEGER) AS stop FROM
- (SELECT doc_id * 100000 + i AS read_id, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+ (SELECT doc_id * {LINES} + i AS read_id, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
  s || coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY i), '') AS seq FROM ln) WHERE length(seq) > 0)"""
 
 
@@ -66,47 +69,57 @@ def j03(spark, sf):
     return joins.overlaps(durable(fragments(spark, sf)), LEAST)
 
 
-COMPAT = "hp AS (SELECT read_id AS hap_id, seq, start AS hs, stop AS he FROM fr WHERE start = 0), cp AS (SELECT f.read_id, h.hap_id FROM fr f JOIN hp h ON f.start = 0 AND starts_with(h.seq, f.seq))"
+WHOLE = f"hp AS (SELECT read_id AS hap_id, seq FROM (SELECT doc_id AS read_id, {A._MAP % ('', A.FOUR)} AS seq FROM documents) WHERE length(seq) > 0)"
 
 
-@query("j04_compatibility", "WITH " + FRAGMENTS + ", " + COMPAT + " SELECT read_id, hap_id FROM cp")
+def _whole(spark, sf):
+    """All letters of each text, as haplotypes."""
+    return A.reads(spark, sf).select(F.col("read_id").alias("hap_id"), "seq")
+
+
+@query("j04_compatibility", "WITH " + FRAGMENTS + ", " + WHOLE + " SELECT read_id, hap_id FROM fr JOIN hp ON substr(hp.seq, fr.start + 1, least(16, fr.len)) = substr(fr.seq, 1, 16) AND length(hp.seq) > fr.stop WHERE substr(hp.seq, fr.start + 1, fr.len) = fr.seq")
 def j04(spark, sf):
-    f = fragments(spark, sf).where("start = 0")
-    return joins.compatible(f, f.select(F.col("read_id").alias("hap_id"), "seq"))
+    return joins.compatible(durable(fragments(spark, sf)), _whole(spark, sf))
 
 
-@query("j05_lock_step", "SELECT a.l_orderkey AS read_id, a.l_extendedprice AS forward, b.l_extendedprice AS backward FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2")
+@query("j05_lock_step", "SELECT a.doc_id AS read_id, length(b.text) AS forward, length(a.text) - length(replace(a.text, 'a', '')) AS backward FROM documents a JOIN documents b USING (doc_id)")
 def j05(spark, sf):
-    li = A.table(spark, sf, "lineitem")
-    one = lambda k, name: li.where(F.col("l_linenumber") == k).select(F.col("l_orderkey").alias("read_id"), F.col("l_extendedprice").alias(name))
-    return one(1, "forward").join(one(2, "backward"), "read_id")
+    d = A.table(spark, sf, "documents")
+    one, two = d.select(F.col("doc_id").alias("read_id"), F.length("text").cast("long").alias("forward")), d.select(F.col("doc_id").alias("read_id"), S.count_char(F.col("text"), "a").cast("long").alias("backward"))
+    return joins.lock_step(one, two)
 
 
-@query("j07_unexplained", "SELECT count(*) AS lost FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+@query("j07_unexplained", "WITH " + FRAGMENTS + ", " + WHOLE + ", ok AS (SELECT DISTINCT read_id FROM fr JOIN hp ON hap_id % 2 = 0 AND substr(hp.seq, fr.start + 1, least(16, fr.len)) = substr(fr.seq, 1, 16) AND substr(hp.seq, fr.start + 1, fr.len) = fr.seq) SELECT count(*) AS lost FROM fr WHERE read_id NOT IN (SELECT read_id FROM ok)")
 def j07(spark, sf):
-    good = A.table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    return A.table(spark, sf, "orders").join(good, "o_custkey", "left_anti").agg(F.count(F.lit(1)).alias("lost"))
+    f = durable(fragments(spark, sf))
+    return em.explained(f, durable(joins.compatible(f, _whole(spark, sf).where("hap_id % 2 = 0"))))[1]  # some haplotypes only, so that reads are lost
 
 
-@query("j10_paired_ends", "SELECT a.o_orderkey, a.o_totalprice AS first, b.o_totalprice AS second FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1")
+@query("j10_paired_ends", with_("reads") + "SELECT CAST(read_id AS VARCHAR) AS read_id, md5(substr(seq, 1, len // 2)) AS first, md5(substr(seq, len // 2 + 1)) AS second FROM reads")
 def j10(spark, sf):
-    o = A.table(spark, sf, "orders")
-    return o.select("o_orderkey", F.col("o_totalprice").alias("first")).join(o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_totalprice").alias("second")), "o_orderkey")
+    from readloom.operators.filters import halves
+
+    return joins.paired_ends(halves(A.reads(spark, sf))).select("read_id", F.md5("first").alias("first"), F.md5("second").alias("second"))
+
+
+WINDOWED = """w AS (SELECT 1 + m * 67 AS wstart FROM range(0, (SELECT CAST(max(stop + 1) // 67 + 1 AS BIGINT) FROM reads)) r(m)),
+ j AS (SELECT wstart, read_id, start, seq, least(stop + 1, wstart + 200) - greatest(start + 1, wstart) + 1 AS ov FROM reads JOIN w ON start + 1 <= wstart + 200 AND stop + 1 >= wstart),
+ ws AS (SELECT wstart, read_id, rpad(repeat('N', greatest(start + 1 - wstart, 0)) || substr(seq, greatest(wstart - start, 1), ov), 201, 'N') AS s FROM j WHERE ov > 171)"""
 
 
 @query(
     "j11_haplotype_support",
-    with_("rows")
-    + """, h AS (SELECT lang, arg_min(seq, read_id) AS hseq FROM rws WHERE length(seq) > 0 GROUP BY lang),
- p AS (SELECT r.lang, read_id, string_split(seq, '') AS a, string_split(hseq, '') AS b, least(length(seq), length(hseq)) AS n FROM rws r JOIN h ON h.lang = r.lang WHERE length(seq) > 0),
- d AS (SELECT lang, read_id, len(list_filter(range(1, n + 1), lambda i: a[i] <> 'N' AND b[i] <> 'N')) AS both_, len(list_filter(range(1, n + 1), lambda i: a[i] <> b[i] AND a[i] <> 'N' AND b[i] <> 'N')) AS dist FROM p)
- SELECT lang, count(*) AS n FROM d WHERE both_ > 0 AND dist / both_ < 0.7 GROUP BY lang""",
+    with_("reads", then=WINDOWED)
+    + """, x AS (SELECT wstart, read_id, s, length(s) - length(ltrim(s, 'N')) AS a, length(rtrim(s, 'N')) AS b FROM ws), h AS (SELECT wstart, min(read_id) AS hap_id, s, any_value(a) AS a, any_value(b) AS b FROM x GROUP BY wstart, s)
+ SELECT CAST(h.wstart AS BIGINT) AS wstart, hap_id, count(*) AS support FROM h JOIN x ON h.wstart = x.wstart AND substr(h.s, 61, 30) = substr(x.s, 61, 30)
+ WHERE substr(h.s, CAST(greatest(h.a, x.a) + 1 AS BIGINT), CAST(least(h.b, x.b) - greatest(h.a, x.a) AS BIGINT)) = substr(x.s, CAST(greatest(h.a, x.a) + 1 AS BIGINT), CAST(least(h.b, x.b) - greatest(h.a, x.a) AS BIGINT)) GROUP BY ALL""",
 )
 def j11(spark, sf):
-    r = A.rows(spark, sf).where("length(seq) > 0").select("read_id", "lang", "seq")
-    h = r.groupBy("lang").agg(F.min_by("seq", "read_id").alias("hseq"))
-    share = S.let(S.hamming_missing(F.col("seq"), F.col("hseq")), lambda d: F.when(d["dist"] + d["match"] > 0, d["dist"] / (d["dist"] + d["match"])))
-    return r.join(h, "lang").where(share < 0.7).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    w = durable(joins.windowed_reads(A.reads(spark, sf), 201, 3))
+    haps = w.groupBy("wstart", F.col("wseq").alias("seq")).agg(F.min("read_id").alias("hap_id"))
+    names = haps.select("wstart", F.col("hap_id"), F.struct("wstart", "hap_id").alias("k"), "seq")
+    got = joins.equal_but_missing(w.select("wstart", "read_id", F.col("wseq").alias("seq")), names.select("wstart", F.col("k").alias("hap_id"), "seq"))
+    return got.groupBy("hap_id").agg(F.count(F.lit(1)).alias("support")).select(F.col("hap_id.wstart").alias("wstart"), F.col("hap_id.hap_id").alias("hap_id"), "support")
 
 
 @query(
@@ -133,15 +146,18 @@ def j15(spark, sf):
 
 @query(
     "j16_nearest_graph",
-    """WITH s AS (SELECT p_partkey AS i, p_brand || p_type AS block, [CAST(p_size AS VARCHAR), CAST(floor(p_retailprice / 50) AS VARCHAR), substr(p_name, 1, 1)] AS obs FROM part),
- d AS (SELECT a.i, b.i AS j, CAST(a.obs[1] <> b.obs[1] AS INT) + CAST(a.obs[2] <> b.obs[2] AS INT) + CAST(a.obs[3] <> b.obs[3] AS INT) AS d FROM s a JOIN s b ON a.block = b.block AND a.i <> b.i),
+    """WITH s AS (SELECT p_partkey AS i, [p_brand, CAST(p_size AS VARCHAR), CAST(floor(p_retailprice / 50) AS VARCHAR), p_type] AS obs FROM part),
+ d AS (SELECT a.i, b.i AS j, CAST(a.obs[1] <> b.obs[1] AS INT) + CAST(a.obs[2] <> b.obs[2] AS INT) + CAST(a.obs[3] <> b.obs[3] AS INT) + CAST(a.obs[4] <> b.obs[4] AS INT) AS d FROM s a JOIN s b ON a.i <> b.i),
  n AS (SELECT i, j FROM (SELECT *, min(d) OVER (PARTITION BY i) AS m FROM d) WHERE d = m) SELECT i, j FROM n UNION SELECT j, i FROM n""",
 )
 def j16(spark, sf):
     p = A.table(spark, sf, "part")
-    s = p.select(F.col("p_partkey").alias("i"), F.concat("p_brand", "p_type").alias("block"), F.array(F.col("p_size").cast("string"), F.floor(F.col("p_retailprice") / 50).cast("string"), F.substring("p_name", 1, 1)).alias("obs"))
-    differ = lambda x, y: sum(((x[k] != y[k]).cast("int") for k in range(3)), F.lit(0))
-    return joins.nearest_graph(s, differ)
+    return joins.nearest_graph(p.select(F.col("p_partkey").alias("i"), F.array("p_brand", F.col("p_size").cast("string"), F.floor(F.col("p_retailprice") / 50).cast("string"), "p_type").alias("obs")), 4)
+
+
+@query("f24_distance_matrix", with_("haps") + "SELECT a.hap_id AS i, b.hap_id AS j, CAST(hamming(substr(a.seq, 1, least(length(a.seq), length(b.seq))), substr(b.seq, 1, least(length(a.seq), length(b.seq)))) AS BIGINT) AS d FROM haps a, haps b WHERE length(a.seq) > 0 AND length(b.seq) > 0")
+def f24(spark, sf):
+    return joins.distance_matrix(A.haps(spark, sf).where("length(seq) > 0").select(F.col("hap_id").alias("i"), "seq"), S.hamming)
 
 
 EDGES = "ed AS (SELECT o_custkey AS a, o_orderkey AS b FROM orders), e AS (SELECT l_orderkey AS src, 1000000000 + l_partkey AS dst FROM lineitem UNION SELECT 2000000000 + o_custkey, o_orderkey FROM orders UNION SELECT 3000000000 + c_nationkey, 2000000000 + c_custkey FROM customer)"
@@ -204,18 +220,39 @@ def _chains(spark, sf):
     return f, graph.chain_cover(graph.closure(e), f, e)
 
 
-@query("u13_u14_chain_cover")
+@query("u14_chain_cover")
 def u14(spark, sf):
-    f, chains = _chains(spark, sf)
-    return chains
+    return _chains(spark, sf)[1]
 
 
-@query("u16_path_sequences")
-def u16(spark, sf):
+@query("u16_chain_sequences")
+def u16c(spark, sf):
     f, chains = _chains(spark, sf)
     return graph.path_sequences(chains, f)
 
 
+@query("u16_path_sequences", "WITH " + WHOLE + " SELECT hap_id AS chain, md5(seq) AS seq FROM hp")
+def u16(spark, sf):
+    f = durable(fragments(spark, sf))
+    chains = f.select(F.floor(F.col("read_id") / LINES).alias("chain"), (F.col("read_id") % LINES).cast("int").alias("place"), "read_id")
+    return graph.path_sequences(chains, f).select("chain", F.md5("seq").alias("seq"))
+
+
+@query("u13_all_paths", "SELECT '-1,' || CAST(3000000000 + c_nationkey AS VARCHAR) || ',' || CAST(2000000000 + c_custkey AS VARCHAR) || ',' || CAST(o_orderkey AS VARCHAR) || ',' || CAST(1000000000 + l_partkey AS VARCHAR) || ',-2' AS path FROM customer JOIN orders ON o_custkey = c_custkey JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON l_orderkey = o_orderkey")
+def u13(spark, sf):
+    e = order_graph(spark, sf)
+    first = e.where("src >= 3000000000").select(F.lit(-1).cast("long").alias("src"), F.col("src").alias("dst")).distinct()
+    last = e.where("dst between 1000000000 and 1999999999").select(F.col("dst").alias("src"), F.lit(-2).cast("long").alias("dst")).distinct()
+    return graph.all_paths(durable(e.unionByName(first).unionByName(last))).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+
+
+@query("u15_u0b_o05_united_haplotypes")
+def u15(spark, sf):
+    f = durable(joins.remove_contained(durable(fragments(spark, sf))))
+    e = durable(joins.overlaps(f, LEAST))
+    return graph.haplotypes(f, e, restarts=3)
+
+
 EM = "cp AS (SELECT l_orderkey AS read_id, l_suppkey AS hap_id, 1 AS n FROM lineitem GROUP BY ALL), p0 AS (SELECT hap_id, 1.0 / count(*) OVER () AS p FROM (SELECT DISTINCT hap_id FROM cp))"
 
 
@@ -236,4 +273,63 @@ def a14(spark, sf):
 @query("k04_frequency_ranks", "WITH " + EM + _em_round(1) + " SELECT row_number() OVER (ORDER BY round(p, 9) DESC, hap_id) AS rank, hap_id, round(p, 6) AS p FROM p1 WHERE p > 0")
 def k04(spark, sf):
     p = em.frequencies(_compat(spark, sf), rounds=1)
-    return p.select(F.row_number().over(Window.orderBy(F.desc(F.round("p", 9)), "hap_id")).cast("long").alias("rank"), "hap_id", F.round("p", 6).alias("p"))
+    ranked = numbered(p.withColumn("q", F.round("p", 9)), [F.desc("q"), F.col("hap_id")], "rank")
+    return ranked.select("rank", "hap_id", F.round("p", 6).alias("p"))
+
+
+# alignments of two names; scores by the same recurrence in SQL
+
+NAMES = "p AS (SELECT n_name AS a, r_name AS b FROM nation, region)"
+
+
+def _alignment_sql(local: bool) -> str:
+    least = "greatest(0.0, {})" if local else "{}"
+    edge = "0.0" if local else "-4.0 * j"
+    first = "0.0" if local else "row[1] - 4.0"
+    cand = f"CASE WHEN k = 0 THEN {first} ELSE greatest(row[k] + CASE WHEN substr(a, i + 1, 1) = substr(b, k, 1) THEN 4.0 ELSE -4.0 END, row[k + 1] - 4.0) END - 4.0 * (j - k)"
+    new = "list_transform(range(0, length(b) + 1), lambda j: " + least.format(f"list_max(list_transform(range(0, j + 1), lambda k: {cand}))") + ")"
+    rows = f"WITH RECURSIVE {NAMES}, t(a, b, i, row) AS (SELECT a, b, CAST(0 AS BIGINT), list_transform(range(0, length(b) + 1), lambda j: CAST({edge} AS DOUBLE)) FROM p UNION ALL SELECT a, b, i + 1, list_transform({new}, lambda x: CAST(x AS DOUBLE)) FROM t WHERE i < length(a))"
+    return rows + (" SELECT a, b, max(list_max(row)) AS score FROM t GROUP BY a, b" if local else " SELECT a, b, row[length(b) + 1] AS score FROM t WHERE i = length(a)")
+
+
+def _names(spark, sf):
+    n, r = A.table(spark, sf, "nation").select(F.col("n_name").alias("a")), A.table(spark, sf, "region").select(F.col("r_name").alias("b"))
+    return n.crossJoin(r)  # the cases themselves: 25 by 5 names
+
+
+@query("u03_global_linear_scores", _alignment_sql(False))
+def u03(spark, sf):
+    return align.align_pairs(_names(spark, sf), "global-linear").select("a", "b", "score")
+
+
+@query("u04_local_linear_scores", _alignment_sql(True))
+def u04(spark, sf):
+    return align.align_pairs(_names(spark, sf), "local-linear").select("a", "b", "score")
+
+
+@query("u02_local_affine_alignments")
+def u02(spark, sf):
+    h = A.haps(spark, sf).where("length(seq) > 0")
+    nxt = h.select((F.col("hap_id") - 1).alias("hap_id"), F.col("seq").alias("b"))
+    return align.align_pairs(h.withColumnRenamed("seq", "a").join(nxt, "hap_id"), "local").select("hap_id", "score", "row_a", "row_b")
+
+
+@query("u05_profile_scores", _alignment_sql(False))
+def u05(spark, sf):
+    # a profile of one letter a place is a text, so that the same recurrence checks it
+    return align.align_pairs(_names(spark, sf).withColumn("p", F.regexp_replace("a", "(.)", "[$1]")), "profile", a="p").select("a", "b", "score")
+
+
+@query(
+    "f16_padded_rows",
+    with_("bases")
+    + """, c AS (SELECT read_id, pos, base, sum(CASE WHEN base <> 'N' THEN 1 ELSE 0 END) OVER (PARTITION BY read_id ORDER BY pos) AS rp FROM bases),
+ pt AS (SELECT read_id, rp, count(*) FILTER (WHERE base = 'N') AS k, max(CASE WHEN base <> 'N' THEN base END) AS base FROM c GROUP BY read_id, rp),
+ mx AS (SELECT rp, max(k) AS m FROM pt GROUP BY rp), m0 AS (SELECT coalesce(max(m), 0) AS m0 FROM mx WHERE rp = 0)
+ SELECT read_id, md5(CASE WHEN min(rp) > 0 THEN repeat('-', CAST(any_value(m0) AS BIGINT)) ELSE '' END || string_agg(coalesce(base, '') || repeat('N', k) || repeat('-', m - k), '' ORDER BY rp)) AS row FROM pt JOIN mx USING (rp), m0 GROUP BY read_id""",
+)
+def f16p(spark, sf):
+    # an endless reference, with N of a read as insertions
+    row = A.rows(spark, sf).where("length(seq) > 0").select("read_id", F.regexp_replace("seq", "[^N]", "A").alias("r"), F.col("seq").alias("read_row"))
+    pairs = row.select("read_id", F.translate("r", "N", "-").alias("ref_row"), "read_row")
+    return align.propagate_gaps(durable(pairs)).select("read_id", F.md5("row").alias("row"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import seq as S
+from readloom.operators.filters import region_rows
 
 
 def _records(spark: SparkSession, path, mark: str = ">") -> DataFrame:
@@ -73,10 +74,20 @@ def sequence_lists(spark: SparkSession, paths) -> DataFrame:
 SAM = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
 
 
-def sam(spark: SparkSession, path) -> DataFrame:
-    """Alignment lines with typed fields, optional tags, strand and mapping flags and parsed CIGAR; pos from 0."""
+def sam(spark: SparkSession, path, broken: bool = False) -> DataFrame:
+    """Alignment lines with typed fields, optional tags, strand and mapping flags and parsed CIGAR; pos from 0.
+
+    Lines of fewer fields are no alignments. In ``broken`` files line feeds inside records are taken out first: a record
+    begins where a line begins with the same six characters as the first one, and records are split at that mark."""
     p = F.split("value", "\t")
-    f = spark.read.text(path).where(~F.col("value").startswith("@")).select(p.alias("p")).where("size(p) >= 11")
+    lines = spark.read.text(path).where(~F.col("value").startswith("@"))
+    if broken and (first := lines.where("value <> ''").first()) is not None:
+        mark = first["value"][:6]
+        raw = spark.read.option("lineSep", f"\n{mark}").text(path)
+        # the first piece of a file keeps its head lines, and its mark
+        text = F.regexp_replace(F.regexp_replace("value", "(?m)^@[^\n]*\n", ""), "\r?\n", "")
+        lines = raw.select(F.when(F.startswith(text, F.lit(mark)), text).otherwise(F.concat(F.lit(mark), text)).alias("value"))
+    f = lines.select(p.alias("p")).where("size(p) >= 11")
     f = f.select(*[(F.get("p", F.lit(i)).try_cast("int") if n in ("flag", "pos", "mapq", "pnext", "tlen") else F.get("p", F.lit(i))).alias(n) for i, n in enumerate(SAM)], F.slice("p", 12, F.greatest(F.size("p") - 11, F.lit(0))).alias("tags"))
     f = f.withColumn("pos", F.col("pos") - 1)
     return f.withColumn("is_reverse", F.col("flag").bitwiseAND(F.lit(16)) > 0).withColumn("is_unmapped", F.col("flag").bitwiseAND(F.lit(4)) > 0).withColumn("ops", S.cigar(F.col("cigar")))
@@ -90,6 +101,21 @@ def sam_region(aligned: DataFrame, rname: str, start: int, stop: int, least: int
     return f if strand is None else f.where(F.col("is_reverse") == (strand == "-"))
 
 
+def sam_on_reference(aligned: DataFrame, reference: str, begin: int, end: int, least: int = 30) -> DataFrame:
+    """(qname, row) of mapped reads on the reference's places [begin, end), from 0: whole-codon deletions are gaps, others take
+    the reference's letters, insertions are dropped; rows with fewer letters between their flanks are left out."""
+    placed = aligned.where("cigar <> '*'").select(F.col("qname").alias("read_id"), F.col("pos").alias("start"), S.expand_on_reference(F.col("seq"), F.col("ops"), F.col("pos"), F.lit(reference)).alias("seq"))
+    placed = placed.where("length(seq) > 0").withColumn("stop", F.col("start") + F.length("seq") - 1)
+    return region_rows(placed, begin, end, least).select(F.col("read_id").alias("qname"), "row")
+
+
+def sam_with_insertions(aligned: DataFrame, start: int, stop: int, cutoff: int = 6) -> DataFrame:
+    """(read_id, row, insertions) on [start, stop]: as ``sam_rows`` with n for deletions, and the insertions beside."""
+    masked = S.mask_quality(F.col("seq"), F.col("qual"), cutoff)
+    row = S.to_window(S.expand_cigar(masked, F.col("ops"), "n"), F.col("pos"), start, stop)
+    return aligned.where("not is_unmapped").select(F.col("qname").alias("read_id"), row.alias("row"), S.insertions(masked, F.col("ops"), F.col("pos"), start, stop).alias("insertions"))
+
+
 def sam_rows(aligned: DataFrame, start: int, stop: int, cutoff: int = 6) -> DataFrame:
     """(qname, row): quality-masked and CIGAR-expanded reads on [start, stop], padded with n."""
     masked = S.mask_quality(F.col("seq"), F.col("qual"), cutoff)

@@ -79,7 +79,8 @@ def stockholm_lines(df: DataFrame) -> DataFrame:
 
 
 def write_msa(df: DataFrame, path: str, kind: str, width: int = 60) -> None:
-    """An alignment (name, row) of one file's size as clustal, phylip or stockholm, in one part."""
+    """An alignment (name, row) as clustal, phylip or stockholm. The formats are one file each, which one task writes in
+    order; rows are dealt to it sorted, and stream through."""
     spark = df.sparkSession
     n, size = df.count(), df.agg(F.max(F.length("row"))).first()[0] or 0
     if kind == "clustal":
@@ -92,6 +93,13 @@ def write_msa(df: DataFrame, path: str, kind: str, width: int = 60) -> None:
     else:
         raise ValueError(f"cannot write {kind}")
     if kind == "clustal":
-        body = body.unionByName(body.select("k").distinct().select("k", F.lit("￿").alias("name"), F.lit("").alias("value")))
+        body = body.unionByName(body.select("k").distinct().select("k", F.lit("\uffff").alias("name"), F.lit("").alias("value")))
     ends = [(-1, "", head)] + ([(1 << 30, "", tail)] if tail else [])
-    spark.createDataFrame(ends, "k int, name string, value string").unionByName(body).coalesce(1).sortWithinPartitions("k", "name").select("value").write.mode("overwrite").text(path)
+    every = spark.createDataFrame(ends, "k int, name string, value string").unionByName(body)
+    every.repartition(1).sortWithinPartitions("k", "name").select("value").write.mode("overwrite").text(path)
+
+
+def write_kinds(frames: dict[str, DataFrame], path: str) -> None:
+    """Text tables (value) of several kinds, gzipped, each in a folder of its kind."""
+    for kind, df in frames.items():
+        df.select("value").write.mode("overwrite").option("compression", "gzip").text(f"{path}/kind={kind}")

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.operators import aggregates, align, em, graph, hmm, joins, randomised, report, sampler
+from readloom.functions import seq as S
+from readloom.operators import aggregates, align, em, filters, graph, hmm, joins, pipeline, randomised, report, sampler
 
 
 def reads_of(spark, rows):
@@ -229,7 +230,7 @@ def test_simulation_and_permutation(spark):
     shuffled = spark.createDataFrame([(1, "AACCGT")], "i long, s string").select(randomised.shuffle_sequence(F.col("s"), F.col("i"))).first()[0]
     assert sorted(shuffled) == sorted("AACCGT")
     pts = spark.createDataFrame([(i, "b", [i // 20]) for i in range(40)], "i long, block string, obs array<long>")
-    g = joins.nearest_graph(pts, lambda x, y: F.abs(x[0] - y[0]))
+    g = joins.nearest_graph(pts, 1)
     lab = pts.select("i", (F.col("i") >= 20).cast("string").alias("label"))
     p = randomised.permutation_test(g, lab, 50).first()
     assert p["p_value"] < 0.05
@@ -242,7 +243,8 @@ def test_reports(spark):
     assert [x["read_id"] for x in report.recombinants(r, clones).collect()] == [2]
     assert report.best_split(half, clones["a"], clones["b"], 4, 12)[0] == 8
     haps = spark.createDataFrame([(clones["a"], 3.0), ("CCC", 1.0)], "seq string, reads double")
-    assert {(x["clone"], x["percent"]) for x in report.match_clones(haps, clones).collect()} == {("a", 75.0), ("unmatched", 25.0)}
+    named = spark.createDataFrame(list(clones.items()), "clone string, seq string")
+    assert {(x["clone"], x["percent"]) for x in report.match_clones(haps, named).collect()} == {("a", 75.0), ("unmatched", 25.0)}
     assert report.amplicon_span("AAACCCGGGTTT", "CCCGG") == (4, 8)
     back = clones["a"][::-1].translate(str.maketrans("ACGT", "TGCA"))
     o = report.oriented(spark.createDataFrame([(1, back)], "read_id long, seq string"), clones["a"])
@@ -285,3 +287,200 @@ def test_whole_reads_are_scored(spark):
         assert abs(got[i] - want) < 1e-9
     with pytest.raises(ValueError):
         hmm.score_reads(spark.createDataFrame([(1, "A")], "read_id long, seq string"), ["ACGT", ""])
+
+
+def letters(rng, n, of="ACGT"):
+    return "".join(rng.choice(of) for _ in range(n))
+
+
+def test_recombinants_of_planted_halves(spark):
+    """Halves of two clones are found; whole copies, noisy copies and poor reads are not."""
+    rng = random.Random(12)
+    clones = {k: letters(rng, 160) for k in "abc"}
+    rows, planted = [], set()
+    for i in range(12):
+        x, y = rng.sample("abc", 2)
+        rows.append((i, clones[x][:80] + clones[y][80:]))
+        planted.add(i)
+    noisy = lambda s: "".join(rng.choice("ACGT") if rng.random() < 0.02 else c for c in s)
+    rows += [(100 + i, noisy(clones[rng.choice("abc")])) for i in range(12)]
+    rows += [(200 + i, letters(rng, 160)) for i in range(40)]
+    got = report.recombinants(spark.createDataFrame(rows, "read_id long, seq string"), clones).collect()
+    assert {r["read_id"] for r in got} == planted
+    assert all(r["best_a"] != r["best_b"] and r["gain"] > 0.05 for r in got)
+
+
+def test_scores_of_many_clones_at_once():
+    rng = random.Random(3)
+    for _ in range(150):
+        clones = [letters(rng, rng.randrange(1, 25), "ACGTN") for _ in range(rng.randrange(1, 5))]
+        read = letters(rng, rng.randrange(1, 30)) if rng.random() < 0.5 else clones[0][2:15] or "A"
+        assert np.allclose(align.scores_against(clones, read), [align.align(c, read)[0] for c in clones])
+    assert align.scores_against(["ACG"], "").tolist() == [0.0]
+
+
+def best_by_hand(a, b, gap, match, mismatch, local):
+    row = [0.0 if local else -gap * j for j in range(len(b) + 1)]
+    top = max(row)
+    for i, x in enumerate(a, 1):
+        new = [0.0 if local else -gap * i]
+        for j, y in enumerate(b, 1):
+            v = max(row[j - 1] + (match if x == y else mismatch), row[j] - gap, new[-1] - gap)
+            new.append(max(v, 0.0) if local else v)
+        row = new
+        top = max(top, *row)
+    return top if local else row[-1]
+
+
+def test_pairwise_forms(spark):
+    rng = random.Random(5)
+    rows = [(i, letters(rng, rng.randrange(0, 12)), letters(rng, rng.randrange(0, 12))) for i in range(40)] + [(99, None, "ACG")]
+    df = spark.createDataFrame(rows, "i long, a string, b string")
+    for method, local in (("global-linear", False), ("local-linear", True)):
+        for r in align.align_pairs(df, method).collect():
+            a, b = r["a"] or "", r["b"] or ""
+            assert r["score"] == best_by_hand(a, b, 4.0, 4.0, -4.0, local), (method, a, b)
+            x, y = r["row_a"], r["row_b"]
+            assert len(x) == len(y) and x.replace("-", "") in a and y.replace("-", "") in b
+            worth = sum(-4.0 if "-" in p else 4.0 if p[0] == p[1] else -4.0 for p in zip(x, y))
+            assert worth == r["score"]
+    for r in align.align_pairs(df, "local").collect():
+        x, y = r["row_a"], r["row_b"]
+        assert r["score"] >= 0 and x.replace("-", "") in (r["a"] or "") and y.replace("-", "") in (r["b"] or "")
+        runs = "".join("g" if c == "-" else "h" if d == "-" else "m" for c, d in zip(x, y))
+        gaps = [len(list(v)) for k, v in itertools.groupby(runs) if k in "gh"]
+        assert r["score"] == sum(5.0 if c == d else -4.0 for c, d in zip(x, y) if "-" not in (c, d)) - sum(6 + 3 * (n - 1) for n in gaps)
+    p = align.align_pairs(spark.createDataFrame([("A[CG]T", "ACT"), ("A[CG]T", "AT"), ("[AC][AC]", "GG")], "a string, b string"), "profile").collect()
+    assert [r["score"] for r in p] == [8.0, 4.0, -8.0]
+    with pytest.raises(ValueError):
+        align.align_pairs(df, "other")
+
+
+def test_nearest_neighbours_by_brute_force(spark):
+    rng = random.Random(6)
+    obs = {i: [rng.choice("abcd"), rng.choice("abcd"), rng.choice(["x", "y", None])] for i in range(60)} | {99: ["q", "r", "s"]}
+    got = {tuple(r) for r in joins.nearest_graph(spark.createDataFrame(list(obs.items()), "i long, obs array<string>"), 3).collect()}
+    d = lambda a, b: sum(x != y for x, y in zip(obs[a], obs[b]))
+    want = set()
+    for i in obs:
+        low = min(d(i, j) for j in obs if j != i)
+        want |= {p for j in obs if j != i and d(i, j) == low for p in ((i, j), (j, i))}
+    assert got == want
+    m = joins.distance_matrix(spark.createDataFrame([(1, "ACG"), (2, "AG")], "i long, seq string"), S.hamming)
+    assert {tuple(r) for r in m.collect()} == {(1, 1, 0), (1, 2, 1), (2, 1, 1), (2, 2, 0)}
+
+
+def test_equal_up_to_missing_by_brute_force(spark):
+    rng = random.Random(7)
+    base = [letters(rng, 70) for _ in range(4)]
+    hide = lambda s: "".join("N" if rng.random() < rng.choice([0.0, 0.02, 0.3]) else c for c in s)
+    rows = [(w, i, hide(rng.choice(base))) for w in (1, 2) for i in range(25)] + [(1, 99, "N" * 70)]
+    haps = [(w, f"h{i}", hide(rng.choice(base))) for w in (1, 2) for i in range(10)]
+    got = {tuple(r) for r in joins.equal_but_missing(spark.createDataFrame(rows, "wstart long, read_id long, seq string"), spark.createDataFrame([(w, f"{w}{h}", s) for w, h, s in haps], "wstart long, hap_id string, seq string")).collect()}
+    want = {(i, f"{v}{h}") for w, i, s in rows for v, h, t in haps if w == v and all(a == b or "N" in (a, b) for a, b in zip(s, t))}
+    assert got == want and len(want) > 20
+
+
+def test_lock_step_refuses_single_ids(spark):
+    a, b = spark.createDataFrame([(1, 2.0), (2, 3.0)], "read_id long, x double"), spark.createDataFrame([(1, 5.0), (2, 6.0)], "read_id long, y double")
+    assert {tuple(r) for r in joins.lock_step(a, b).collect()} == {(1, 2.0, 5.0), (2, 3.0, 6.0)}
+    with pytest.raises(Exception, match="not on both sides: 2"):
+        joins.lock_step(a, b.where("read_id = 1")).collect()
+
+
+def test_running_totals_and_places(spark):
+    rng = random.Random(1)
+    values = rng.sample(range(10_000), 500)
+    df = spark.createDataFrame([(v, v % 7) for v in values], "k long, n long").repartition(5)
+    want, total = {}, 0
+    for v in sorted(values):
+        total += v % 7
+        want[v] = total
+    assert {r["k"]: r["n_until"] for r in aggregates.running_totals(df, "k", ["n"]).collect()} == want
+    places = {r["k"]: r["place"] for r in aggregates.numbered(df, [F.desc("k")]).collect()}
+    assert places == {v: i for i, v in enumerate(sorted(values, reverse=True), 1)}
+
+
+def test_box_data_refuses_missing_reads(spark):
+    rows = [("a", 1, 8), ("b", 1, 2), ("a", 2, 6), ("b", 2, 4)]
+    got = {r["hap"]: (r["low"], r["median"], r["high"]) for r in aggregates.box_data(spark.createDataFrame(rows, "hap string, iter int, reads long")).collect()}
+    assert got == {"a": (0.6, 0.7, 0.8), "b": (0.2, 0.30000000000000004, 0.4)} or all(abs(x - y) < 1e-12 for k, v in got.items() for x, y in zip(v, {"a": (0.6, 0.7, 0.8), "b": (0.2, 0.3, 0.4)}[k]))
+    with pytest.raises(ValueError):
+        aggregates.box_data(spark.createDataFrame([*rows, ("a", 3, 1)], "hap string, iter int, reads long"))
+
+
+def test_all_paths_and_united_covers(spark):
+    edges = [(-1, 1), (-1, 2), (1, 3), (2, 3), (3, 4), (3, 5), (4, -2), (5, -2)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    assert sorted(tuple(r["path"]) for r in graph.all_paths(e).collect()) == [(-1, a, 3, b, -2) for a in (1, 2) for b in (4, 5)]
+    with pytest.raises(ValueError):
+        graph.all_paths(e, most=3)
+    seqs = {1: (0, "AACC"), 2: (0, "TTCC"), 3: (2, "CCGG"), 4: (4, "GGAA"), 5: (4, "GGTT")}
+    reads = reads_of(spark, [(i, s, t) for i, (s, t) in seqs.items()])
+    inner = e.where("src > 0 and dst > 0")
+    every = {a + "CCGG" + b for a in ("AA", "TT") for b in ("AA", "TT")}
+    assert {r["seq"] for r in graph.haplotypes(reads, inner, 8).collect()} == every
+    some = {r["seq"] for r in graph.haplotypes(reads, inner, 8, most=3, restarts=6).collect()}  # four paths: covers are united
+    assert some <= every and 2 <= len(some) <= 3
+    assert {s[:2] for s in some} == {"AA", "TT"} and {s[-2:] for s in some} == {"AA", "TT"}
+
+
+def test_unexplained_reads_and_filled_haplotypes(spark):
+    haps = spark.createDataFrame([("AACC..",), ("AACCGG",), ("..CCGT",)], "seq string")
+    filled = sorted(r["seq"] for r in aggregates.fill_uncovered(haps).collect())
+    assert filled == ["AACCGG", "AACCGT"]  # the first becomes the second one, and is there once
+    reads = reads_of(spark, [(1, 0, "AACC"), (2, 2, "CCGG"), (3, 2, "CCGG"), (4, 2, "CCGT"), (5, 1, "TTTT"), (6, 5, "GA")])
+    freq, lost = em.estimate(reads, haps)
+    assert lost == 2
+    p = {r["seq"]: r["p"] for r in freq.collect()}
+    assert abs(p["AACCGG"] - 2 / 3) < 0.02 and abs(p["AACCGT"] - 1 / 3) < 0.02
+
+
+def test_window_parameters(spark):
+    rng = random.Random(2)
+    rows = [(i, 0, letters(rng, 40)) for i in range(12)]
+    w = joins.windowed_reads(reads_of(spark, rows), 20, 1)
+    own = spark.createDataFrame([(1, 0.5, 7), (21, 0.5, 12)], "wstart long, alpha double, iterations int")
+    got = sampler.sample_windows(w, 30, parameters=own).where("kind = 'trace'").groupBy("wstart").agg(F.max("iter").alias("n"))
+    assert {tuple(r) for r in got.collect()} == {(1, 7), (21, 12)}
+    assert filters.pending(w, own.where("wstart = 1")).select("wstart").distinct().collect()[0][0] == 21
+
+
+def test_insertions_are_spread(spark):
+    cigar = lambda s: S.cigar(F.lit(s))
+    rows = spark.createDataFrame([("r1", "AACTGG", "2M1I3M", 0), ("r2", "AATGG", "5M", 0), ("r3", "AACCCTG", "2M3I2M", 0), ("r4", "ATG", "1M1D2M", 1)], "read_id string, seq string, cigar string, pos int")
+    own = rows.select("read_id", S.to_window(S.expand_cigar(F.col("seq"), S.cigar(F.col("cigar")), "n"), F.col("pos"), 0, 5).alias("row"), S.insertions(F.col("seq"), S.cigar(F.col("cigar")), F.col("pos"), 0, 6).alias("insertions"))
+    got = {r["read_id"]: r["row"] for r in align.spread_insertions(own, 6).collect()}
+    assert got == {"r1": "AAC--TGG-", "r2": "AA---TGG-", "r3": "AACCCTG--", "r4": "-A----TG-"}
+    ref = "AACCGGTTAACC"
+    laid = spark.range(1).select(S.expand_on_reference(F.lit("AAGG"), cigar("2M2D1M1I1M"), F.lit(0), F.lit(ref)), S.expand_on_reference(F.lit("AAGG"), cigar("2M3D2M"), F.lit(0), F.lit(ref)))
+    assert tuple(laid.first()) == ("AACCG", "AA---GG")
+
+
+def test_packed_distance(spark):
+    rng = random.Random(1)
+    rows = [(i, letters(rng, n, "ACGT-N"), letters(rng, n, "ACGT-N")) for i, n in enumerate((0, 1, 9, 10, 11, 35))]
+    got = spark.createDataFrame(rows, "i long, a string, b string").select("i", S.packed_hamming(S.pack(F.col("a")), S.pack(F.col("b"))).alias("d"), S.hamming_missing(F.col("a"), F.col("b"))["dist"].alias("e"))
+    assert all(r["d"] == r["e"] for r in got.collect())
+
+
+def test_radial_features(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 2))
+    rows = [([float(v) for v in p], float((p**2).sum() > 1.2)) for p in x]  # a ring, which no line parts
+    df = spark.createDataFrame(rows, "features array<double>, label double")
+    auc = lambda d: aggregates.rank_sum_auc(report.linear_classifier(d, d), "score", "label").first()["auc"]
+    assert auc(report.random_features(df, 2, 0.7, 64)) > 0.95 > 0.75 > auc(df)
+
+
+def test_whole_way_recovers_a_mixture(spark):
+    """1000 reads of a mixture of 80 to 20: the two sequences come out on top with shares within 0.05."""
+    rng = random.Random(9)
+    a = letters(rng, 240)
+    b = "".join("ACGT"["ACGT".index(c) ^ 1] if i % 24 == 11 else c for i, c in enumerate(a))
+    reads = randomised.simulate_reads(spark, [a, b], 1000, 200, 0.01, shares=[0.8, 0.2])
+    haps, lost = pipeline.haplotype_frequencies(reads, a, pipeline.Settings(width=90, iterations=100, alpha=0.1))
+    top = sorted(((r["p"], r["seq"]) for r in haps.collect()), reverse=True)
+    share = lambda s: sum(p for p, t in top if t == s)
+    assert {t for _, t in top[:2]} == {a, b}, top[:4]
+    assert abs(share(a) - 0.8) < 0.05 and abs(share(b) - 0.2) < 0.05, (top[:4], lost)

@@ -25,10 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly if the scan has fewer splits than the session has cores: a file of one row group is one task
-    otherwise. Inputs of many splits are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores)
+    """Rows dealt evenly over the cores if the session asks for it (readloom.spread): a file of one row group is one task
+    otherwise. Only for small files of few splits, as in the bench; large inputs have splits enough."""
+    if df.sparkSession.conf.get("readloom.spread", "false") != "true":
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1 +1 @@
-
+"""Operators over Structured Streaming."""

@@ -263,11 +263,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, broadcast_ids: int = 2_000_00
     split = held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     held = durable(held.join(split, "key"))
     if held.count():
-        held = durable(held.join(_sketches(sets.join(held.select("node").distinct(), "node", "left_semi")), "node"))
+        keys = held.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as there are tables, at most
+        held = durable(held.join(keys, "node").join(_sketches(sets.join(held.select("node").distinct(), "node", "left_semi")), "node"))
         x, y = held.alias("x"), held.alias("y")
         differ = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(_SKETCH // 64)), F.lit(0))
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _may("x", "y") & (differ <= _APART)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        pairs = durable(pairs.distinct().join(apart, ["a", "b"], "left_anti"))
+        once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair leaves the join under its first key only
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _may("x", "y") & (differ <= _APART) & once).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        pairs = durable(pairs.join(apart, ["a", "b"], "left_anti"))
         comp = connected_components(found.unionByName(_similar(pairs, sets)))
 
     grouped = nodes.select("node", "first").join(comp, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))

@@ -97,7 +97,7 @@ def u07(spark, sf):
 
 @query("a11_sample_history")
 def a11(spark, sf):
-    return _sampled(spark, sf).where("kind = 'history'").groupBy("wstart", "hap").agg(F.count(F.lit(1)).alias("support"), F.sum("ave_reads").alias("reads"))
+    return sampler.haplotype_history(_sampled(spark, sf))
 
 
 @query("m05_k05_proposals")
@@ -197,10 +197,63 @@ def o06(spark, sf):
     return some.select("read_id", randomised.shuffle_sequence(F.col("seq"), F.col("read_id")).alias("seq"))
 
 
-@query("a28_windowed_clones")
+def _windows_sql(name: str, rows: str, width: int, step: int, least: int) -> str:
+    """CTE of windowed rows (wstart, read_id, s) of a table with read_id, start, stop and seq."""
+    return f"""{name}w AS (SELECT 1 + m * {step} AS wstart FROM range(0, (SELECT CAST(max(stop + 1) // {step} + 1 AS BIGINT) FROM {rows})) r(m)),
+ {name}j AS (SELECT wstart, read_id, start, stop, seq, least(stop + 1, wstart + {width - 1}) - greatest(start + 1, wstart) + 1 AS ov FROM {rows} JOIN {name}w ON start + 1 <= wstart + {width - 1} AND stop + 1 >= wstart),
+ {name} AS (SELECT wstart, read_id, start, stop, seq, rpad(repeat('N', greatest(start + 1 - wstart, 0)) || substr(seq, greatest(wstart - start, 1), ov), {width}, 'N') AS s FROM {name}j WHERE ov > {least})"""
+
+
+@query(
+    "a28_windowed_clones",
+    with_("reads", "haps", then="hr AS (SELECT hap_id AS read_id, 0 AS start, length(seq) - 1 AS stop, seq FROM haps WHERE length(seq) > 0), " + _windows_sql("x", "reads", 90, 30, 77) + ", " + _windows_sql("y", "hr", 90, 30, 77))
+    + """, h AS (SELECT wstart, s, string_split(s, '') AS a, count(*) AS freq FROM x GROUP BY wstart, s),
+ p AS (SELECT h.wstart, h.s, freq, 'clone' || CAST(read_id AS VARCHAR) AS clone, len(list_filter(range(1, 91), lambda i: a[i] <> 'N' AND b[i] <> 'N')) AS n, len(list_filter(range(1, 91), lambda i: a[i] <> b[i] AND a[i] <> 'N' AND b[i] <> 'N')) AS d
+  FROM h JOIN (SELECT wstart, read_id, string_split(s, '') AS b FROM y) c ON c.wstart = h.wstart),
+ k AS (SELECT wstart, s, freq, min((CASE WHEN n > 0 THEN d / n ELSE 100.0 END, clone)) AS m FROM p GROUP BY ALL)
+ SELECT CAST(wstart AS BIGINT) AS wstart, m[2] AS clone, CAST(sum(freq) AS DOUBLE) AS freq FROM k WHERE m[1] <= 0.7 GROUP BY 1, 2""",
+)
 def a28(spark, sf):
-    w = joins.windowed_reads(A.reads(spark, sf), WIDTH, SHIFTS)
+    w = joins.windowed_reads(A.reads(spark, sf), 90, 3)
     haps = w.groupBy("wstart", F.col("wseq").alias("hap")).agg(F.count(F.lit(1)).cast("double").alias("freq"))
-    first = A.rows(spark, sf).where("length(seq) > 0").groupBy("lang").agg(F.min("read_id").alias("read_id"))  # a clone for each language
-    clones = w.join(first, "read_id").select("wstart", F.col("lang").alias("clone"), F.col("wseq").alias("cseq"))
-    return report.windowed_clones(haps, clones, 0.5)
+    items = A.haps(spark, sf).where("length(seq) > 0").select(F.col("hap_id").alias("read_id"), F.lit(0).alias("start"), (F.length("seq") - 1).alias("stop"), "seq")
+    clones = joins.windowed_reads(items, 90, 3).select("wstart", F.concat(F.lit("clone"), F.col("read_id").cast("string")).alias("clone"), F.col("wseq").alias("cseq"))
+    return report.windowed_clones(haps, clones, 0.7)
+
+
+@query("f16_f17_merged_rows", with_("rows") + "SELECT read_id, md5(replace(seq, 'N', '')) AS row FROM rws WHERE length(replace(seq, 'N', '')) > 0")
+def f16m(spark, sf):
+    # an endless reference, with N of a read as insertions, which are dropped
+    row = A.rows(spark, sf).where("length(replace(seq, 'N', '')) > 0").select("read_id", F.translate(F.regexp_replace("seq", "[^N]", "A"), "N", "-").alias("ref_row"), F.col("seq").alias("read_row"))
+    return align.propagate_gaps(durable(row), pad=False).select("read_id", F.md5("row").alias("row"))
+
+
+@query(
+    "j06_corrected_reads",
+    with_("reads", then=_windows_sql("x", "reads", 201, 67, 171))
+    + """, c AS (SELECT read_id, any_value(seq) AS seq, any_value(start) AS start, CAST(greatest(any_value(start), min(wstart) - 1) AS BIGINT) AS lo, CAST(least(any_value(stop), max(wstart) + 199) AS BIGINT) AS hi FROM x GROUP BY read_id)
+ SELECT read_id, lo AS start, md5(substr(seq, lo - start + 1, hi - lo + 1)) AS seq FROM c""",
+)
+def j06(spark, sf):
+    # every window returns its read; a vote that is not trusted for each of them says something else
+    r = A.reads(spark, sf)
+    w = joins.windowed_reads(r, 201, 3)
+    vote = lambda hap, p: w.select("wstart", F.lit("read").alias("kind"), "read_id", hap.alias("hap"), F.lit(p).alias("posterior"))
+    got = sampler.correct_reads(r, durable(vote(F.col("wseq"), 0.9).unionByName(vote(F.lit("A" * 201), 0.8)).unionByName(vote(F.lit("C" * 201), 0.3))))
+    return got.select("read_id", F.col("start").cast("long").alias("start"), F.md5("seq").alias("seq"))
+
+
+def _trace(spark, sf):
+    """Events as a sampler's trace and history."""
+    e = A.table(spark, sf, "events")
+    return e.select(F.when(F.col("event_id") % 3 == 0, "trace").otherwise("history").alias("kind"), (F.col("user_id") % 9).alias("wstart"), F.col("event_type").alias("hap"), F.col("value").alias("ave_reads"), (F.col("event_id") % 5).alias("proposed"))
+
+
+@query("k05_proposal_means", "SELECT user_id % 9 AS wstart, round(avg(event_id % 5), 9) AS per_step FROM events WHERE event_id % 3 = 0 GROUP BY 1")
+def k05(spark, sf):
+    return sampler.proposals(_trace(spark, sf)).select("wstart", F.round("per_step", 9).alias("per_step"))
+
+
+@query("a11_history_counts", "SELECT user_id % 9 AS wstart, event_type AS hap, count(*) AS support, round(sum(value), 6) AS reads FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2")
+def a11c(spark, sf):
+    return sampler.haplotype_history(_trace(spark, sf)).select("wstart", "hap", "support", F.round("reads", 6).alias("reads"))

@@ -67,15 +67,17 @@ def all_paths(edges: DataFrame, source: int = -1, sink: int = -2, most: int | No
 
 
 def one_path(edges: DataFrame, source: int = -1, sink: int = -2) -> list[int]:
-    """One path, by the smallest child of each node; a child is looked up at a time."""
-    first = durable(edges.groupBy("src").agg(F.min("dst").alias("dst")))
-    path = [source]
-    while path[-1] != sink:
-        step = first.where(F.col("src") == path[-1]).first()
-        if step is None:
-            break
-        path.append(step["dst"])
-    return path
+    """One path, by the smallest child of each node. The ways from all nodes double their length each round; only the one
+    from the source is fetched."""
+    way = durable(edges.groupBy("src").agg(F.min("dst").alias("to")).withColumn("way", F.array("to")))
+    while True:
+        own = way.where(F.col("src") == source).select("to", "way").first()
+        if own is None:
+            return [source]
+        more = way.select(F.col("src").alias("to"), F.col("to").alias("then"), F.col("way").alias("rest"))
+        if own["to"] == sink or more.where(F.col("to") == own["to"]).isEmpty():
+            return [source, *own["way"]]
+        way = durable(way.join(more, "to", "left").select("src", F.coalesce("then", "to").alias("to"), F.when(F.col("rest").isNull(), F.col("way")).otherwise(F.concat("way", "rest")).alias("way")))
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

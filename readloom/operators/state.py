@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,11 +37,14 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-@contextmanager
-def scratch(spark: SparkSession, name: str) -> Iterator[str]:
-    """A folder of its own in the shared one, deleted when the block ends."""
+def temporary(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for a table that is read as long as the program runs and deleted at its end.
+    A program that is killed leaves it behind."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    try:
-        yield path
-    finally:
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # not after the session's own end
         delete(spark, path)

@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from readloom.operators.state import shared_folder
+from readloom.operators.state import temporary as scratch
 from readloom.plans import adapters as A
 from readloom.plans.adapters import with_
 from readloom.plans.registry import query
 from readloom.sources import readers, writers
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("s01_k01_fasta", with_("reads") + "SELECT CAST(read_id AS VARCHAR) AS read_id, md5(seq) AS seq FROM reads")
 def s01(spark, sf):
     path = scratch(spark, "fasta")

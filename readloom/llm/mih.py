@@ -3,8 +3,8 @@
 A bounded sample fits the codes: the vectors are centred, projected on their principal directions and turned by
 ``rotations`` rotations, each refined by iterative quantisation from its own random start; the signs are the bits. The code
 is cut into ``m`` substrings of 16 bits, and each substring has a table from its value to the rows that have it. Every
-table is probed at all values within ``BALL`` bits of the query's: if two codes differ in at most (BALL + 1) m - 1 bits,
-then some substring differs in at most BALL, so all codes of that radius are retrieved. Of what is retrieved, rows whose
+table is probed at all values within a small ball of b bits around the query's: if two codes differ in at most (b + 1) m - 1
+bits, then some substring differs in at most b, so all codes of that radius are retrieved. The ball is learned on the sample. Of what is retrieved, rows whose
 complete distance exceeds a limit learned on the sample are dropped, and the original vectors rerank the rest.
 
 On vectors that are spread evenly in many dimensions the nearest neighbours differ in more than a third of all bits, and no
@@ -28,17 +28,18 @@ from pyspark.sql import functions as F
 
 from readloom.llm.common import hash_share, table
 
-WORD, BALL = 16, 2
+WORD = 16
 POPCOUNT = np.array([bin(i).count("1") for i in range(1 << WORD)], dtype=np.uint8)
 
 
 @dataclass(frozen=True)
 class Codes:
-    """Mean, projection to bits, and the learned limit of the complete distance."""
+    """Mean, projection to bits, and what the sample taught: the limit of the complete distance, and the ball."""
 
     mean: np.ndarray
     turn: np.ndarray
     limit: int
+    ball: int = 2
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         """Substring values, (rows, substrings) of uint16."""
@@ -46,8 +47,9 @@ class Codes:
         return np.packbits(bits, axis=1, bitorder="little").view("<u2")
 
 
-def fit(sample: np.ndarray, rotations: int = 26, k: int = 10, wanted: float = 0.99, steps: int = 3, seed: int = 7) -> Codes:
-    """Codes for vectors like those of ``sample`` (rows, dims)."""
+def fit(sample: np.ndarray, rotations: int = 30, k: int = 10, wanted: float = 0.9, steps: int = 3, seed: int = 7) -> Codes:
+    """Codes for vectors like those of ``sample`` (rows, dims). The ball is the smallest, from two bits on, in which the
+    tables hold the wanted share of the true neighbours inside the sample; a larger table has nearer ones."""
     dims = sample.shape[1]
     mean = sample.mean(axis=0)
     x = sample - mean
@@ -67,13 +69,18 @@ def fit(sample: np.ndarray, rotations: int = 26, k: int = 10, wanted: float = 0.
     codes = Codes(mean, np.hstack(turns), 0)
     c = codes.encode(sample)
     asked = rng.permutation(len(sample))[: min(300, len(sample))]
-    needed = []
+    needed, least = [], []
     for i in asked:
         d = ((sample - sample[i]) ** 2).sum(axis=1)
         d[i] = np.inf
         near = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
-        needed += POPCOUNT[c[near] ^ c[i]].sum(axis=1, dtype=np.int64).tolist()
-    return Codes(mean, codes.turn, int(np.quantile(needed, wanted)) if needed else 0)
+        differ = POPCOUNT[c[near] ^ c[i]]
+        needed += differ.sum(axis=1, dtype=np.int64).tolist()
+        least += differ.min(axis=1).tolist()
+    if not needed:
+        return Codes(mean, codes.turn, 0)
+    ball = next((b for b in range(2, len(BALLS) - 1) if np.mean(np.array(least) <= b) >= wanted), len(BALLS) - 1)
+    return Codes(mean, codes.turn, int(np.quantile(needed, 0.999)), ball)
 
 
 def valid(vector: Column) -> Column:
@@ -109,7 +116,7 @@ class Shard:
             self.rows[s] = np.argsort(self.codes[:, s], kind="stable")
             np.cumsum(np.bincount(self.codes[:, s], minlength=1 << WORD), out=self.first[s, 1:])
 
-    def fetched(self, code: np.ndarray, ball: int = BALL) -> np.ndarray:
+    def fetched(self, code: np.ndarray, ball: int) -> np.ndarray:
         """Rows that a table holds within ``ball`` bits of the substring's value."""
         hit = np.zeros(len(self.ids), dtype=bool)
         for s, value in enumerate(code):
@@ -119,12 +126,12 @@ class Shard:
             hit[self.rows[s, at]] = True
         return np.flatnonzero(hit)
 
-    def nearest(self, ident: int, vector: np.ndarray, code: np.ndarray, limit: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, ident: int, vector: np.ndarray, code: np.ndarray, codes: Codes, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the shard's ``k`` nearest found."""
-        for ball in range(BALL, len(BALLS)):
+        for ball in range(codes.ball, len(BALLS)):
             rows = self.fetched(code, ball)
             far = POPCOUNT[self.codes[rows] ^ code].sum(axis=1, dtype=np.int64)
-            rows = rows[(far <= limit + (ball - BALL) * len(code)) & (self.ids[rows] != ident)]
+            rows = rows[(far <= codes.limit + (ball - codes.ball) * len(code)) & (self.ids[rows] != ident)]
             if len(rows) >= k:
                 break
         else:
@@ -135,7 +142,7 @@ class Shard:
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, sample_rows: int = 4_000, shard_rows: int = 65_536, block_rows: int = 8_192, rotations: int = 26, wanted: float = 0.99
+    vectors: DataFrame, queries: DataFrame, k: int = 10, sample_rows: int = 4_000, shard_rows: int = 65_536, block_rows: int = 8_192, rotations: int = 30, wanted: float = 0.9
 ) -> DataFrame:
     """The ``k`` nearest found of every query: query_id, rank, vec_id, score (Euclidean distance, double).
 
@@ -165,7 +172,7 @@ def search(
             shard = Shard(own["vec_id"].to_numpy(np.int64), np.array(own["embedding"].tolist(), dtype=np.float64), codes)
             q = np.array(theirs["embedding"].tolist(), dtype=np.float64)
             for name, vector, code in zip(theirs["vec_id"], q, codes.encode(q)):
-                ids, dist = shard.nearest(name, vector, code, codes.limit, k)
+                ids, dist = shard.nearest(name, vector, code, codes, k)
                 found.append(pd.DataFrame({"query_id": np.full(len(ids), name, dtype=np.int64), "vec_id": ids, "score": dist}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": np.int64, "vec_id": np.int64})
 

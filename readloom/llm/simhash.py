@@ -79,6 +79,8 @@ def _keys(flips: list[int]) -> Column:
 def links(unique: DataFrame, hot: int = 1_000, broadcast_keys: int = 1_000_000) -> DataFrame:
     """Edges (a, b) between different fingerprints (column fp, distinct) that connect all that are within RADIUS bits."""
     ball = [0] + [1 << j for j in range(BITS // SEGMENTS)]
+    # a small table becomes 66 times as long: dealt out before, by a number of partitions that is not lowered again
+    unique = unique.repartition(int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     held = unique.select("fp", F.explode(_keys([0])).alias("key"))
     probes = unique.select("fp", F.explode(_keys(ball)).alias("key"))
     crowded = durable(held.groupBy("key").count().where(F.col("count") > hot).select("key"))

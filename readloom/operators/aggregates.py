@@ -74,8 +74,7 @@ def coverage(reads: DataFrame) -> DataFrame:
 
     Intervals between events have constant depth and are expanded afterwards, so that work does not grow with read length."""
     events = reads.select(F.explode(F.array(F.struct(F.col("start").cast("long").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("stop") + 1).cast("long").alias("pos"), F.lit(-1).alias("d")))).alias("e")).groupBy(F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
-    w = Window.orderBy("pos")
-    steps = events.select("pos", F.sum("d").over(w).alias("cov"), F.lead("pos").over(w).alias("next")).where("cov > 0")
+    steps = running_totals(events, "pos", ["d"], "next").select("pos", F.col("d_until").alias("cov"), "next").where("cov > 0")
     return steps.select(F.explode(F.sequence("pos", F.col("next") - 1)).alias("pos"), "cov")
 
 
@@ -115,16 +114,21 @@ def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     return run.select("score", (F.col("q_until") / total["q"]).alias("fpr"), (F.col("p_until") / total["p"]).alias("tpr"))
 
 
-def running_totals(df: DataFrame, order: str, values: list[str]) -> DataFrame:
-    """Each row with the sums of the values over all rows up to it (value_until), in the order of a column without ties.
+def running_totals(df: DataFrame, order: str, values: list[str], following: str | None = None) -> DataFrame:
+    """Each row with the sums of the values over all rows up to it (value_until), in the order of a column without ties;
+    with a name for it, also the order's value in the row that follows.
 
     Rows are dealt by ranges of the order; a range sums its own rows and adds the totals of the ranges before it."""
     dealt = durable(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
-    parts = dealt.groupBy("_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    base = parts.select("_part", *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
+    parts = dealt.groupBy("_part").agg(F.min(order).alias("_first"), *[F.sum(v).alias(f"_{v}") for v in values])
+    ranges = Window.orderBy("_part")  # a row for each range
+    before = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("_part", F.lead("_first").over(ranges).alias("_then"), *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
     own = Window.partitionBy("_part").orderBy(order)
-    return dealt.join(F.broadcast(base), "_part").select(*df.columns, *[(F.col(f"_{v}") + F.sum(v).over(own.rowsBetween(Window.unboundedPreceding, 0))).alias(f"{v}_until") for v in values])
+    out = [(F.col(f"_{v}") + F.sum(v).over(own.rowsBetween(Window.unboundedPreceding, 0))).alias(f"{v}_until") for v in values]
+    if following:
+        out.append(F.coalesce(F.lead(order).over(own), F.col("_then")).alias(following))
+    return dealt.join(F.broadcast(base), "_part").select(*df.columns, *out)
 
 
 def numbered(df: DataFrame, order: list, name: str = "place") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import seq as S
+from readloom.operators.aggregates import numbered
 
 
 def uniform(*keys, salt: int) -> Column:
@@ -77,7 +78,7 @@ def permutation_test(graph: DataFrame, labels: DataFrame, permutations: int = 20
     observed = within(labels).select(F.col("t").alias("statistic"))
     perm = labels.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     places = perm.select("perm", "i", F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64("i", "perm", F.lit(seed)), "i")).alias("k"))
-    order = labels.select("label", F.row_number().over(Window.orderBy("i")).alias("k"))
+    order = numbered(labels.select("i", "label"), [F.col("i")], "k").select("label", "k")
     dealt = places.join(order, "k").select("perm", "i", "label")
     null = within(dealt, "perm")
     both = null.join(observed, F.lit(True))  # one row

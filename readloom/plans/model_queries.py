@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from readloom.operators import align, em, hmm, joins, pipeline, randomised, report, sampler
 from readloom.plans import adapters as A
 from readloom.plans.adapters import with_
+from readloom.plans.function_queries import AMINO
 from readloom.plans.join_queries import _compat
 from readloom.operators.state import durable
 from readloom.plans.registry import query
@@ -257,3 +258,22 @@ def k05(spark, sf):
 @query("a11_history_counts", "SELECT user_id % 9 AS wstart, event_type AS hap, count(*) AS support, round(sum(value), 6) AS reads FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2")
 def a11c(spark, sf):
     return sampler.haplotype_history(_trace(spark, sf)).select("wstart", "hap", "support", F.round("reads", 6).alias("reads"))
+
+
+LETTER = f"CASE WHEN length(replace(translate(c, 'ACGT', ''), ' ', '')) > 0 OR length(c) < 3 THEN 'X' ELSE {AMINO} END"
+
+
+@query(
+    "u25_pair_variants",
+    with_("pairs")
+    + f""", e AS (SELECT read_id, a, b, string_split(a, '') AS x, string_split(b, '') AS y, CASE WHEN length(rtrim(b, '-')) > 0 THEN length(b) - length(ltrim(b, '-')) + 1 ELSE 0 END AS first, length(rtrim(b, '-')) AS last FROM prs WHERE length(a) > 0),
+ f AS (SELECT read_id, replace(a, '-', '') AS ref, length(replace(substr(a, 1, greatest(first - 1, 0)), '-', '')) AS s,
+  array_to_string(list_transform(list_filter(range(1, length(a) + 1), lambda i: i >= first AND i <= last AND x[i] <> '-'), lambda i: CASE WHEN y[i] = '-' THEN x[i] ELSE y[i] END), '') AS f FROM e),
+ g AS (SELECT read_id, (s + (3 - s % 3) % 3) // 3 AS aa, regexp_extract_all(substr(f, (3 - s % 3) % 3 + 1), '...') AS q, regexp_extract_all(substr(ref, s + (3 - s % 3) % 3 + 1, greatest(length(f) - (3 - s % 3) % 3, 0)), '...') AS r FROM f),
+ t AS (SELECT read_id, aa, list_transform(q, lambda c: {LETTER}) AS q, list_transform(r, lambda c: {LETTER}) AS r FROM g),
+ m AS (SELECT array_to_string(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i] <> q[i] AND q[i] <> 'N'), lambda i: r[i] || CAST(i + aa AS VARCHAR) || q[i]), ',') AS signature FROM t)
+ SELECT md5(coalesce(signature, '')) AS signature, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS freq FROM m GROUP BY m.signature""",
+)
+def u25p(spark, sf):
+    p = A.pairs(spark, sf).where("length(a) > 0").select("read_id", F.col("a").alias("ref_row"), F.col("b").alias("read_row"))
+    return report.codon_variants(p).select(F.md5("signature").alias("signature"), "n", F.round("freq", 9).alias("freq"))

@@ -60,6 +60,52 @@ def test_randomness_battery(spark):
     assert sum("random" in got[1000 + i] for i in range(100)) < 5
 
 
+def plain_threshold(per, rate):
+    """Smallest bin from 1 on whose tail holds at most the wanted share of structured tokens; the random ones are twice the
+    upper half, evenly spread, and no more than all."""
+    n = len(per)
+    random_ones = min(sum(per), 2 * (sum(per[n // 2 :]) + 0.5))
+    for at in range(1, n):
+        reported = sum(per[at:])
+        if not reported or max(0.0, reported - random_ones * (n - at) / n) <= rate * reported:
+            return at
+    return n
+
+
+def test_thresholds_against_plain_version():
+    rng = random.Random(5)
+    for _ in range(40):
+        counts = {}
+        for cls in rng.sample(range(48), 6):
+            structured, random_ones = rng.randrange(0, 400), rng.randrange(0, 400)
+            for _ in range(random_ones):
+                k = (cls, rng.randrange(secrets.BINS))
+                counts[k] = counts.get(k, 0) + 1
+            for _ in range(structured):
+                k = (cls, min(secrets.BINS - 1, int(rng.expovariate(0.4))))
+                counts[k] = counts.get(k, 0) + 1
+        got = secrets.thresholds(counts, 0.05)
+        assert got == [plain_threshold([counts.get((cls, b), 0) for b in range(secrets.BINS)], 0.05) for cls in range(48)]
+
+
+def plain_candidates(text, base):
+    """Tokens that overlap no base span, each compared with all of them."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
+        if all(m.end() <= s or e <= m.start() for s, _, e in base) and secrets.encoding(m[0]) is not None:
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_candidates_against_plain_version():
+    rng = random.Random(6)
+    part = lambda: rng.choice(["token=abcdefghijklmnop ", "deadbeef" * 3, "a1B2" * 6, " x ", "AKIA" + "Z9" * 10, "password: hunter2hunter2hunter2", "q7" * 12 + ",", "secret=" + "f0" * 12])
+    for _ in range(200):
+        text = "".join(part() for _ in range(rng.randrange(0, 12)))
+        base = secrets.base_spans(text)
+        assert [(c["start"], c["end"]) for c in secrets.candidates(text, base)] == plain_candidates(text, base)
+
+
 def test_secret_awkward_rows(spark):
     got = secrets.find_secrets(messy(spark))
     assert got.count() == 10 and got.where("doc_id = 8").select(F.size("base")).first()[0] == 1

@@ -484,3 +484,15 @@ def test_whole_way_recovers_a_mixture(spark):
     share = lambda s: sum(p for p, t in top if t == s)
     assert {t for _, t in top[:2]} == {a, b}, top[:4]
     assert abs(share(a) - 0.8) < 0.05 and abs(share(b) - 0.2) < 0.05, (top[:4], lost)
+
+
+def test_clusters_must_name_a_shared_folder():
+    from types import SimpleNamespace as Space
+
+    from readloom.operators import state
+
+    jsc = Space(sc=lambda: Space(getCheckpointDir=lambda: Space(isDefined=lambda: False)))
+    conf = Space(get=lambda key: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            state.shared_folder(Space(sparkContext=Space(_jsc=jsc, getConf=lambda: conf, master=master)))

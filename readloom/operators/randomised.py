@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,22 +68,102 @@ def simulate_recombinants(spark: SparkSession, a: str, b: str, n: int, mean: flo
     return r.select("read_id", "split", F.concat(F.substring(F.lit(a), F.lit(1), F.col("split")), F.substring(F.lit(b), F.col("split") + 1, F.lit(len(b)))).alias("seq"))
 
 
-def permutation_test(graph: DataFrame, labels: DataFrame, permutations: int = 200, seed: int = 1) -> DataFrame:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64, on unsigned numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def dealt_places(place: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
+    """Where a random permutation of 0 to n - 1, named by the key, puts each of the places.
+
+    Each place is computed by itself: an alternating network over two residues whose product is n or a little more; what
+    falls beyond n goes through once more."""
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+    salts = _mixed(np.uint64(key % (1 << 64)) + np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out, todo = place.astype(np.uint64), np.arange(len(place))
+    while len(todo):
+        left, right = np.divmod(out[todo], np.uint64(b))  # below a, below b
+        for k, salt in enumerate(salts):
+            if k % 2:
+                right = (right + _mixed(left ^ salt)) % np.uint64(b)
+            else:
+                left = (left + _mixed(right ^ salt)) % np.uint64(a)
+        out[todo] = left * np.uint64(b) + right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
+PLACES = 1 << 16  # that one step of a task looks at
+
+
+def permutation_test(graph: DataFrame, labels: DataFrame, permutations: int = 200, seed: int = 1, groups: DataFrame | None = None) -> DataFrame:
     """(statistic, p_value): edges of a nearest-neighbour graph (i, j) that join equal labels, against random labellings.
 
-    A permutation deals the labels anew in the order of a hash; all permutations run as one job."""
-    from pyspark.sql import Window
-
-    def within(lab: DataFrame, *keys: str) -> DataFrame:
-        a = lab.select(*keys, F.col("i"), F.col("label").alias("la"))
-        b = lab.select(*keys, F.col("i").alias("j"), F.col("label").alias("lb"))
-        return graph.where("i < j").join(a, "i").join(b, [*keys, "j"]).groupBy(*keys).agg(F.sum((F.col("la") == F.col("lb")).cast("long")).alias("t"))
-
-    observed = within(labels).select(F.col("t").alias("statistic"))
-    perm = labels.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    places = perm.select("perm", "i", F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64("i", "perm", F.lit(seed)), "i")).alias("k"))
-    order = numbered(labels.select("i", "label"), [F.col("i")], "k").select("label", "k")
-    dealt = places.join(order, "k").select("perm", "i", "label")
-    null = within(dealt, "perm")
-    both = null.join(observed, F.lit(True))  # one row
-    return both.agg(F.max("statistic").alias("statistic"), ((F.sum((F.col("t") >= F.col("statistic")).cast("long")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+    ``groups`` (first, i): sets of nodes that are all joined with each other, of which the graph needs to hold no edges.
+    Nodes are placed in the order of their labels, and a permutation of the places is a function that each task computes for
+    the nodes it sees: no labelling is ever written down. Labels go to the tasks as the places where they begin."""
+    counts = sorted((r["label"], r["n"]) for r in labels.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect())
+    placed = numbered(labels.select("i", "label"), [F.col("label").asc_nulls_last(), F.col("i")], "k").select("i", (F.col("k") - 1).alias("k"))
+    ends, n = np.cumsum([c for _, c in counts], dtype=np.int64), labels.count()  # nodes without a label come last
+
+    def codes(k: np.ndarray, perm: int) -> np.ndarray:
+        """Labels under a permutation; 0 is the observed one."""
+        if perm:
+            k = dealt_places(k, n, (seed << 32) + perm)
+        return np.searchsorted(ends, k, side="right")
+
+    def summed(rows: dict[str, np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"perm": np.arange(permutations + 1), **rows})
+
+    def of_edges(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t, seen = np.zeros(permutations + 1, dtype=np.int64), 0
+        for pdf in parts:
+            nodes, at = np.unique(pdf[["ka", "kb"]].to_numpy(), return_inverse=True)
+            a, b = at.reshape(-1, 2).T
+            for perm in range(permutations + 1):
+                own = codes(nodes, perm)
+                t[perm] += int(((own[a] == own[b]) & (own[a] < len(ends))).sum())
+            seen += len(pdf)
+        if seen:
+            yield summed({"t": t, "edges": seen})
+
+    def of_groups(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t, seen = np.zeros(permutations + 1, dtype=np.int64), 0
+
+        def add(held: list[np.ndarray]) -> None:
+            group, k = np.repeat(np.arange(len(held)), [len(h) for h in held]), np.concatenate(held)
+            for perm in range(permutations + 1):
+                own = codes(k, perm)
+                of = (group * (len(ends) + 1) + own)[own < len(ends)]
+                same = np.unique(of, return_counts=True)[1]
+                t[perm] += int((same * (same - 1) // 2).sum())
+
+        held, size = [], 0
+        for pdf in parts:
+            for ks in pdf["ks"]:
+                held.append(np.asarray(ks, dtype=np.int64))
+                size, seen = size + len(ks), seen + len(ks) * (len(ks) - 1) // 2
+                if size >= PLACES:
+                    add(held)
+                    held, size = [], 0
+        if held:
+            add(held)
+        if seen:
+            yield summed({"t": t, "edges": seen})
+
+    out = "perm long, t long, edges long"
+    ends_of = lambda c, k: placed.select(F.col("i").alias(c), F.col("k").alias(k))
+    both = graph.where("i < j").select("i", "j").join(ends_of("i", "ka"), "i").join(ends_of("j", "kb"), "j").select("ka", "kb")
+    sums = both.mapInPandas(of_edges, out)
+    if groups is not None:
+        members = groups.select("first", "i").join(placed, "i").groupBy("first").agg(F.collect_list("k").alias("ks"))
+        sums = sums.unionByName(members.where(F.size("ks") > 1).mapInPandas(of_groups, out))
+    total = sums.groupBy("perm").agg(F.sum("t").alias("t"))
+    observed = F.max(F.when(F.col("perm") == 0, F.col("t")))
+    held = F.collect_list(F.when(F.col("perm") > 0, F.col("t")))  # one number for each permutation
+    one = total.agg(observed.alias("statistic"), held.alias("null"))
+    reached = F.size(F.filter("null", lambda t: t >= F.col("statistic")))
+    return one.select("statistic", F.when(F.col("statistic").isNotNull(), (reached + 1) / (F.size("null") + 1)).alias("p_value"))

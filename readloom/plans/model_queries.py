@@ -184,7 +184,8 @@ def u30(spark, sf):
 def a33(spark, sf):
     p = A.table(spark, sf, "part")
     s = p.select(F.col("p_partkey").alias("i"), F.array("p_type", F.col("p_size").cast("string"), F.floor(F.col("p_retailprice") / 50).cast("string")).alias("obs"))
-    return randomised.permutation_test(joins.nearest_graph(s, 3), p.select(F.col("p_partkey").alias("i"), F.col("p_brand").alias("label")), 200)
+    groups, edges = joins.nearest_groups(s, 3)
+    return randomised.permutation_test(edges, p.select(F.col("p_partkey").alias("i"), F.col("p_brand").alias("label")), 200, groups=groups)
 
 
 @query("f10_resolve_ambiguous")

@@ -496,3 +496,48 @@ def test_clusters_must_name_a_shared_folder():
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(RuntimeError):
             state.shared_folder(Space(sparkContext=Space(_jsc=jsc, getConf=lambda: conf, master=master)))
+
+
+def test_nearest_groups_are_the_nearest_graph(spark):
+    rng = random.Random(16)
+    df = spark.createDataFrame([(i, [rng.choice("abcd"), rng.choice("abcdef"), rng.choice(["x", "y", None])]) for i in range(50)] + [(99, ["q", "r", "s"])], "i long, obs array<string>")
+    groups, edges = joins.nearest_groups(df, 3)
+    held = {}
+    for first, i in groups.collect():
+        held.setdefault(first, set()).add(i)
+    inside = {p for g in held.values() for p in itertools.permutations(g, 2)}
+    outside = {tuple(r) for r in edges.collect()}
+    assert inside and outside and not inside & outside and all(first == min(g) for first, g in held.items())
+    assert inside | outside == {tuple(r) for r in joins.nearest_graph(df, 3).collect()}
+
+
+def test_permuted_places_are_even_and_need_no_labellings(spark):
+    for n in (1, 2, 5, 16, 17, 1000):
+        assert sorted(randomised.dealt_places(np.arange(n), n, 7)) == list(range(n))
+    seen = np.zeros((5, 5))
+    pairs = np.zeros((5, 5))
+    for key in range(5000):
+        p = randomised.dealt_places(np.arange(5), 5, key)
+        seen[np.arange(5), p] += 1
+        pairs[p[0], p[3]] += 1
+    assert abs(seen / 1000 - 1).max() < 0.15 and abs(pairs[~np.eye(5, dtype=bool)] / 250 - 1).max() < 0.3
+    rng = random.Random(3)
+    nodes = spark.createDataFrame([(i, [i // 8], rng.choice(["a", "b", "c", None])) for i in range(64)], "i long, obs array<long>, label string")
+    groups, edges = joins.nearest_groups(nodes, 1)
+    graph, labels = joins.nearest_graph(nodes, 1), nodes.select("i", "label")
+    label = {r["i"]: r["label"] for r in labels.collect()}
+    whole, parts = (randomised.permutation_test(g, labels, 300, groups=h) for g, h in ((graph, None), (edges, groups)))
+    plan = whole._jdf.queryExecution().analyzed().toString()
+    assert "explode" not in plan.lower()
+    got = whole.first()
+    assert got == parts.first()
+    pairs = [(i, j) for i in range(64) for j in range(i + 1, 64) if i // 8 == j // 8]
+    stat = lambda lab: sum(lab[i] is not None and lab[i] == lab[j] for i, j in pairs)
+    assert got["statistic"] == stat(label)
+    null = []
+    for _ in range(2000):
+        v = list(label.values())
+        rng.shuffle(v)
+        null.append(stat(dict(zip(label, v))))
+    assert abs(got["p_value"] - np.mean([t >= got["statistic"] for t in null])) < 0.12
+    assert randomised.permutation_test(graph.limit(0), labels, 10).first()["p_value"] is None

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import string
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +21,52 @@ LEAST = 30
 LINES = 10_000_000  # of a text; more would give two lines one id
 
 
+_OWN = string.ascii_letters.encode()
+TABLE = bytes.maketrans(_OWN, "".join(A.FOUR[A.LETTERS.index(c.upper())] for c in string.ascii_letters).encode())
+OTHERS = bytes(c for c in range(256) if c not in _OWN)  # A.letters(text, "", A.FOUR) is encode().translate(TABLE, OTHERS)
+
+
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """Batches cut into a few rows each: Python holds the texts of no more at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two successive lines of a text as one read, at the place of the first one among the text's letters."""
-    docs = A.spread(A.table(spark, sf_dir, "documents").select("doc_id", "text")).where("text is not null")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw")).select("doc_id", "i", A.letters(F.col("raw"), "", A.FOUR).alias("s"))
-    w = Window.partitionBy("doc_id").orderBy("i")
-    at = F.coalesce(F.sum(F.length("s")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ident = F.when(F.col("i") < LINES, F.col("doc_id") * LINES + F.col("i")).otherwise(F.raise_error(F.lit("a text has too many lines")).cast("long"))
-    both = lines.select(ident.alias("read_id"), at.cast("int").alias("start"), F.concat("s", F.coalesce(F.lead("s").over(w), F.lit(""))).alias("seq"))
-    return both.where("length(seq) > 0").withColumn("len", F.length("seq")).withColumn("stop", F.col("start") + F.col("len") - 1)
+    """Two successive lines of a text as one read, at the place of the first one among the text's letters.
+
+    A text makes its reads by itself, so that they can be made again wherever they are looked at."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+            ids, starts, seqs = zip(*rows)
+            sizes = [len(s) for s in seqs]
+            stops = [a + n - 1 for a, n in zip(starts, sizes)]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(seqs, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), pa.array(stops, pa.int32())], ["read_id", "start", "seq", "len", "stop"])
+
+        for batch in _few(batches):
+            rows, size = [], 0
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                lines = [x.translate(TABLE, OTHERS) for x in text.encode().split(b"\n")]
+                if len(lines) > LINES:
+                    raise ValueError("a text has too many lines")
+                at = 0
+                for i, x in enumerate(lines):
+                    both = x + lines[i + 1] if i + 1 < len(lines) else x
+                    if both:
+                        rows.append((doc * LINES + i, at, both))
+                        size += len(both)
+                    at += len(x)
+                if size > 1 << 20:
+                    yield out(rows)
+                    rows, size = [], 0
+            if rows:
+                yield out(rows)
+
+    docs = A.spread(A.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")).where("text is not null and doc_id is not null")
+    return docs.mapInArrow(run, "read_id long, start int, seq string, len int, stop int")
 
 
 FRAGMENTS = f"""ln AS (SELECT doc_id, i - 1 AS i, translate(upper(regexp_replace(ls[i], '[^A-Za-z]', '', 'g')), '{A.LETTERS}', '{A.FOUR}') AS s FROM
@@ -55,7 +96,7 @@ def j01(spark, sf):
  SELECT read_id FROM k""",
 )
 def j02(spark, sf):
-    return joins.remove_contained(durable(fragments(spark, sf))).select("read_id")
+    return joins.remove_contained(fragments(spark, sf)).select("read_id")
 
 
 @query(
@@ -74,12 +115,19 @@ WHOLE = f"hp AS (SELECT read_id AS hap_id, seq FROM (SELECT doc_id AS read_id, {
 
 def _whole(spark, sf):
     """All letters of each text, as haplotypes."""
-    return A.reads(spark, sf).select(F.col("read_id").alias("hap_id"), "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            seqs = [t.encode().translate(TABLE, OTHERS) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("hap_id"), pa.array(seqs, pa.binary()).cast(pa.string())], ["hap_id", "seq"])
+
+    docs = A.spread(A.table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("hap_id"), "text"))
+    return docs.where("text is not null").mapInArrow(run, "hap_id long, seq string").where("length(seq) > 0")
 
 
 @query("j04_compatibility", "WITH " + FRAGMENTS + ", " + WHOLE + " SELECT read_id, hap_id FROM fr JOIN hp ON substr(hp.seq, fr.start + 1, least(16, fr.len)) = substr(fr.seq, 1, 16) AND length(hp.seq) > fr.stop WHERE substr(hp.seq, fr.start + 1, fr.len) = fr.seq")
 def j04(spark, sf):
-    return joins.compatible(durable(fragments(spark, sf)), _whole(spark, sf))
+    return joins.compatible(fragments(spark, sf), _whole(spark, sf))
 
 
 @query("j05_lock_step", "SELECT a.doc_id AS read_id, length(b.text) AS forward, length(a.text) - length(replace(a.text, 'a', '')) AS backward FROM documents a JOIN documents b USING (doc_id)")
@@ -91,8 +139,9 @@ def j05(spark, sf):
 
 @query("j07_unexplained", "WITH " + FRAGMENTS + ", " + WHOLE + ", ok AS (SELECT DISTINCT read_id FROM fr JOIN hp ON hap_id % 2 = 0 AND substr(hp.seq, fr.start + 1, least(16, fr.len)) = substr(fr.seq, 1, 16) AND substr(hp.seq, fr.start + 1, fr.len) = fr.seq) SELECT count(*) AS lost FROM fr WHERE read_id NOT IN (SELECT read_id FROM ok)")
 def j07(spark, sf):
-    f = durable(fragments(spark, sf))
-    return em.explained(f, durable(joins.compatible(f, _whole(spark, sf).where("hap_id % 2 = 0"))))[1]  # some haplotypes only, so that reads are lost
+    f = fragments(spark, sf)
+    members, held = joins.compatible_classes(f, _whole(spark, sf).where("hap_id % 2 = 0"))  # some haplotypes only, so that reads are lost
+    return em.explained(f.select("read_id"), members.join(held.select("first").distinct(), "first", "left_semi"))[1]
 
 
 @query("j10_paired_ends", with_("reads") + "SELECT CAST(read_id AS VARCHAR) AS read_id, md5(substr(seq, 1, len // 2)) AS first, md5(substr(seq, len // 2 + 1)) AS second FROM reads")

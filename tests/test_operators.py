@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import seq as S
-from readloom.operators import aggregates, align, em, filters, graph, hmm, joins, pipeline, randomised, report, sampler
+from readloom.operators import aggregates, align, em, filters, graph, hmm, joins, pipeline, places, randomised, report, sampler
 
 
 def reads_of(spark, rows):
@@ -541,3 +541,29 @@ def test_permuted_places_are_even_and_need_no_labellings(spark):
         null.append(stat(dict(zip(label, v))))
     assert abs(got["p_value"] - np.mean([t >= got["statistic"] for t in null])) < 0.12
     assert randomised.permutation_test(graph.limit(0), labels, 10).first()["p_value"] is None
+
+
+def test_texts_meet_at_places_by_brute_force(spark):
+    rng = random.Random(21)
+    genome = [letters(rng, 700) for _ in range(3)]
+    haps = [(i, "".join(rng.choice(genome)[a : a + 50] for a in range(0, rng.choice([100, 700, 650]), 50))) for i in range(20)] + [(90, genome[0]), (91, ""), (92, genome[0])]
+    cut = lambda g, a, n: (a, g[a : a + n])
+    reads = [cut(rng.choice(genome), rng.randrange(690), rng.choice([1, 2, 7, 15, 16, 17, 31, 40, 100, 513, 700])) for _ in range(150)]
+    reads += reads[:20] + [(3, genome[1][3:60] + "A"), (699, "AC")]
+    df = reads_of(spark, [(i, a, s) for i, (a, s) in enumerate(reads)])
+    hp = spark.createDataFrame(haps, "hap_id long, seq string")
+    want = {(i, h) for i, (a, s) in enumerate(reads) for h, t in haps if t[a : a + len(s)] == s}
+    members, held = joins.compatible_classes(df, hp)
+    first = {r["read_id"]: r["first"] for r in members.collect()}
+    assert {i: min(j for j, other in enumerate(reads) if other == r) for i, r in enumerate(reads)} == first
+    pairs = [tuple(r) for r in held.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(i, h) for i, h in want if first[i] == i}  # copies are not paired
+    got = [tuple(r) for r in joins.compatible(df, hp).collect()]
+    assert len(got) == len(want) and set(got) == want and len(want) > 200
+
+
+def test_filters_hold_all_and_few_others(spark):
+    df = spark.range(20000).select(F.xxhash64("id").alias("h"))
+    f = places.Filter(df, 20000)
+    inside, outside = (np.array([r[0] for r in d.collect()], dtype=np.int64).view(np.uint64) for d in (df, spark.range(20000).select(F.xxhash64("id", F.lit(1)))))
+    assert len(f.held(inside)) == 20000 and len(f.held(outside)) < 100

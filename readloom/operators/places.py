@@ -23,20 +23,17 @@ _OF_BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE, _PLACE, _SIZE = (int(x) | 1 for x in _RNG.integers(0, 1 << 64, 3, dtype=np.uint64))
 
 
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(_BASE, n, 1 << 64))
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _rolling(c: np.ndarray, k: int, held: dict[int, np.ndarray]) -> np.ndarray:
-    """A hash of k letters from every place on that has as many."""
-    if k not in held:
-        if k == 1:
-            held[k] = c
-        else:
-            half, n = _rolling(c, k // 2, held), len(c) - k + 1
-            out = half[: len(half) - k // 2] * _power(k // 2) + half[k // 2 :]
-            held[k] = out[:n] * np.uint64(_BASE) + c[k - 1 :] if k % 2 else out
-    return held[k]
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, dtype=np.uint64))])
+
+
+def _lead(k: int) -> int:
+    """So many first letters of texts that meet by k letters are looked for at every place; the rest only where they stand."""
+    return 16 if k >= 16 else 4 if k >= 4 else 1
 
 
 def _at(place: np.ndarray) -> np.ndarray:
@@ -86,31 +83,34 @@ def lengths(texts: DataFrame) -> list[int]:
 
 
 def keyed(texts: DataFrame, sizes: list[int], digest: bool = True) -> DataFrame:
-    """(read_id, start, n, key, digest) of texts (read_id, start, seq): a hash of the place and the first letters, as many as
-    the largest of the sizes that the text has; its length; 128 bits of the whole text."""
+    """(read_id, start, n, key, lead, digest) of texts (read_id, start, seq): a hash of the place and the first letters, as many as
+    the largest of the sizes that the text has, and one of the first few of those; its length; 128 bits of the whole text."""
     kind = texts.schema["read_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _powers(_BASE, max(sizes, default=1))
         for batch in _released(batches):
             data, offsets = _texts(batch.column("seq"))
             starts = batch.column("start").to_numpy()
             for lo, hi in _pieces(offsets):
                 o, start = offsets[lo : hi + 1], starts[lo:hi]
                 n = np.diff(o)
-                key, at = np.zeros(hi - lo, dtype=np.uint64), np.searchsorted(sizes, n, side="right") - 1
+                key, lead, at = np.zeros(hi - lo, dtype=np.uint64), np.zeros(hi - lo, dtype=np.uint64), np.searchsorted(sizes, n, side="right") - 1
                 for j, k in enumerate(sizes):
                     own = np.flatnonzero(at == j)
                     step = max(1, LETTERS // k)
                     for some in (own[i : i + step] for i in range(0, len(own), step)):
                         first = _OF_BYTE[data[o[some][:, None] + np.arange(k)]]
-                        key[some] = _key((first * np.array([_power(k - 1 - i) for i in range(k)])).sum(axis=1, dtype=np.uint64), _at(start[some]), k)
+                        first *= powers[:k]
+                        key[some] = _key(first.sum(axis=1, dtype=np.uint64), _at(start[some]), k)
+                        lead[some] = _key(first[:, : _lead(k)].sum(axis=1, dtype=np.uint64), _at(start[some]), -_lead(k))
                 view = memoryview(data)
                 whole = [blake2b(view[a:b], digest_size=16).digest() if digest else b"" for a, b in zip(o[:-1].tolist(), o[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column("read_id")[lo:hi], pa.array(start), pa.array(n), pa.array(key.view(np.int64)), pa.array(whole, pa.binary())], ["read_id", "start", "n", "key", "digest"])
+                yield pa.RecordBatch.from_arrays([batch.column("read_id")[lo:hi], pa.array(start), pa.array(n), pa.array(key.view(np.int64)), pa.array(lead.view(np.int64)), pa.array(whole, pa.binary())], ["read_id", "start", "n", "key", "lead", "digest"])
 
     least = sizes[0] if sizes else 1
     own = texts.where(F.octet_length("seq") >= least).select("read_id", F.col("start").cast("long").alias("start"), "seq")
-    return own.mapInArrow(run, f"read_id {kind}, start long, n long, key long, digest binary")
+    return own.mapInArrow(run, f"read_id {kind}, start long, n long, key long, lead long, digest binary")
 
 
 class Filter:
@@ -150,33 +150,39 @@ def only(texts: DataFrame, ids: Filter) -> DataFrame:
 
 def stands(covers: DataFrame, sizes: list[int], keys: Filter) -> DataFrame:
     """(read_id, start, stop, place, key) of texts (read_id, start, seq): the places from which on the letters may have one of
-    the keys, for each of the sizes."""
+    the keys, for each of the sizes. The filter holds the leads, too.
+
+    Sums of letters times powers of a base give the hash of any stretch of letters by two of them."""
     kind = covers.schema["read_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, inverse = _powers(_BASE, LETTERS), _powers(_INVERSE, LETTERS)
         for batch in _released(batches):
             data, offsets = _texts(batch.column("seq"))
             starts = batch.column("start").to_numpy()
             for lo, hi in _pieces(offsets):
                 o = offsets[lo : hi + 1] - offsets[lo]
-                n = np.diff(o)
-                letters = _OF_BYTE[data[offsets[lo] : offsets[hi]]]
+                n, total = np.diff(o), int(o[-1])
+                if total >= len(powers):
+                    powers, inverse = _powers(_BASE, 2 * total), _powers(_INVERSE, 2 * total)
+                sums = np.zeros(total + 1, dtype=np.uint64)
+                np.cumsum(_OF_BYTE[data[offsets[lo] : offsets[hi]]] * powers[:total], out=sums[1:])
                 row = np.repeat(np.arange(hi - lo), n)
-                inside = np.arange(len(letters)) - o[row]
-                place, left = starts[lo:hi][row] + inside, n[row] - inside
-                at = _at(place)
-                held: dict[int, np.ndarray] = {}
-                for k in sizes:
-                    if len(letters) < k:
+                place = np.arange(total) + (starts[lo:hi] - o[:-1])[row]
+                at, ends = _at(place), o[1:][row]
+                for lead in sorted({_lead(k) for k in sizes}):
+                    m = total - lead + 1
+                    if m < 1:
                         break
-                    h = _rolling(letters, k, held)
-                    key = _key(h, at[: len(h)], k)
-                    hit = keys.held(key)
-                    hit = hit[left[hit] >= k]
-                    if len(hit):
-                        r = row[hit]
-                        s = starts[lo:hi][r]
-                        yield pa.RecordBatch.from_arrays([batch.column("read_id").take(pa.array(lo + r)), pa.array(s), pa.array(s + n[r] - 1), pa.array(place[hit]), pa.array(key[hit].view(np.int64))], ["read_id", "start", "stop", "place", "key"])
+                    some = keys.held(_key((sums[lead:] - sums[:m]) * inverse[:m], at[:m], -lead))
+                    for k in (k for k in sizes if _lead(k) == lead):
+                        own = some[some + k <= ends[some]]
+                        key = _key((sums[own + k] - sums[own]) * inverse[own], at[own], k)
+                        hit = keys.held(key)
+                        if len(hit):
+                            r = row[own[hit]]
+                            s = starts[lo:hi][r]
+                            yield pa.RecordBatch.from_arrays([batch.column("read_id").take(pa.array(lo + r)), pa.array(s), pa.array(s + n[r] - 1), pa.array(place[own[hit]]), pa.array(key[hit].view(np.int64))], ["read_id", "start", "stop", "place", "key"])
 
     own = covers.where(F.octet_length("seq") > 0).select("read_id", F.col("start").cast("long").alias("start"), "seq")
     return own.mapInArrow(run, f"read_id {kind}, start long, stop long, place long, key long")

@@ -567,3 +567,15 @@ def test_filters_hold_all_and_few_others(spark):
     f = places.Filter(df, 20000)
     inside, outside = (np.array([r[0] for r in d.collect()], dtype=np.int64).view(np.uint64) for d in (df, spark.range(20000).select(F.xxhash64("id", F.lit(1)))))
     assert len(f.held(inside)) == 20000 and len(f.held(outside)) < 100
+
+
+def test_memory_of_a_window_grows_with_its_reads(spark):
+    import tracemalloc
+
+    rng = random.Random(9)
+    seqs = sorted({letters(rng, 60) for _ in range(3000)})
+    tracemalloc.start()
+    got = sampler.sample_window(seqs, [1] * len(seqs), iterations=1, seed=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got["reads"]) == len(seqs) and peak < 40e6  # reads times clusters are 72 MB

@@ -159,6 +159,16 @@ def test_msa_pad_and_merge(spark):
     assert merged == {1: "ACGT", 2: "A-GT", 3: "ACGA", 4: "ACGT"}
 
 
+def test_msa_without_moving_letters(spark):
+    pairs = spark.createDataFrame([(1, "--AC", "TGAC"), (2, "AC", "A\u00fc"), (3, "--", "GT"), (4, "", ""), (5, None, None), (6, "A-C-", "AT")], "read_id long, ref_row string, read_row string")
+    padded, merged = align.propagate_gaps(pairs), align.propagate_gaps(pairs, pad=False)
+    assert {r["read_id"]: r["row"] for r in padded.collect()} == {1: "TGA-C-", 2: "--A-\u00fc-", 3: "GT", 4: "--", 5: "--", 6: "--AT-"}
+    assert {r["read_id"]: r["row"] for r in merged.collect()} == {1: "AC", 2: "A\u00fc", 3: "", 6: "A"}
+    for rows in (padded, merged):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Generate" not in plan  # no row for each letter
+
+
 def test_em(spark):
     compat = spark.createDataFrame([(i, h, 1) for i, hs in enumerate([(1,), (1,), (1, 2), (2,), (1, 2), (1,)]) for h in hs], "read_id long, hap_id long, n int")
     a = {1: 0, 2: 0}

@@ -138,14 +138,19 @@ class Filter:
         return at
 
 
-def only(texts: DataFrame, ids: Filter) -> DataFrame:
-    """Rows whose read_id, by xxhash64, may be in the filter."""
+def having(rows: DataFrame, column: str, hashes: Filter) -> DataFrame:
+    """Rows whose hash in that column (long) may be in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.drop_columns(["_hash"]).take(pa.array(ids.held(batch.column("_hash").to_numpy().view(np.uint64))))
+            yield batch.take(pa.array(hashes.held(batch.column(column).to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(run, rows.schema)
 
-    return texts.withColumn("_hash", F.xxhash64("read_id")).mapInArrow(run, texts.schema)
+
+def only(texts: DataFrame, ids: Filter) -> DataFrame:
+    """Rows whose read_id, by xxhash64, may be in the filter."""
+    return having(texts.withColumn("_hash", F.xxhash64("read_id")), "_hash", ids).drop("_hash")
 
 
 def stands(covers: DataFrame, sizes: list[int], keys: Filter) -> DataFrame:

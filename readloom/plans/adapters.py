@@ -7,6 +7,10 @@
 
 from __future__ import annotations
 
+import string
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,17 +36,38 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+_OWN = string.ascii_letters.encode()
+TABLE = bytes.maketrans(_OWN, "".join(FOUR[LETTERS.index(c.upper())] for c in string.ascii_letters).encode())
+OTHERS = bytes(c for c in range(256) if c not in _OWN)  # letters(text, "", FOUR) is encode().translate(TABLE, OTHERS)
+_GAPS = bytes(c if c in _OWN else ord("-") for c in range(256))
+ROW_TABLE = _GAPS.translate(bytes.maketrans(_OWN, "".join(FIVE[LETTERS.index(c.upper())] for c in string.ascii_letters).encode()))
+INNER = bytes(range(0x80, 0xC0))  # bytes of a letter after its first; letters(text, "-", FIVE) is encode().translate(ROW_TABLE, INNER)
+
+
+def _mapped(docs: DataFrame, table: bytes, drop: bytes) -> DataFrame:
+    """``docs`` with seq made of its text, by bytes: columns would do it letter by letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                some = batch.slice(lo, 500)
+                seqs = [t.translate(table, drop) for t in some.column("seq").cast(pa.binary()).to_pylist()]
+                yield some.set_column(some.schema.get_field_index("seq"), "seq", pa.array(seqs, pa.binary()).cast(pa.string()))
+
+    own = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumnRenamed("text", "seq")
+    return own.mapInArrow(run, own.schema)
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, start, seq, len, stop), interval 0-based inclusive; only reads with letters."""
-    seq = letters(F.col("text"), "", FOUR)
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("read_id"), (F.col("doc_id") % SPREAD).cast("int").alias("start"), seq.alias("seq"))
-    return docs.where("length(seq) > 0").select("*", F.length("seq").alias("len")).withColumn("stop", F.col("start") + F.col("len") - 1)
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), (F.col("doc_id") % SPREAD).cast("int").alias("start"), "text"))
+    return _mapped(docs, TABLE, OTHERS).where("length(seq) > 0").select("*", F.length("seq").alias("len")).withColumn("stop", F.col("start") + F.col("len") - 1)
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, lang, source, seq) over ACGT-N."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return docs.select(F.col("doc_id").alias("read_id"), "lang", "source", letters(F.col("text"), "-", FIVE).alias("seq"))
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), "lang", "source", "text"))
+    return _mapped(docs, ROW_TABLE, INNER)
 
 
 def bases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,11 +20,6 @@ LEAST = 30
 LINES = 10_000_000  # of a text; more would give two lines one id
 
 
-_OWN = string.ascii_letters.encode()
-TABLE = bytes.maketrans(_OWN, "".join(A.FOUR[A.LETTERS.index(c.upper())] for c in string.ascii_letters).encode())
-OTHERS = bytes(c for c in range(256) if c not in _OWN)  # A.letters(text, "", A.FOUR) is encode().translate(TABLE, OTHERS)
-
-
 def _few(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
     """Batches cut into a few rows each: Python holds the texts of no more at a time."""
     for batch in batches:
@@ -49,7 +43,7 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in _few(batches):
             rows, size = [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                lines = [x.translate(TABLE, OTHERS) for x in text.encode().split(b"\n")]
+                lines = [x.translate(A.TABLE, A.OTHERS) for x in text.encode().split(b"\n")]
                 if len(lines) > LINES:
                     raise ValueError("a text has too many lines")
                 at = 0
@@ -118,7 +112,7 @@ def _whole(spark, sf):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
-            seqs = [t.encode().translate(TABLE, OTHERS) for t in batch.column("text").to_pylist()]
+            seqs = [t.encode().translate(A.TABLE, A.OTHERS) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("hap_id"), pa.array(seqs, pa.binary()).cast(pa.string())], ["hap_id", "seq"])
 
     docs = A.spread(A.table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("hap_id"), "text"))
@@ -164,11 +158,7 @@ WINDOWED = """w AS (SELECT 1 + m * 67 AS wstart FROM range(0, (SELECT CAST(max(s
  WHERE substr(h.s, CAST(greatest(h.a, x.a) + 1 AS BIGINT), CAST(least(h.b, x.b) - greatest(h.a, x.a) AS BIGINT)) = substr(x.s, CAST(greatest(h.a, x.a) + 1 AS BIGINT), CAST(least(h.b, x.b) - greatest(h.a, x.a) AS BIGINT)) GROUP BY ALL""",
 )
 def j11(spark, sf):
-    w = durable(joins.windowed_reads(A.reads(spark, sf), 201, 3))
-    haps = w.groupBy("wstart", F.col("wseq").alias("seq")).agg(F.min("read_id").alias("hap_id"))
-    names = haps.select("wstart", F.col("hap_id"), F.struct("wstart", "hap_id").alias("k"), "seq")
-    got = joins.equal_but_missing(w.select("wstart", "read_id", F.col("wseq").alias("seq")), names.select("wstart", F.col("k").alias("hap_id"), "seq"))
-    return got.groupBy("hap_id").agg(F.count(F.lit(1)).alias("support")).select(F.col("hap_id.wstart").alias("wstart"), F.col("hap_id.hap_id").alias("hap_id"), "support")
+    return joins.haplotype_support(joins.windowed_reads(A.reads(spark, sf), 201, 3))
 
 
 @query(

@@ -380,6 +380,32 @@ def test_nearest_neighbours_by_brute_force(spark):
     assert {tuple(r) for r in m.collect()} == {(1, 1, 0), (1, 2, 1), (2, 1, 1), (2, 2, 0)}
 
 
+def test_haplotype_support_by_brute_force(spark):
+    rng = random.Random(12)
+    base = ["".join(rng.choice("ACGT") for _ in range(70)) for _ in range(3)]
+    rows = []
+    for i in range(80):
+        s = list(rng.choice(base))
+        for k in rng.sample(range(70), rng.choice((0, 0, 0, 1, 3, 40))):
+            s[k] = "N"
+        rows.append((rng.choice((1, 68)), i, "".join(s)))
+    rows += [(1, 100, "N" * 70), (68, 101, base[0]), (68, 102, base[0]), (1, 103, base[0][:69])]
+    fits = lambda a, b: len(a) == len(b) and all(x == y or "N" in (x, y) for x, y in zip(a, b))
+    first = {}
+    for w, i, s in rows:
+        first[w, s] = min(i, first.get((w, s), i))
+    want = {(w, i, sum(v == w and fits(s, t) for v, _, t in rows)) for (w, s), i in first.items()}
+    got = joins.haplotype_support(spark.createDataFrame(rows, "wstart long, read_id long, wseq string"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_windows_are_cut_without_walking(spark):
+    rows = [(1, 0, 3, "ACGT"), (2, 2, 13, "ACGTACGTACGT"), (3, 5, None, "AC"), (4, 7, 8, "AC")]
+    got = joins.windowed_reads(spark.createDataFrame(rows, "read_id long, start int, stop int, seq string"), 6, 3, 0.5)
+    assert {(r["wstart"], r["wend"], r["read_id"], r["wseq"]) for r in got.collect()} == {(1, 6, 1, "ACGTNN"), (1, 6, 2, "NNACGT")} | {(w, w + 5, 2, ("ACGTACGTACGT"[w - 3 : w + 3]).ljust(6, "N")) for w in (3, 5, 7, 9, 11)}
+    assert "substring" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_equal_up_to_missing_by_brute_force(spark):
     rng = random.Random(7)
     base = [letters(rng, 70) for _ in range(4)]

@@ -380,6 +380,24 @@ def test_nearest_neighbours_by_brute_force(spark):
     assert {tuple(r) for r in m.collect()} == {(1, 1, 0), (1, 2, 1), (2, 1, 1), (2, 2, 0)}
 
 
+def test_votes_are_counted_in_their_read(spark):
+    rng = random.Random(13)
+    reads = [(i, rng.randrange(4), rng.randrange(8, 20)) for i in range(20)]
+    rows = [(w, "read", i, "".join(rng.choice("ACGT-NN") for _ in range(9)), rng.choice((0.5, 0.9))) for i, _, _ in reads[:18] for w in (1, 4, 7, 10)]
+    want = set()
+    for i, a, b in reads:
+        text = ""
+        for p in range(a, b + 1):
+            said = [h[p - w + 1] for w, _, j, h, q in rows if j == i and q > 0.8 and 0 <= p - w + 1 < 9 and h[p - w + 1] != "N"]
+            text += min(said, key=lambda c: (-said.count(c), c)) if said else "X"
+        inner = text.strip("X")
+        if inner and inner.count("X") <= 2:
+            want.add((i, a + len(text) - len(text.lstrip("X")), inner))
+    got = sampler.correct_reads(spark.createDataFrame(reads, "read_id long, start int, stop int"), spark.createDataFrame(rows, "wstart long, kind string, read_id long, hap string, posterior double"), most_uncovered=2)
+    assert want and {tuple(r) for r in got.collect()} == want
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # no row for each letter
+
+
 def test_haplotype_support_by_brute_force(spark):
     rng = random.Random(12)
     base = ["".join(rng.choice("ACGT") for _ in range(70)) for _ in range(3)]

@@ -398,6 +398,26 @@ def test_votes_are_counted_in_their_read(spark):
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # no row for each letter
 
 
+def test_merges_up_to_missing_by_brute_force(spark):
+    rng = random.Random(14)
+    base = ["".join(rng.choice("ACGT") for _ in range(70)) for _ in range(3)]
+    rows = []
+    for i in rng.sample(range(1000), 120):
+        s = list(rng.choice(base))
+        for k in rng.sample(range(70), rng.choice((0, 0, 1, 3, 30))):
+            s[k] = rng.choice("NNNNA")
+        rows.append((rng.choice((1, 68)), i, "".join(s)))
+    rows += [(1, 2000, "N" * 70), (68, 2001, base[0]), (68, 2002, base[0]), (1, 2003, base[0][:69])]
+    want, kept = set(), []
+    for w, i, s in sorted(rows, key=lambda r: r[1]):
+        into = next((j for v, j, t in kept if v == w and len(s) == len(t) and all(x == y or "N" in (x, y) for x, y in zip(s, t))), i)
+        want.add((i, into))
+        if into == i:
+            kept.append((w, i, s))
+    got = report.merge_missing(spark.createDataFrame(rows, "wstart long, hap_id long, seq string"))
+    assert len(kept) < 100 and {tuple(r) for r in got.collect()} == want
+
+
 def test_haplotype_support_by_brute_force(spark):
     rng = random.Random(12)
     base = ["".join(rng.choice("ACGT") for _ in range(70)) for _ in range(3)]

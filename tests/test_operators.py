@@ -418,6 +418,28 @@ def test_merges_up_to_missing_by_brute_force(spark):
     assert len(kept) < 100 and {tuple(r) for r in got.collect()} == want
 
 
+def test_windowed_clones_by_brute_force(spark, monkeypatch):
+    rng = random.Random(15)
+    text = lambda: "".join(rng.choice("ACGTN-") for _ in range(rng.choice((8, 8, 6))))
+    haps = [(w, t, float(rng.randrange(1, 5))) for w in (1, 4, 7) for t in {text() for _ in range(40)} | {"N" * 8}]
+    clones = [(w, f"c{k}", text()) for w in (1, 4) for k in range(12)]
+    want = {}
+    for w, h, n in haps:
+        found = []
+        for v, name, c in clones:
+            if v == w:
+                both = [(x, y) for x, y in zip(h, c) if "N" not in (x, y)]
+                found.append((sum(x != y for x, y in both) / len(both) if both else 100.0, name))
+        if found and min(found)[0] <= 0.5:
+            want[w, min(found)[1]] = want.get((w, min(found)[1]), 0.0) + n
+    h, c = spark.createDataFrame(haps, "wstart long, hap string, freq double"), spark.createDataFrame(clones, "wstart long, clone string, cseq string")
+    got = report.windowed_clones(h, c, 0.5)
+    assert {(r[0], r[1]): r[2] for r in got.collect()} == want
+    assert "MapInPandas" in got._jdf.queryExecution().executedPlan().toString()  # no row for each pair
+    monkeypatch.setattr(report, "MOST_CLONES", 3)
+    assert {(r[0], r[1]): r[2] for r in report.windowed_clones(h, c, 0.5).collect()} == want
+
+
 def test_haplotype_support_by_brute_force(spark):
     rng = random.Random(12)
     base = ["".join(rng.choice("ACGT") for _ in range(70)) for _ in range(3)]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import seq as S
-from readloom.operators import aggregates, align, em, filters, graph, hmm, joins, pipeline, places, randomised, report, sampler
+from readloom.operators import aggregates, align, em, filters, graph, hmm, joins, lanes, pipeline, places, randomised, report, sampler
 
 
 def reads_of(spark, rows):
@@ -151,6 +151,27 @@ def test_alignment_scores():
     assert align.profile_scores(profile, "AC").tolist() == [[4, -4], [-4, 0]]
 
 
+def test_both_strands_of_many_texts_at_once(monkeypatch):
+    rng = random.Random(8)
+    one, asked = align.align, []
+    monkeypatch.setattr(align, "align", lambda *a: asked.append(a) or one(*a))
+    for cut in (lanes.CUT, 1):  # whole texts; lanes as short as they can be
+        monkeypatch.setattr(lanes, "CUT", cut)
+        for n in (1, 2, 5, 9, 20):
+            for _ in range(8):
+                letters = rng.choice(["ACGT", "AC", "ACGTNR", "A"])
+                text = lambda k: "".join(rng.choice(letters) for _ in range(k))
+                ref, texts = text(n), [text(rng.choice([1, 2, 3, 5, 15, 40, 90, 150])) for _ in range(10)]
+                opening, extension = rng.choice([(6.0, 3.0), (3.0, 3.0), (5.0, 2.0), (4.5, 2.0)])
+                for s, got in zip(texts, align._better_strands(ref, texts, opening, extension)):
+                    forward, back = one(ref, s, opening, extension), one(ref, align.reverse_complement(s), opening, extension)
+                    assert got == ((False, *forward) if forward[0] > back[0] else (True, *back)), (ref, s)
+    asked.clear()
+    ref = "".join(rng.choice("ACGT") for _ in range(60))
+    align._better_strands(ref, ["".join(rng.choice("ACGT") for _ in range(400)) for _ in range(50)], 6.0, 3.0)
+    assert not asked  # none by itself
+
+
 def test_msa_pad_and_merge(spark):
     pairs = spark.createDataFrame([(1, "AC-GT", "ACTGT"), (2, "ACGT", "A-GT"), (3, "AC--GT", "ACTTGA"), (4, "-ACGT", "TACGT")], "read_id long, ref_row string, read_row string")
     padded = {r["read_id"]: r["row"] for r in align.propagate_gaps(pairs).collect()}

@@ -286,6 +286,19 @@ def test_reports(spark):
     assert {tuple(x) for x in merged.collect()} == {(1, 1), (2, 1), (3, 3)}
 
 
+def test_backfilled_rows_without_looking_at_each_letter(spark):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("AC--\u00fc") for _ in range(n))
+    rows = [(text(rng.randrange(12)), text(rng.randrange(12))) for _ in range(300)] + [(None, "A"), ("A-C", None), ("", ""), ("AC", "--")]
+    pairs = spark.createDataFrame(rows, "ref_row string, read_row string")
+    first = S.inner(F.col("read_row"))[0]
+    start = F.length(F.replace(F.substring(F.col("ref_row"), F.lit(1), F.greatest(first - 1, F.lit(0))), F.lit("-"), F.lit("")))
+    want = pairs.select(S.backfill(F.col("ref_row"), F.col("read_row")).alias("f"), start.alias("s"), F.replace("ref_row", F.lit("-"), F.lit("")).alias("ref"))
+    got = report._filled(pairs)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "transform" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_classifier(spark):
     rng = np.random.default_rng(0)
     rows = [(float(y), [float(v) for v in rng.normal(2 * y, 1, 3)]) for y in (0, 1) for _ in range(80)]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +51,10 @@ def estimate(reads: DataFrame, haps: DataFrame, rounds: int | None = None, most:
 def frequencies(compat: DataFrame, rounds: int | None = None, most: int = 5000, tolerance: float = 1e-6, kill: float = 0.0) -> DataFrame:
     """(hap_id, p) at convergence, or after ``rounds``. The start is uniform: the likelihood is concave, so that any start
     with all haplotypes reaches the same value. Haplotypes under ``kill`` at the end are left out."""
-    haps = compat.select("hap_id").distinct()
-    n = haps.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+    haps = durable(compat.select("hap_id").distinct())
+    n = haps.count()
+    if 0 < n <= MOST_HAPS and haps.schema["hap_id"].dataType.simpleString() in ("int", "bigint") and haps.where("hap_id is null").isEmpty():
+        return _held_frequencies(compat, haps, rounds, most, tolerance, kill)
     freq = durable(haps.select("hap_id", (F.lit(1.0) / n).alias("p")))
     before = None
     for k in range(1, (rounds or most) + 1):
@@ -59,3 +65,60 @@ def frequencies(compat: DataFrame, rounds: int | None = None, most: int = 5000,
                 break
             before = now
     return freq.where(F.col("p") > kill)
+
+
+MOST_HAPS = 2_000_000  # whose frequencies go to every task; more are joined
+
+
+def _held_frequencies(compat: DataFrame, haps: DataFrame, rounds: int | None, most: int, tolerance: float, kill: float) -> DataFrame:
+    """The same rounds with the frequencies in every task: reads are gathered once, one row for each, and a round is one look at
+    them, without a join or a shuffle of reads. It has the likelihood of the frequencies that it starts from."""
+    spark = compat.sparkSession
+    ids = np.sort(haps.toArrow().column("hap_id").to_numpy())
+    known = spark.sparkContext.broadcast(ids)
+    per = compat.where("read_id is not null").groupBy("read_id").agg(F.max("n").cast("double").alias("n"), F.collect_list("hap_id").alias("held"))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # places of the haplotypes, as bytes: a batch of reads is one row
+            held, size = batch.column("held"), np.asarray(batch.column("held").value_lengths(), dtype=np.int32)
+            at = np.searchsorted(known.value, held.flatten().to_numpy()).astype(np.int32)
+            n = np.nan_to_num(batch.column("n").to_numpy(zero_copy_only=False).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (n, size, at)], ["n", "size", "held"])
+
+    reads = durable(per.select("n", "held").mapInArrow(numbered, "n binary, size binary, held binary"))
+
+    def look(p: np.ndarray) -> tuple[np.ndarray, float, float]:
+        """The frequencies after a round times the reads' weight, the likelihood before it, and that weight."""
+        shared = spark.sparkContext.broadcast(p)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, sums = np.zeros(len(shared.value)), np.zeros(2)
+            for batch in batches:
+                for row in zip(*(batch.column(c).to_pylist() for c in ("n", "size", "held"))):
+                    n, size, held = (np.frombuffer(x, dtype=t) for x, t in zip(row, (np.float64, np.int32, np.int32)))
+                    here = shared.value[held]
+                    whole = np.add.reduceat(here, np.cumsum(size) - size)
+                    own += np.bincount(held, here * np.repeat(n / whole, size), len(own))
+                    sums += (n * np.log(whole)).sum(), n.sum()
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1, -2], pa.int32()), pa.array([*own[at].tolist(), *sums.tolist()], pa.float64())], ["at", "u"])
+
+        got = reads.mapInArrow(run, "at int, u double").groupBy("at").agg(F.sum("u").alias("u")).toArrow()  # no more than the haplotypes
+        shared.unpersist()
+        at, u = got.column("at").to_numpy(), got.column("u").to_numpy()
+        out = np.zeros(len(p))
+        out[at[at >= 0]] = u[at >= 0]
+        return out, float(u[at == -1].sum()), float(u[at == -2].sum())
+
+    p, before = np.full(len(ids), 1.0 / len(ids)), None
+    for k in range((rounds or most) + 1):
+        if k == (rounds or most) and rounds is not None:
+            break
+        u, now, total = look(p)
+        if rounds is None and k > 0:
+            if k > 2 and before is not None and abs(now - before) <= tolerance or k == most:
+                break
+            before = now
+        p = u / total
+    kind = haps.schema["hap_id"].dataType.simpleString()
+    return spark.createDataFrame(pa.table({"hap_id": ids, "p": p})).select(F.col("hap_id").cast(kind).alias("hap_id"), "p").where(F.col("p") > kill)

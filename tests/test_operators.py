@@ -207,6 +207,24 @@ def test_em(spark):
     assert abs({r["hap_id"]: r["p"] for r in em.frequencies(compat).collect()}[1] - 0.75) < 1e-2
 
 
+def test_em_without_joins_of_reads(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, h, 1 + i % 3) for i in range(400) for h in rng.sample([3, 7, 10**10, 12, -4, 9], rng.randrange(1, 5))]
+    compat = spark.createDataFrame(rows, "read_id long, hap_id long, n int").cache()
+    results = []
+    for most in (em.MOST_HAPS, 0):  # frequencies in every task; joined
+        monkeypatch.setattr(em, "MOST_HAPS", most)
+        steps = []
+        one = em.step
+        monkeypatch.setattr(em, "step", lambda *a: steps.append(a) or one(*a))
+        got = [{r["hap_id"]: r["p"] for r in em.frequencies(compat, **how).collect()} for how in ({"rounds": 3}, {"most": 4, "tolerance": 0.0}, {"tolerance": 0.05}, {"tolerance": 1e-3, "kill": 0.1})]
+        monkeypatch.setattr(em, "step", one)
+        results.append(got)
+        assert bool(steps) == (most == 0)
+    for a, b in zip(*results):
+        assert a.keys() == b.keys() and all(abs(a[h] - b[h]) < 1e-9 for h in a)
+
+
 def test_sampler_recovers_planted_mix():
     rng = random.Random(3)
     a = "".join(rng.choice("ACGT") for _ in range(60))

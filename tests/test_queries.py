@@ -8,6 +8,7 @@ import sys
 import duckdb
 import pytest
 
+from readloom.plans import model_queries
 from readloom.plans.all_queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +34,14 @@ def test_query_against_sql(spark, name):
     assert cells(got) == cells(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_aligned_rows_are_not_kept_twice(spark):
+    got = QUERIES["f16_propagate_gaps"](spark, SF)
+    assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()  # aligned where they are laid out
+    n = len(model_queries._reference(spark, SF)[0])
+    assert all(len(r["row"]) == n for r in got.limit(20).collect())
+
+
 def test_entry_without_the_subpackage(tmp_path):
     for item in ("readloom", "__spark_entry__.py", "corpus_pipeline.py"):
         src = os.path.join(ROOT, item)

@@ -394,6 +394,26 @@ def best_by_hand(a, b, gap, match, mismatch, local):
     return top if local else row[-1]
 
 
+def test_many_reads_meet_many_clones_at_once(spark, monkeypatch):
+    rng = random.Random(31)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    clones = {f"c{k}": text(rng.randrange(1, 30)) for k in range(6)}
+    clones["c9"] = clones["c0"]  # the last name of equal ones
+    reads = ["", "A", *(text(rng.randrange(1, 200)) for _ in range(40)), *clones.values()]
+    names = sorted(clones, reverse=True)
+    texts = [clones[n] for n in names]
+    want = np.array([[align.align(c, s)[0] for c in texts] for s in reads])
+    with monkeypatch.context() as m:
+        m.setattr(align, "scores_against", None)  # no read by itself
+        assert np.array_equal(align._matrix(texts, reads, 6.0, 3.0)[0], want)
+        best, top, width = align._best(texts, reads, 6.0, 3.0)
+    assert best.tolist() == want.argmax(axis=1).tolist() and top.tolist() == want.max(axis=1).tolist()
+    assert width.tolist() == [align.span(*align.align(texts[b], s)[1:]) for b, s in zip(best, reads)]
+    assert np.array_equal(align._matrix(texts, reads, 4.5, 2.0)[0], [[align.align(c, s, 4.5, 2.0)[0] for c in texts] for s in reads])
+    df = spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string")
+    assert {tuple(r) for r in align.cross_scores(df, clones).collect()} == {(i, n, w) for i in range(len(reads)) for n, w in zip(names, want[i])}
+
+
 def test_pairwise_forms(spark):
     rng = random.Random(5)
     rows = [(i, letters(rng, rng.randrange(0, 12)), letters(rng, rng.randrange(0, 12))) for i in range(40)] + [(99, None, "ACG")]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.operators.state import durable
 
+BATCH = 20_000  # rows that a task returns at once
 
 def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(anc, desc): all pairs joined by a path of a DAG. Path lengths double each round, until no pair is new."""
@@ -80,131 +82,269 @@ def one_path(edges: DataFrame, source: int = -1, sink: int = -2) -> list[int]:
         way = durable(way.join(more, "to", "left").select("src", F.coalesce("then", "to").alias("to"), F.when(F.col("rest").isNull(), F.col("way")).otherwise(F.concat("way", "rest")).alias("way")))
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(read_id, component): smallest node that is connected, by minimum labels with pointer jumping."""
-    both = durable(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    label = durable(nodes.select("read_id", F.col("read_id").alias("component")))
-    while True:
-        near = both.join(label, F.col("dst") == F.col("read_id")).groupBy("src").agg(F.min("component").alias("low"))
-        one = label.join(near, F.col("read_id") == F.col("src"), "left").select("read_id", F.least("component", "low").alias("component"), F.col("component").alias("old"))
-        up = one.select(F.col("read_id").alias("c"), F.col("component").alias("root"))
-        nxt = durable(one.join(up, F.col("component") == F.col("c")).select("read_id", F.least("component", "root").alias("component"), "old"))
-        if nxt.where("component <> old").isEmpty():
-            return nxt.select("read_id", "component")
-        label = nxt.select("read_id", "component")
+def _stars(links: DataFrame) -> DataFrame:
+    """(src, dst): each node of a task's links with the smallest node that it is connected to there, which is linked to itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := to.setdefault(x, x)) != x:
+                to[x] = x = to[y]
+            return x
 
+        for batch in batches:
+            for a, b in zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist()):
+                a, b = root(a), root(b)
+                to[max(a, b)] = min(a, b)
+        nodes = list(to)
+        for lo in range(0, len(nodes), BATCH):
+            some = nodes[lo : lo + BATCH]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], ["src", "dst"])
 
-def bipartite_matching(adjacent: dict[int, list[int]]) -> dict[int, int]:
-    """Maximum matching of a bipartite graph (left node to right nodes): phases of shortest augmenting paths."""
+    return links.mapInArrow(run, "src long, dst long")
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(read_id, component): smallest node that is connected. Edges become stars task by task. The stars' centres are linked by
+    the nodes that they share; then each centre's larger and its smaller neighbours are linked to its smallest in turn, until
+    no link changes: few rounds, however long the paths are."""
+    w = Window.partitionBy("src")
+    ids = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    stars = durable(_stars(ids.repartitionByRange("src")).withColumn("low", F.min("dst").over(w)))
+    links, state = durable(stars.where("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()), None
+    while True:
+        both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        large = both.withColumn("low", F.least("src", F.min("dst").over(w))).where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        low = large.withColumn("low", F.min("dst").over(w))
+        links = durable(low.select(F.explode(F.array(F.struct("src", F.col("low").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")))).alias("x")).select("x.*").where("src > dst").distinct())
+        now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("src", "dst"))).first()
+        if now == state:
+            break
+        state = now
+    centre = stars.where("dst = low").select(F.col("src").alias("read_id"), "low").distinct()
+    own = nodes.select("read_id").join(centre, "read_id", "left").select("read_id", F.coalesce("low", "read_id").alias("low"))
+    return own.join(links.withColumnsRenamed({"src": "low", "dst": "least"}), "low", "left").select("read_id", F.coalesce("least", "low").alias("component"))
+
+
+def _ordered(children: list[list[int]]) -> list[int]:
+    """Nodes of a DAG, parents before their children."""
+    waiting = [0] * len(children)
+    for some in children:
+        for v in some:
+            waiting[v] += 1
+    order = [u for u, n in enumerate(waiting) if not n]
+    for u in order:
+        for v in children[u]:
+            waiting[v] -= 1
+            if not waiting[v]:
+                order.append(v)
+    if len(order) < len(children):
+        raise ValueError("the graph has a cycle")
+    return order
+
+
+def _reach(children: list[list[int]]) -> list[int]:
+    """For each node those that can be reached from it, as bits."""
+    reach = [0] * len(children)
+    for u in reversed(_ordered(children)):
+        for v in children[u]:
+            reach[u] |= reach[v] | 1 << v
+    return reach
+
+
+def _bits(x: int) -> Iterator[int]:
+    while x:
+        low = x & -x
+        yield low.bit_length() - 1
+        x ^= low
+
+
+def bipartite_matching(adjacent: list[int]) -> dict[int, int]:
+    """Maximum matching of a bipartite graph (for each left node its right nodes as bits): phases of shortest augmenting paths.
+    Right nodes are taken from the smallest; a set of them is looked at as a whole."""
     mate_l: dict[int, int] = {}
     mate_r: dict[int, int] = {}
-    for u in sorted(adjacent):  # a greedy start
-        for v in adjacent[u]:
-            if v not in mate_r:
-                mate_l[u], mate_r[v] = v, u
-                break
+    free = (1 << max((x.bit_length() for x in adjacent), default=0)) - 1
+    for u, some in enumerate(adjacent):  # a greedy start
+        if some & free:
+            low = (some & free) & -(some & free)
+            mate_l[u], mate_r[low.bit_length() - 1] = low.bit_length() - 1, u
+            free ^= low
     while True:
-        dist = {u: 0 for u in adjacent if u not in mate_l}
-        queue, found = deque(dist), False
-        while queue:
-            u = queue.popleft()
-            for v in adjacent[u]:
-                w = mate_r.get(v)
-                if w is None:
-                    found = True
-                elif w not in dist:
-                    dist[w] = dist[u] + 1
-                    queue.append(w)
+        roots = [u for u in range(len(adjacent)) if u not in mate_l]
+        dist, level, unseen, found = dict.fromkeys(roots, 0), roots, ~free, False
+        layers = [0]  # right nodes by the distance of their mates
+        while level:
+            more, then = 0, []
+            for u in level:
+                found = found or adjacent[u] & free != 0
+                new = adjacent[u] & unseen
+                unseen &= ~new
+                more |= new
+                for v in _bits(new):
+                    dist[mate_r[v]] = len(layers)
+                    then.append(mate_r[v])
+            layers.append(more)
+            level = then
         if not found:
             return mate_l
-        for root in [u for u in sorted(adjacent) if u not in mate_l]:
-            stack, path = [(root, iter(adjacent[root]))], []
+        layers.append(0)
+        for root in roots:
+            stack, path = [(root, 0)], []
             while stack:
-                u, it = stack[-1]
-                v = next(it, None)
-                if v is None:
-                    dist.pop(u, None)
+                u, seen = stack[-1]
+                d = len(stack) - 1
+                open_ = (adjacent[u] & (free | layers[d + 1])) >> seen
+                if not open_:
+                    if u in mate_l:
+                        layers[d] &= ~(1 << mate_l[u])
                     stack.pop()
                     if path:
                         path.pop()
                     continue
-                w = mate_r.get(v)
-                if w is None:
-                    path.append((u, v))
-                    for a, b in path:
+                v = seen + (open_ & -open_).bit_length() - 1
+                stack[-1] = (u, v + 1)
+                path.append((u, v))
+                if free >> v & 1:
+                    free ^= 1 << v
+                    for k, (a, b) in enumerate(path):  # b's mate is a now, at distance k
+                        if k + 1 < len(path):
+                            layers[k + 1] &= ~(1 << b)
+                        layers[k] |= 1 << b
                         mate_l[a], mate_r[b] = b, a
                     break
-                if dist.get(w) == dist.get(u, -9) + 1:
-                    path.append((u, v))
-                    stack.append((w, iter(adjacent[w])))
+                stack.append((mate_r[v], 0))
+
+
+def _chains(reach: list[int]) -> list[list[int]]:
+    """Fewest chains of a closure that hold all nodes."""
+    nxt = bipartite_matching(reach)
+    out = []
+    for h in sorted(set(range(len(reach))) - set(nxt.values())):
+        chain = [h]
+        while chain[-1] in nxt:
+            chain.append(nxt[chain[-1]])
+        out.append(chain)
+    return out
+
+
+def _paths(children: list[list[int]], names: list[int]) -> list[list[int]]:
+    """Such chains as paths of the graph, each step by the smallest children that lead to its end, then on from either
+    end by the smallest parent or child until there is none."""
+    reach, name = _reach(children), names.__getitem__
+    down = [min(some, key=name, default=None) for some in children]
+    up: list[int | None] = [None] * len(children)
+    for u, some in enumerate(children):
+        for v in some:
+            if up[v] is None or names[u] < names[up[v]]:
+                up[v] = u
+    out = []
+    for chain in _chains(reach):
+        path = chain[:1]
+        for goal in chain[1:]:
+            while path[-1] != goal:
+                some = children[path[-1]]
+                path.append(goal if goal in some else min((v for v in some if reach[v] >> goal & 1), key=name))
+        before, at = [], up[path[0]]
+        while at is not None:
+            before.append(at)
+            at = up[at]
+        at = down[path[-1]]
+        while at is not None:
+            path.append(at)
+            at = down[at]
+        out.append(before[::-1] + path)
+    return out
+
+
+def _count(children: list[list[int]]) -> int:
+    """Number of paths from a node without parents to one without children."""
+    n = [0] * len(children)
+    for u in reversed(_ordered(children)):
+        n[u] = sum(n[v] for v in children[u]) or 1
+    return sum(n[u] for u in set(range(len(children))).difference(*children))
+
+
+def _listed(children: list[list[int]]) -> list[list[int]]:
+    """All those paths."""
+    out, todo = [], [[h] for h in sorted(set(range(len(children))).difference(*children))]
+    while todo:
+        path = todo.pop()
+        todo += [[*path, v] for v in children[path[-1]]]
+        if not children[path[-1]]:
+            out.append(path)
+    return out
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Rows of one value of the first column together, as pieces of an array each; they come sorted by it."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.column_stack([c.to_numpy() for c in batch.columns])
+        del batch
+        cuts = [0, *(np.flatnonzero(np.diff(rows[:, 0])) + 1).tolist(), len(rows)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and hi > lo and held[0][0, 0] != rows[lo, 0]:
+                yield held
+                held = []
+            if hi > lo:
+                held.append(rows[lo:hi])
+        if held:
+            held[-1] = held[-1].copy()  # not the whole batch
+    if held:
+        yield held
+
+
+def _labelled(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, anc, desc): each node with the ones that it points to, or itself if there are none."""
+    own = components(edges, nodes).withColumnRenamed("read_id", "anc").join(pairs.select("anc", "desc"), "anc", "left")
+    return own.select(*[F.coalesce(c, "anc").cast("long").alias(c) for c in ("component", "anc", "desc")])
+
+
+def _each(labelled: DataFrame, work: Callable[[int, list[list[int]], list[int]], Iterable[tuple]], schema: str, seed: int | None = None) -> DataFrame:
+    """Rows that ``work`` makes of a component, the children of its nodes and their ids, one component at a time. Nodes are in
+    the order of their ids, or with a ``seed`` of a seeded hash."""
+    rank = (lambda c: F.col(c)) if seed is None else (lambda c: F.xxhash64(c, F.lit(seed)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"long": pa.int64(), "int": pa.int32()}
+        named = [x.split() for x in schema.split(", ")]
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), named)], [n for n, _ in named])
+        rows: list[tuple] = []
+        for own in _apart(batches):
+            c, first = int(own[0][0, 0]), {}
+            for piece in own:
+                first.update(zip(piece[:, 2].tolist(), piece[:, 1].tolist()))
+            names = sorted(first, key=lambda i: (first[i], i))
+            at = {i: k for k, i in enumerate(names)}
+            children: list[list[int]] = [[] for _ in names]
+            for piece in own:
+                for a, d in piece[piece[:, 2] != piece[:, 3], 2:].tolist():
+                    children[at[a]].append(at[d])
+            del own, first, at
+            for row in work(c, children, names):
+                rows.append(row)
+                if len(rows) == BATCH:
+                    yield out(rows)
+                    rows = []
+        if rows:
+            yield out(rows)
+
+    own = labelled.select("component", rank("anc").alias("by"), "anc", "desc").repartition("component").sortWithinPartitions("component")
+    return own.mapInArrow(run, schema)
 
 
 def chain_cover(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, seed: int | None = None) -> DataFrame:
     """(chain, place, read_id): fewest chains that cover all nodes, by matching in the closure, one component at a time.
-    There are many such covers; with a ``seed`` nodes are taken in the order of a seeded hash, and another cover comes out."""
-    label = components(edges, nodes)
-    own = label.withColumnRenamed("read_id", "anc").join(pairs, "anc", "left")
-    rank = (lambda c: F.col(c)) if seed is None else (lambda c: F.xxhash64(c, F.lit(seed)))
-    own = own.withColumn("desc", F.coalesce("desc", "anc"))  # itself stands for none, since nulls would turn numbers into floats
-    own = own.withColumn("by", rank("anc")).withColumn("then", rank("desc"))
-
-    def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = dict(zip(pdf["by"], pdf["anc"]))  # nodes go by their rank
-        adj: dict[int, list[int]] = {int(a): [] for a in pdf["by"].unique()}
-        for a, d in pdf.loc[pdf["then"] != pdf["by"], ["by", "then"]].sort_values(["by", "then"]).itertuples(index=False):
-            adj[a].append(d)
-        nxt = bipartite_matching(adj)
-        heads = sorted(set(adj) - set(nxt.values()))
-        rows = []
-        for h in heads:
-            at, k = h, 0
-            while at is not None:
-                rows.append((names[h], k, names[at]))
-                at, k = nxt.get(at), k + 1
-        return pd.DataFrame(rows, columns=["chain", "place", "read_id"])
-
-    return own.groupBy("component").applyInPandas(cover, "chain long, place int, read_id long")
-
-
-def extend_chains(chains: DataFrame, edges: DataFrame) -> DataFrame:
-    """(chain, place, read_id): chains of a closure as paths of the graph, each step through the shortest way between its two
-    nodes, then on from either end by the smallest parent or child until there is none."""
-    up = edges.groupBy(F.col("dst").alias("at")).agg(F.min("src").alias("to"))
-    down = edges.groupBy(F.col("src").alias("at")).agg(F.min("dst").alias("to"))
-
-    def walk(ends: DataFrame, steps: DataFrame, sign: int) -> DataFrame:
-        out, cur, k = None, durable(ends), 1
-        while not cur.isEmpty():
-            cur = durable(cur.join(steps, "at").select("chain", F.col("to").alias("at")))
-            part = cur.select("chain", F.lit(sign * k).alias("round"), F.col("at").alias("read_id"))
-            out, k = part if out is None else out.unionByName(part), k + 1
-        return out
+    ``pairs`` (anc, desc) are the closure or any pairs that it is made of, as the edges are: a component's closure is made in its
+    task, a bit a pair. There are many such covers; with a ``seed`` nodes are taken in the order of a seeded hash, and another
+    cover comes out."""
 
-    w = Window.partitionBy("chain").orderBy("place")
-    steps = chains.withColumn("next", F.lead("read_id").over(w))
-    gaps = steps.where("next is not null").select("chain", "place", F.array("read_id").alias("way"), F.col("next").alias("goal"))
-    direct = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    filled, cur = None, durable(gaps)
-    reach = closure(edges).select("anc", F.col("desc").alias("goal"))
-    while not cur.isEmpty():  # all open steps take one more node that still leads to their goal, the smallest
-        nxt = cur.join(direct, F.element_at("way", -1) == F.col("a")).select("chain", "place", "way", "goal", "b")
-        ok = nxt.join(reach, (F.col("b") == F.col("anc")) & (nxt["goal"] == reach["goal"]), "left").where((F.col("b") == nxt["goal"]) | F.col("anc").isNotNull()).select("chain", "place", "way", nxt["goal"], "b")
-        best = ok.groupBy("chain", "place", "way", "goal").agg(F.min(F.struct((F.col("b") != F.col("goal")).alias("far"), "b")).alias("x"))
-        cur = durable(best.select("chain", "place", F.concat("way", F.array("x.b")).alias("way"), "goal"))
-        ended = cur.where(F.element_at("way", -1) == F.col("goal"))
-        filled = ended if filled is None else filled.unionByName(ended)
-        cur = cur.where(F.element_at("way", -1) != F.col("goal"))
-    own = chains.select("chain", F.lit(0).alias("round"), "place", F.lit(0).alias("i"), "read_id")
-    inner = filled.select("chain", F.lit(0).alias("round"), "place", F.posexplode("way").alias("i", "read_id")).where("i > 0") if filled is not None else own.limit(0)
-    inner = inner.join(chains.select("chain", "read_id"), ["chain", "read_id"], "left_anti").select(*own.columns)
-    ends = chains.groupBy("chain").agg(F.min_by("read_id", "place").alias("head"), F.max_by("read_id", "place").alias("tail"))
-    beyond = [walk(ends.select("chain", F.col(c).alias("at")), steps_, sign) for c, steps_, sign in (("head", up, -1), ("tail", down, 1))]
-    every = own.unionByName(inner)
-    for part in beyond:
-        if part is not None:
-            every = every.unionByName(part.select("chain", "round", F.lit(0).alias("place"), F.lit(0).alias("i"), "read_id"))
-    order = Window.partitionBy("chain").orderBy("round", "place", "i")
-    return every.select("chain", (F.row_number().over(order) - 1).alias("place"), "read_id")
+    def cover(_: int, children: list[list[int]], names: list[int]) -> Iterator[tuple]:
+        return ((names[chain[0]], place, names[u]) for chain in _chains(_reach(children)) for place, u in enumerate(chain))
+
+    return _each(_labelled(pairs, nodes, edges), cover, "chain long, place int, read_id long", seed)
 
 
 def haplotypes(reads: DataFrame, edges: DataFrame, length: int | None = None, most: int = 200, restarts: int = 50, seed: int = 1) -> DataFrame:
@@ -212,16 +352,19 @@ def haplotypes(reads: DataFrame, edges: DataFrame, length: int | None = None, mo
 
     With fewer paths than that, all paths are taken. Otherwise chain covers of randomly relabelled graphs are extended to
     paths and united, until there are ``most``, or ``restarts`` covers, or two covers in a row that bring nothing new."""
-    ended = durable(with_ends(edges, reads))
-    n = path_counts(ended).where(F.col("node") == -2).select("paths").first()
-    if n is None or n[0] < most:
-        numbered_paths = all_paths(ended).select(F.xxhash64("path").alias("chain"), F.slice("path", 2, F.size("path") - 2).alias("p"))
-        chains = numbered_paths.select("chain", F.posexplode("p").alias("place", "read_id"))
-        return path_sequences(chains, reads, length).select("seq").distinct()
-    pairs, found, size, idle = closure(edges), None, 0, 0
+    own = durable(_labelled(edges.select(F.col("src").alias("anc"), F.col("dst").alias("desc")).distinct(), reads, edges))
+
+    def laid(ways: Callable[[list[list[int]], list[int]], list[list[int]]], seed: int | None = None) -> DataFrame:
+        work = lambda c, children, names: ((c, k, place, names[u]) for k, way in enumerate(ways(children, names)) for place, u in enumerate(way))
+        numbered_ways = _each(own, work, "component long, way long, place int, read_id long", seed)
+        return path_sequences(numbered_ways.withColumn("chain", F.struct("component", "way")), reads, length).select("seq")
+
+    n = _each(own, lambda c, children, names: [(min(_count(children), most),)], "paths long").agg(F.sum("paths")).first()[0]
+    if n is None or n < most:
+        return laid(lambda children, names: _listed(children)).distinct()
+    found, size, idle = None, 0, 0
     for k in range(restarts):
-        chains = durable(extend_chains(chain_cover(pairs, reads, edges, None if k == 0 else seed + k), edges))
-        new = path_sequences(chains, reads, length).select("seq")
+        new = laid(_paths, None if k == 0 else seed + k)
         found = durable((new if found is None else found.unionByName(new)).distinct())
         now = found.count()
         idle = idle + 1 if now == size else 0

@@ -153,9 +153,11 @@ def only(texts: DataFrame, ids: Filter) -> DataFrame:
     return having(texts.withColumn("_hash", F.xxhash64("read_id")), "_hash", ids).drop("_hash")
 
 
-def stands(covers: DataFrame, sizes: list[int], keys: Filter) -> DataFrame:
+def stands(covers: DataFrame, sizes: list[int], keys: Filter, side: str = "") -> DataFrame:
     """(read_id, start, stop, place, key) of texts (read_id, start, seq): the places from which on the letters may have one of
-    the keys, for each of the sizes. The filter holds the leads, too.
+    the keys, for each of the sizes. The filter holds the leads, too. Also (digest), 128 bits of the letters on one ``side``: from
+    the place to the text's end ("after"; not for the text's own first place), or from the text's first letter to those of the
+    key ("before"; not for its own last ones).
 
     Sums of letters times powers of a base give the hash of any stretch of letters by two of them."""
     kind = covers.schema["read_id"].dataType.simpleString()
@@ -182,15 +184,22 @@ def stands(covers: DataFrame, sizes: list[int], keys: Filter) -> DataFrame:
                     some = keys.held(_key((sums[lead:] - sums[:m]) * inverse[:m], at[:m], -lead))
                     for k in (k for k in sizes if _lead(k) == lead):
                         own = some[some + k <= ends[some]]
+                        if side:
+                            own = own[own > o[:-1][row[own]]] if side == "after" else own[own + k < ends[own]]
                         key = _key((sums[own + k] - sums[own]) * inverse[own], at[own], k)
                         hit = keys.held(key)
                         if len(hit):
                             r = row[own[hit]]
                             s = starts[lo:hi][r]
-                            yield pa.RecordBatch.from_arrays([batch.column("read_id").take(pa.array(lo + r)), pa.array(s), pa.array(s + n[r] - 1), pa.array(place[own[hit]]), pa.array(key[hit].view(np.int64))], ["read_id", "start", "stop", "place", "key"])
+                            columns = [batch.column("read_id").take(pa.array(lo + r)), pa.array(s), pa.array(s + n[r] - 1), pa.array(place[own[hit]]), pa.array(key[hit].view(np.int64))]
+                            if side:
+                                view, at_ = memoryview(data)[offsets[lo] : offsets[hi]], own[hit]
+                                cuts = (at_, ends[at_]) if side == "after" else (o[:-1][r], at_ + k)
+                                columns.append(pa.array([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(*(c.tolist() for c in cuts))], pa.binary()))
+                            yield pa.RecordBatch.from_arrays(columns, ["read_id", "start", "stop", "place", "key", "digest"][: len(columns)])
 
     own = covers.where(F.octet_length("seq") > 0).select("read_id", F.col("start").cast("long").alias("start"), "seq")
-    return own.mapInArrow(run, f"read_id {kind}, start long, stop long, place long, key long")
+    return own.mapInArrow(run, f"read_id {kind}, start long, stop long, place long, key long" + ", digest binary" * bool(side))
 
 
 def holding(candidates: DataFrame, covers: DataFrame) -> DataFrame:

@@ -104,6 +104,47 @@ def test_graph_by_brute_force(spark):
     assert chains["chain"].nunique() == widest  # fewest chains equal the largest antichain
 
 
+def test_chain_cover_makes_its_closure(spark, monkeypatch):
+    rounds, keep = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: rounds.append(1) or keep(df))
+    cross = [(1, 3), (2, 3), (3, 4), (3, 5)]
+    ids = random.Random(4).sample(range(10, 1000), 400)  # one long path, in any order of its ids
+    edges = spark.createDataFrame([*cross, *zip(ids, ids[1:])], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(1, 7), *ids]], "read_id long")
+    label = {r["read_id"]: r["component"] for r in graph.components(edges, nodes).collect()}
+    assert label == {i: 1 for i in range(1, 6)} | {6: 6} | {i: min(ids) for i in ids}
+    pairs = edges.withColumnsRenamed({"src": "anc", "dst": "desc"})
+    for seed in (None, 3):
+        chains = {}
+        for r in sorted(graph.chain_cover(pairs, nodes, edges, seed).collect(), key=lambda r: r["place"]):
+            chains.setdefault(r["chain"], []).append(r["read_id"])
+        assert sorted(map(len, chains.values())) == [1, 2, 3, 400] and chains[6] == [6] and chains[ids[0]] == ids  # 1 3 4, 2 5 or the like
+    assert len(rounds) <= 45
+
+
+def test_matching_by_bits():
+    rng = random.Random(11)
+    for _ in range(60):
+        left = [[v for v in range(6) if rng.random() < 0.3] for _ in range(6)]
+        got = graph.bipartite_matching([sum(1 << v for v in some) for some in left])
+        assert all(v in left[u] for u, v in got.items()) and len(set(got.values())) == len(got)
+        best = {frozenset()}
+        for some in left:
+            best |= {taken | {v} for taken in best for v in some if v not in taken}
+        assert len(got) == max(map(len, best))
+
+
+def test_haplotypes_of_a_long_path(spark, monkeypatch):
+    rounds, keep = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: rounds.append(1) or keep(df))
+    text = "".join(random.Random(5).choice("ACGT") for _ in range(130))
+    reads = reads_of(spark, [(i, i, text[i : i + 8]) for i in range(120)])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(119)], "src long, dst long")
+    for most in (5, 1):  # all paths; covers made longer
+        assert [r["seq"] for r in graph.haplotypes(reads, edges, most=most).collect()] == [text[:127]]
+    assert len(rounds) <= 30
+
+
 def test_path_sequences(spark):
     df = reads_of(spark, [(1, 2, "ACGT"), (2, 4, "GTAA"), (3, 10, "CC")])
     chains = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 3)], "chain long, place int, read_id long")

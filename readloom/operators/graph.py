@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -352,34 +353,51 @@ def haplotypes(reads: DataFrame, edges: DataFrame, length: int | None = None, mo
 
     With fewer paths than that, all paths are taken. Otherwise chain covers of randomly relabelled graphs are extended to
     paths and united, until there are ``most``, or ``restarts`` covers, or two covers in a row that bring nothing new."""
-    own = durable(_labelled(edges.select(F.col("src").alias("anc"), F.col("dst").alias("desc")).distinct(), reads, edges))
+    at = durable(placed(reads))
+    own = durable(_labelled(edges.select(F.col("src").alias("anc"), F.col("dst").alias("desc")).distinct(), at, edges))
 
     def laid(ways: Callable[[list[list[int]], list[int]], list[list[int]]], seed: int | None = None) -> DataFrame:
         work = lambda c, children, names: ((c, k, place, names[u]) for k, way in enumerate(ways(children, names)) for place, u in enumerate(way))
         numbered_ways = _each(own, work, "component long, way long, place int, read_id long", seed)
-        return path_sequences(numbered_ways.withColumn("chain", F.struct("component", "way")), reads, length).select("seq")
+        return path_sequences(numbered_ways.withColumn("chain", F.struct("component", "way")), reads, length, at).select("seq")
 
     n = _each(own, lambda c, children, names: [(min(_count(children), most),)], "paths long").agg(F.sum("paths")).first()[0]
     if n is None or n < most:
         return laid(lambda children, names: _listed(children)).distinct()
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[str] = set()
+        for batch in batches:
+            held.update(batch.column("seq").to_pylist())
+            if len(held) > 2 * most:
+                held = set(nsmallest(most, held))
+        yield pa.RecordBatch.from_arrays([pa.array(nsmallest(most, held), pa.string())], ["seq"])
+
     found, size, idle = None, 0, 0
     for k in range(restarts):
-        new = laid(_paths, None if k == 0 else seed + k)
-        found = durable((new if found is None else found.unionByName(new)).distinct())
+        new = laid(_paths, None if k == 0 else seed + k).mapInArrow(smallest, "seq string")
+        found = durable((new if found is None else found.unionByName(new)).distinct().orderBy("seq").limit(most))  # no more are looked at
         now = found.count()
         idle = idle + 1 if now == size else 0
         size = now
         if size >= most or idle == 2:
             break
-    return found.orderBy("seq").limit(most)
+    return found
+
+
+def placed(reads: DataFrame) -> DataFrame:
+    """(read_id, start, n): reads without their letters."""
+    return reads.select("read_id", "start", F.length("seq").alias("n"))
 
 
-def path_sequences(chains: DataFrame, reads: DataFrame, length: int | None = None) -> DataFrame:
-    """(chain, seq): reads of a chain laid on their coordinates, each up to the start of the next; uncovered places are dots."""
+def path_sequences(chains: DataFrame, reads: DataFrame, length: int | None = None, at: DataFrame | None = None) -> DataFrame:
+    """(chain, seq): reads of a chain laid on their coordinates, each up to the start of the next; uncovered places are dots.
+    ``at`` are the reads as ``placed``, where they have been kept."""
     w = Window.partitionBy("chain").orderBy("place")
-    laid = chains.join(reads.select("read_id", "start", "stop", "seq"), "read_id").withColumn("next", F.lead("start").over(w))
-    n = F.greatest(F.coalesce(F.col("next") - F.col("start"), F.length("seq")), F.lit(0))
-    piece = F.rpad(F.substring(F.col("seq"), F.lit(1), n), n.cast("int"), ".")
+    n = F.greatest(F.coalesce(F.lead("start").over(w) - F.col("start"), "n"), F.lit(0))
+    laid = chains.join(placed(reads) if at is None else at, "read_id").withColumn("n", n)
+    laid = laid.join(reads.select("read_id", "seq"), "read_id")  # texts move with their chains only as far as they are needed
+    piece = F.rpad(F.substring(F.col("seq"), F.lit(1), F.col("n")), F.col("n").cast("int"), ".")
     parts = laid.select("chain", "place", "start", piece.alias("piece")).groupBy("chain").agg(F.min("start").alias("lead"), F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("p"))
     seq = F.concat(F.repeat(F.lit("."), F.col("lead").cast("int")), F.array_join(F.transform("p", lambda x: x["piece"]), ""))
     return parts.select("chain", seq.alias("seq") if length is None else F.rpad(seq, length, ".").alias("seq"))

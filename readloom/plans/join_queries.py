@@ -256,18 +256,19 @@ def u12(spark, sf):
 def _chains(spark, sf):
     f = fragments(spark, sf)
     e = durable(joins.overlaps(f, LEAST))
-    return f, graph.chain_cover(e.select(F.col("src").alias("anc"), F.col("dst").alias("desc")), f, e)
+    at = durable(graph.placed(f))
+    return f, at, graph.chain_cover(e.select(F.col("src").alias("anc"), F.col("dst").alias("desc")), at, e)
 
 
 @query("u14_chain_cover")
 def u14(spark, sf):
-    return _chains(spark, sf)[1]
+    return _chains(spark, sf)[2]
 
 
 @query("u16_chain_sequences")
 def u16c(spark, sf):
-    f, chains = _chains(spark, sf)
-    return graph.path_sequences(chains, f)
+    f, at, chains = _chains(spark, sf)
+    return graph.path_sequences(chains, f, at=at)
 
 
 @query("u16_path_sequences", "WITH " + WHOLE + " SELECT hap_id AS chain, md5(seq) AS seq FROM hp")
@@ -287,9 +288,10 @@ def u13(spark, sf):
 
 @query("u15_u0b_o05_united_haplotypes")
 def u15(spark, sf):
-    f = durable(joins.remove_contained(durable(fragments(spark, sf))))
-    e = durable(joins.overlaps(f, LEAST))
-    return graph.haplotypes(f, e, restarts=3)
+    f = fragments(spark, sf)  # made again where they are looked at, without those that others contain
+    lost = durable(joins.contained(f))
+    e = durable(joins.overlaps(f, LEAST, without=lost))
+    return graph.haplotypes(joins.nearly(f, lost).join(lost, "read_id", "left_anti"), e, restarts=3)
 
 
 EM = "cp AS (SELECT l_orderkey AS read_id, l_suppkey AS hap_id, 1 AS n FROM lineitem GROUP BY ALL), p0 AS (SELECT hap_id, 1.0 / count(*) OVER () AS p FROM (SELECT DISTINCT hap_id FROM cp))"

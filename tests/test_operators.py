@@ -122,6 +122,27 @@ def test_chain_cover_makes_its_closure(spark, monkeypatch):
     assert len(rounds) <= 45
 
 
+def test_overlaps_without_some_reads(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ACGT") for _ in range(200)) for _ in range(2)]
+    rows = []
+    for i in range(90):
+        a, n = rng.randrange(150), rng.randrange(12, 45)
+        rows.append((i, a, texts[i % 2][a : a + n]))
+    reads = reads_of(spark, rows)
+    lost = spark.createDataFrame([(i,) for i in range(0, 90, 7)], "read_id long")
+    want = {(i, j) for i, a, s in rows for j, b, t in rows if i % 7 and j % 7 and min(len(s), len(t)) >= 10 and a < b and a + len(s) < b + len(t) and a + len(s) - b >= 10 and s[b - a :] == t[: a + len(s) - b]}
+    assert {tuple(r) for r in joins.overlaps(reads, 10, without=lost).collect()} == want and len(want) > 50
+
+
+def test_only_the_smallest_haplotypes_are_kept(spark):
+    reads = reads_of(spark, [(i, i % 5, t) for i, t in enumerate(["ACGT", "AACC", "GGTT", "ACGT", "CCGT", "TTTT", "AACC"] * 3)])
+    every = sorted({"." * r["start"] + r["seq"] for r in reads.collect()})
+    none = spark.createDataFrame([], "src long, dst long")
+    for most in (3, 21):
+        assert [r["seq"] for r in graph.haplotypes(reads, none, most=most).collect()] == every[:most]
+
+
 def test_matching_by_bits():
     rng = random.Random(11)
     for _ in range(60):

@@ -278,23 +278,39 @@ def _listed(children: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Rows of one value of the first column together, as pieces of an array each; they come sorted by it."""
-    held: list[np.ndarray] = []
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[int]], list[int]]]:
+    """Components with the children of their nodes and the ids, of rows (component, by, anc, desc) sorted by component. A pair
+    is held as two small numbers."""
+    c, at, first, pairs = None, {}, {}, []
+
+    def made() -> tuple[int, list[list[int]], list[int]]:
+        names = sorted(at, key=lambda i: (first[i], i))
+        place = [0] * len(names)
+        for k, i in enumerate(names):
+            place[at[i]] = k
+        children: list[list[int]] = [[] for _ in names]
+        while pairs:
+            for a, d in zip(*pairs.pop(0).tolist()):
+                if a != d:
+                    children[place[a]].append(place[d])
+        return c, children, names
+
     for batch in batches:
-        rows = np.column_stack([c.to_numpy() for c in batch.columns])
-        del batch
+        rows = np.column_stack([x.to_numpy() for x in batch.columns])
         cuts = [0, *(np.flatnonzero(np.diff(rows[:, 0])) + 1).tolist(), len(rows)]
         for lo, hi in zip(cuts, cuts[1:]):
-            if held and hi > lo and held[0][0, 0] != rows[lo, 0]:
-                yield held
-                held = []
-            if hi > lo:
-                held.append(rows[lo:hi])
-        if held:
-            held[-1] = held[-1].copy()  # not the whole batch
-    if held:
-        yield held
+            if lo == hi:
+                continue
+            if c is not None and rows[lo, 0] != c:
+                yield made()
+                at, first = {}, {}
+            (c, *_), by, anc, desc = rows[lo:hi].T.tolist()
+            first.update(zip(anc, by))
+            pairs.append(np.array([[at.setdefault(i, len(at)) for i in some] for some in (anc, desc)], dtype=np.int32))
+        del batch, rows
+        pa.default_memory_pool().release_unused()
+    if c is not None:
+        yield made()
 
 
 def _labelled(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -313,17 +329,7 @@ def _each(labelled: DataFrame, work: Callable[[int, list[list[int]], list[int]],
         named = [x.split() for x in schema.split(", ")]
         out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), named)], [n for n, _ in named])
         rows: list[tuple] = []
-        for own in _apart(batches):
-            c, first = int(own[0][0, 0]), {}
-            for piece in own:
-                first.update(zip(piece[:, 2].tolist(), piece[:, 1].tolist()))
-            names = sorted(first, key=lambda i: (first[i], i))
-            at = {i: k for k, i in enumerate(names)}
-            children: list[list[int]] = [[] for _ in names]
-            for piece in own:
-                for a, d in piece[piece[:, 2] != piece[:, 3], 2:].tolist():
-                    children[at[a]].append(at[d])
-            del own, first, at
+        for c, children, names in _apart(batches):
             for row in work(c, children, names):
                 rows.append(row)
                 if len(rows) == BATCH:

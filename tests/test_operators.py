@@ -143,6 +143,25 @@ def test_only_the_smallest_haplotypes_are_kept(spark):
         assert [r["seq"] for r in graph.haplotypes(reads, none, most=most).collect()] == every[:most]
 
 
+def test_a_component_is_held_in_few_bytes_a_pair():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 1000
+    a, d = np.triu_indices(n, 1)
+    columns = [np.full(len(a), 7), -a, a + 100, d + 100]  # ranked from the last to the first
+    columns = [np.concatenate([x, y]) for x, y in zip(columns, ([7, 8], [1 - n, 0], [n + 99, 5], [n + 99, 5]))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 10_000], pa.int64()) for c in columns], ["component", "by", "anc", "desc"]) for lo in range(0, len(a) + 2, 10_000)]
+    tracemalloc.start()
+    c, children, names = next(found := graph._apart(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert c == 7 and names == list(range(n + 99, 99, -1)) and [len(x) for x in children] == list(range(n))
+    assert next(found) == (8, [[]], [5]) and next(found, None) is None
+    assert peak < 32 * len(a)
+
+
 def test_matching_by_bits():
     rng = random.Random(11)
     for _ in range(60):

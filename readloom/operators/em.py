@@ -116,8 +116,8 @@ def _held_frequencies(compat: DataFrame, haps: DataFrame, rounds: int | None, mo
             break
         u, now, total = look(p)
         if rounds is None and k > 0:
-            if k > 2 and before is not None and abs(now - before) <= tolerance or k == most:
-                break
+            if k > 2 and before is not None and abs(now - before) <= max(tolerance, 2 * np.spacing(abs(now))) or k == most:
+                break  # a sum over very many reads can't tell less than its last bits
             before = now
         p = u / total
     kind = haps.schema["hap_id"].dataType.simpleString()

@@ -125,7 +125,7 @@ def u32(spark, sf):
 
 @query("u17_em_converged")
 def u17(spark, sf):
-    return em.frequencies(_compat(spark, sf), most=30, tolerance=1e-3)
+    return em.frequencies(_compat(spark, sf))
 
 
 @query("u20_simulated_reads")

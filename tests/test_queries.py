@@ -8,8 +8,10 @@ import sys
 import duckdb
 import pytest
 
+from readloom.operators import em
 from readloom.plans import model_queries
 from readloom.plans.all_queries import ORACLE_SQL, QUERIES
+from readloom.plans.join_queries import _compat
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,6 +44,15 @@ def test_aligned_rows_are_not_kept_twice(spark):
     assert all(len(r["row"]) == n for r in got.limit(20).collect())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_frequencies_go_to_convergence(spark):
+    compat = _compat(spark, SF).cache()
+    got = QUERIES["u17_em_converged"](spark, SF).cache()
+    more = em.step(compat, got)
+    gain = em.log_likelihood(compat, more) - em.log_likelihood(compat, got)
+    assert abs(gain) <= 1.1e-6 and got.count() == compat.select("hap_id").distinct().count()
+
+
 def test_entry_without_the_subpackage(tmp_path):
     for item in ("readloom", "__spark_entry__.py", "corpus_pipeline.py"):
         src = os.path.join(ROOT, item)

@@ -271,6 +271,15 @@ def test_msa_without_moving_letters(spark):
         assert "Exchange" not in plan and "Generate" not in plan  # no row for each letter
 
 
+def test_msa_of_overlaps(spark):
+    rows = [(1, "--AC-GT", "TTACTGT"), (2, "ACGT---", "A-GTCCC"), (3, "AC--GT", "-CTTG-"), (4, "ACGT--", "----AC"), (5, None, None), (6, "A-CGT", "--CGT")]
+    cut = align.overlaps(spark.createDataFrame(rows, "read_id long, ref_row string, read_row string")).cache()
+    got = {r["read_id"]: (r["ref_row"], r["read_row"]) for r in cut.collect()}
+    assert got == {1: ("AC-GT", "ACTGT"), 2: ("ACGT", "A-GT"), 3: ("AC--GT", "-CTTG-"), 4: ("ACGT", "----"), 5: (None, None), 6: ("ACGT", "-CGT")}
+    both = {r["read_id"]: (r["row"], r["padded"]) for r in align.propagate_gaps(cut, both=True).collect()}
+    assert both == {1: ("ACGT", "ACT-GT"), 2: ("A-GT", "A---GT"), 3: ("-CG-", "-CTTG-"), 4: ("----", "------"), 6: ("-CGT", "-C--GT")}
+
+
 def test_em(spark):
     compat = spark.createDataFrame([(i, h, 1) for i, hs in enumerate([(1,), (1,), (1, 2), (2,), (1, 2), (1,)]) for h in hs], "read_id long, hap_id long, n int")
     a = {1: 0, 2: 0}

@@ -44,6 +44,25 @@ def test_aligned_rows_are_not_kept_twice(spark):
     assert all(len(r["row"]) == n for r in got.limit(20).collect())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_insertions_open_columns_in_all_rows(spark):
+    got = QUERIES["f16_propagate_gaps"](spark, SF).toPandas().set_index("read_id")
+    pairs = model_queries._aligned(spark, SF).toPandas().set_index("read_id")
+    own, longest = {}, {}
+    for i, (ref, read) in pairs[["ref_row", "read_row"]].iterrows():
+        on = [k for k, (r, q) in enumerate(zip(ref, read)) if r != "-" and q != "-"] or [0]
+        own[i], at = {}, 0
+        for k, (r, q) in enumerate(zip(ref, read)):
+            at += r != "-"
+            if r == "-" and on[0] <= k <= on[-1]:
+                own[i][at] = own[i].get(at, "") + q
+        for at, text in own[i].items():
+            longest[at] = max(longest.get(at, 0), len(text))
+    assert longest and set(got.index) == set(pairs.index)
+    for i, r in got.iterrows():
+        assert r["padded"] == "".join(c + own[i].get(k, "").ljust(longest.get(k, 0), "-") for k, c in enumerate(r["row"], 1))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_frequencies_go_to_convergence(spark):
     compat = _compat(spark, SF).cache()
